@@ -7,7 +7,7 @@ that prefix up to the prefix with its last dot raised by one. These intervals ne
 disjoint: a sweep over sorted keys keeps the open ones on a stack. Of the open rules whose
 path fits, the longest (host and path together) wins.
 
-Urls and rule starts are dealt to the same key ranges. Range bounds are quantiles of a sketch
+Urls and rule starts are dealt to the same key ranges. Range bounds are quantiles of a sample
 of the keys. A hot host repeats as a bound; its rows are dealt over all of its equal ranges,
 and a rule goes to each range that its interval meets."""
 
@@ -36,7 +36,7 @@ def host_key(host) -> F.Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit("."))
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", rows_per_range: int = 200_000, sketch_bounds: int = 20_000) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", rows_per_range: int = 200_000, most_ranges: int = 20_000) -> DataFrame:
     """One row per page: id, host, path, rule, verdict. `default` is the verdict where no rule
     fits (rule is null). Rules: columns host, path, verdict; repeated rules count once, and of
     equally long ones the one with the longer host wins, then `block`. Null or odd urls have
@@ -44,39 +44,28 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     ignored, whatever their names. Empty tables give empty results (without rules: default)."""
     spark = pages.sparkSession
     urls = with_host_and_path(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")), "url").drop("url").withColumn("key", host_key(F.col("host")))
-    bounds = range_bounds(spark, urls, rows_per_range, sketch_bounds)
-    shared = spark.sparkContext.broadcast(bounds)  # at most sketch_bounds strings
-
-    @F.udf("array<int>")
-    def ranges_of(low, high):
-        b = shared.value
-        return list(range(bisect.bisect_left(b, low), bisect.bisect_left(b, high) + 1))
-
-    first = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<string>"), lambda b: b < F.col("key"))) if len(bounds) <= 200 else None
-    if first is None:
-        find = F.udf(lambda k: (bisect.bisect_left(shared.value, k), bisect.bisect_right(shared.value, k)), "struct<l:int,r:int>")
-        dealt = urls.withColumn("_f", find("key")).withColumn("lo", F.col("_f.l")).withColumn("hi", F.col("_f.r")).drop("_f")
-    else:
-        last = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<string>"), lambda b: b <= F.col("key")))
-        dealt = urls.withColumn("lo", first).withColumn("hi", last)
-    dealt = dealt.select((F.col("lo") + F.pmod(F.xxhash64("id"), F.col("hi") - F.col("lo") + 1)).cast("int").alias("range"), F.lit(1).alias("kind"), "key", "id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
+    bounds = range_bounds(spark, urls, rows_per_range, most_ranges)
+    shared = spark.sparkContext.broadcast(bounds)  # at most most_ranges strings
+
+    find = F.udf(lambda k: (bisect.bisect_left(shared.value, k), bisect.bisect_right(shared.value, k)), "struct<l:int,r:int>")
+    meets = F.udf(lambda low, high: list(range(bisect.bisect_left(shared.value, low), bisect.bisect_left(shared.value, high) + 1)), "array<int>")
+    dealt = urls.withColumn("f", find("key"))
+    dealt = dealt.select((F.col("f.l") + F.pmod(F.xxhash64("id"), F.col("f.r") - F.col("f.l") + 1)).cast("int").alias("range"), F.lit(1).alias("kind"), "key", "id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
     starts = (rules.select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host is not null").distinct()
               .withColumn("key", host_key(F.col("host"))).withColumn("high", F.concat(F.expr("substring(key, 1, length(key) - 1)"), F.lit("/")))
-              .select(F.explode(ranges_of("key", "high")).alias("range"), F.lit(0).alias("kind"), "key", F.lit(None).cast(urls.schema["id"].dataType).alias("id"), "host", "path", F.concat("host", "path").alias("rule"), "verdict"))
+              .select(F.explode(meets("key", "high")).alias("range"), F.lit(0).alias("kind"), "key", F.lit(None).cast(urls.schema["id"].dataType).alias("id"), "host", "path", F.concat("host", "path").alias("rule"), "verdict"))
     events = dealt.unionByName(starts).repartition(max(1, len(bounds) + 1), "range").sortWithinPartitions("range", "key", "kind")
     out = pages.select(F.col(id_col)).schema.add("host", "string").add("path", "string").add("rule", "string").add("verdict", "string")
     return events.select("range", "kind", "key", "id", "host", "path", "rule", "verdict").mapInArrow(sweep(default, id_col), out)
 
 
 def range_bounds(spark: SparkSession, urls: DataFrame, rows_per_range: int, most: int) -> list[str]:
-    """Ascending keys that split the urls into ranges of about rows_per_range rows. Quantiles need
-    an order of numbers: the first 7 bytes of a key are its number here, and where many keys share
-    them (a hot domain) the bound comes from a second sketch of the keys' 64-bit hash buckets."""
+    """Ascending keys that split the urls into ranges of about rows_per_range rows: quantiles of a
+    sample whose size depends on the number of ranges alone. Only the balance hangs on it."""
     n = urls.count()
     ranges = min(most, max(spark.sparkContext.defaultParallelism, n // rows_per_range))
     if n == 0 or ranges < 2:
         return []
-    # A uniform choice of keys by hash of the row, 40 a range: its size depends on `ranges` alone.
     share = min(1.0, 40.0 * ranges / n)
     chosen = urls.where(F.pmod(F.xxhash64("id", "path", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30))).select("key")
     keys = sorted(r.key for r in chosen.limit(80 * ranges).collect())

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .chat_format import format_chats, loss_text, records_of_rows, turns_of
 from .exact_dedup import exact_dedup
-from .runtime import table
+from .packing import pack
+from .runtime import Scratch, table
+from .token_output import read_token_shards, with_global_start, write_token_shards
 from .url_filter import filter_urls
 
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -32,7 +34,24 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op4_chat_format, op5_exact_dedup)}
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    write_token_shards(table(spark, sf_dir, "documents"), f"{scratch.base}/shards", tokenizer_path("word_bpe_49k.json"), 2)
+    rows = with_global_start(scratch.write(read_token_shards(spark, f"{scratch.base}/shards"), "rows"))
+    return rows.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 1)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op4_chat_format, op5_exact_dedup, op7_token_output, op10_packing)}
 
 _rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 ORACLE = {

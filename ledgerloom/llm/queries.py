@@ -9,6 +9,7 @@ from .chat_format import format_chats, loss_text, records_of_rows, turns_of
 from .exact_dedup import exact_dedup
 from .packing import pack
 from .runtime import Scratch, table
+from .sentencepiece_codec import decode_ids, encode_texts
 from .token_output import read_token_shards, with_global_start, write_token_shards
 from .url_filter import filter_urls
 
@@ -40,6 +41,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    back = decode_ids(encode_texts(table(spark, sf_dir, "documents"), model), model)
+    return back.select("doc_id", "n_ids", "n_byte_ids", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     write_token_shards(table(spark, sf_dir, "documents"), f"{scratch.base}/shards", tokenizer_path("word_bpe_49k.json"), 2)
@@ -51,7 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 1)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op4_chat_format, op5_exact_dedup, op7_token_output, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op4_chat_format, op5_exact_dedup, op6_sentencepiece, op7_token_output, op10_packing)}
 
 _rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 ORACLE = {

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from .chat_format import format_chats, loss_text, records_of_rows, turns_of
 from .exact_dedup import exact_dedup
 from .packing import pack
-from .runtime import Scratch, table
+from .quality_mil import fit_quality, score_quality
+from .runtime import Scratch, crc32_of, table
 from .sentencepiece_codec import decode_ids, encode_texts
 from .token_output import read_token_shards, with_global_start, write_token_shards
+from .toxicity import fit_toxicity, score_toxicity
 from .url_filter import filter_urls
 
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -54,11 +56,35 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def judged(scores: DataFrame, parts: int, held_out: int, threshold: float) -> DataFrame:
+    return scores.select("doc_id", (F.pmod(crc32_of(F.col("doc_id")), F.lit(parts)) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def toxicity_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Fitted on the labelled documents of the corpus, whose ids' crc32 leaves 0 or 2 modulo 3."""
+    labels = table(spark, sf_dir, "labels").where(F.pmod(crc32_of(F.col("doc_id")), F.lit(3)) != 1)
+    return score_toxicity(docs, fit_toxicity(table(spark, sf_dir, "documents"), labels))
+
+
+def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Fitted on the labelled documents of the corpus, whose ids' crc32 is no multiple of 5."""
+    labels = table(spark, sf_dir, "labels").where(F.pmod(crc32_of(F.col("doc_id")), F.lit(5)) != 0)
+    return score_quality(docs, fit_quality(table(spark, sf_dir, "documents"), labels))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(toxicity_scores(spark, table(spark, sf_dir, "documents"), sf_dir), 3, 1, 0.7)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(quality_scores(spark, table(spark, sf_dir, "documents"), sf_dir), 5, 0, 0.3)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 1)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op4_chat_format, op5_exact_dedup, op6_sentencepiece, op7_token_output, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op4_chat_format, op5_exact_dedup, op6_sentencepiece, op7_token_output, op8_toxicity, op9_quality, op10_packing)}
 
 _rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 ORACLE = {

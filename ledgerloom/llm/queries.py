@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import format_chats, loss_text, records_of_rows, turns_of
+from .embedding_dedup import near_dedup
 from .exact_dedup import exact_dedup
 from .packing import pack
 from .quality_mil import fit_quality, score_quality
@@ -23,6 +24,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql("""SELECT CAST(-1 AS BIGINT) conv_id, turn, role, '<|im_end|><|im_start|>assistant ok' text
                          FROM VALUES (0L, 'user'), (1L, 'assistant') t(turn, role)""")
@@ -84,7 +89,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 1)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op4_chat_format, op5_exact_dedup, op6_sentencepiece, op7_token_output, op8_toxicity, op9_quality, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_embedding_dedup, op4_chat_format, op5_exact_dedup, op6_sentencepiece, op7_token_output, op8_toxicity, op9_quality, op10_packing)}
 
 _rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 ORACLE = {
@@ -96,6 +101,14 @@ r(rule_host, rule_path, verdict) AS (VALUES {_rules}),
 p AS (SELECT host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(verdict, length(rule_host || rule_path)) AS verdict
       FROM (SELECT DISTINCT host, path FROM h) d JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY host, path)
 SELECT page_id, h.host, h.path, rule, coalesce(verdict, 'allow') AS verdict FROM h LEFT JOIN p ON h.host = p.host AND h.path = p.path""",
+    "op2_embedding_dedup": """
+WITH RECURSIVE c AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT vec_id, label, v FROM c WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.98),
+r(vec_id, reached) AS (SELECT vec_id, vec_id FROM c UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.reached = l.a),
+m AS (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c JOIN m USING (vec_id) LEFT JOIN n USING (vec_id)""",
     "op4_chat_format": r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),

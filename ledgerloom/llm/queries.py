@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chat_format import format_chats, loss_text, records_of_rows, turns_of
 from .embedding_dedup import near_dedup
 from .exact_dedup import exact_dedup
+from .ngram_join import ngram_join
 from .packing import pack
 from .quality_mil import fit_quality, score_quality
 from .runtime import Scratch, crc32_of, table
@@ -28,6 +29,10 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql("""SELECT CAST(-1 AS BIGINT) conv_id, turn, role, '<|im_end|><|im_start|>assistant ok' text
                          FROM VALUES (0L, 'user'), (1L, 'assistant') t(turn, role)""")
@@ -89,7 +94,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 1)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_embedding_dedup, op4_chat_format, op5_exact_dedup, op6_sentencepiece, op7_token_output, op8_toxicity, op9_quality, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_embedding_dedup, op3_ngram_join, op4_chat_format, op5_exact_dedup, op6_sentencepiece, op7_token_output, op8_toxicity, op9_quality, op10_packing)}
 
 _rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 ORACLE = {

@@ -149,3 +149,18 @@ def score_quality(docs: DataFrame, model: Network, id_col: str = "doc_id", text_
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, score double")
+
+
+def keep_good(docs: DataFrame, model: Network, threshold: float, text_col: str = "text") -> DataFrame:
+    """The documents whose score reaches the threshold, with all their columns; nothing is shuffled."""
+    if not model.weights:
+        return docs if model.constant >= threshold else docs.limit(0)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in slices(batches, at):
+            score, _ = shared.value.forward(*passage_features(trait_cache(), b.column(at)))
+            yield b.filter(pa.array(score >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

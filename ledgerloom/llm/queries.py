@@ -66,35 +66,44 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+TOXIC, GOOD = 0.7, 0.3
+
+
 def judged(scores: DataFrame, parts: int, held_out: int, threshold: float) -> DataFrame:
     return scores.select("doc_id", (F.pmod(crc32_of(F.col("doc_id")), F.lit(parts)) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def toxicity_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity_model(spark: SparkSession, sf_dir: str):
     """Fitted on the labelled documents of the corpus, whose ids' crc32 leaves 0 or 2 modulo 3."""
     labels = table(spark, sf_dir, "labels").where(F.pmod(crc32_of(F.col("doc_id")), F.lit(3)) != 1)
-    return score_toxicity(docs, fit_toxicity(table(spark, sf_dir, "documents"), labels))
+    return fit_toxicity(table(spark, sf_dir, "documents"), labels)
 
 
-def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_model(spark: SparkSession, sf_dir: str):
     """Fitted on the labelled documents of the corpus, whose ids' crc32 is no multiple of 5."""
     labels = table(spark, sf_dir, "labels").where(F.pmod(crc32_of(F.col("doc_id")), F.lit(5)) != 0)
-    return score_quality(docs, fit_quality(table(spark, sf_dir, "documents"), labels))
+    return fit_quality(table(spark, sf_dir, "documents"), labels)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(toxicity_scores(spark, table(spark, sf_dir, "documents"), sf_dir), 3, 1, 0.7)
+    return judged(score_toxicity(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir)), 3, 1, TOXIC)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(quality_scores(spark, table(spark, sf_dir, "documents"), sf_dir), 5, 0, 0.3)
+    return judged(score_quality(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir)), 5, 0, GOOD)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 1)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_embedding_dedup, op3_ngram_join, op4_chat_format, op5_exact_dedup, op6_sentencepiece, op7_token_output, op8_toxicity, op9_quality, op10_packing)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_embedding_dedup, op3_ngram_join, op4_chat_format, op5_exact_dedup, op6_sentencepiece, op7_token_output, op8_toxicity, op9_quality, op10_packing, pipeline)}
 
 _rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 ORACLE = {

@@ -18,6 +18,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from .runtime import Scratch, slices
 from .training import labelled_sample
@@ -102,8 +103,8 @@ def with_features(texts: DataFrame, shared, keep: list[str]) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), lists], names=[*keep, "x"])
 
-    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in keep)
-    return texts.select(*keep, "text").mapInArrow(run, f"{kinds}, x array<double>").withColumn("features", array_to_vector("x")).drop("x")
+    out = StructType([texts.schema[c] for c in keep]).add("x", ArrayType(DoubleType()))
+    return texts.select(*keep, "text").mapInArrow(run, out).withColumn("features", array_to_vector("x")).drop("x")
 
 
 @dataclass
@@ -139,13 +140,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, most
     return ToxicityModel(lexicon, trees, calibration)
 
 
+def scored(texts: DataFrame, model: ToxicityModel, keep: str) -> DataFrame:
+    """Column `keep` and the score of `text`."""
+    if model.trees is None:
+        return texts.select(keep, F.lit(model.constant).alias("score"))
+    shared = texts.sparkSession.sparkContext.broadcast(model.lexicon)
+    margins = model.trees.transform(with_features(texts, shared, [keep])).select(keep, vector_to_array("rawPrediction")[1].alias("margin"))
+    return model.calibration.transform(margins).select(keep, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))).alias("score"))
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, score (0 to 1). Null and empty texts get the score of a text without
     words. Repeated rows give repeated rows; other columns are ignored, whatever their names."""
-    if model.trees is None:
-        return docs.select(F.col(id_col), F.lit(model.constant).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model.lexicon)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    margins = model.trees.transform(with_features(texts, shared, ["id"])).select("id", vector_to_array("rawPrediction")[1].alias("margin"))
-    scored = model.calibration.transform(margins)
-    return scored.select(F.col("id").alias(id_col), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))).alias("score"))
+    return scored(texts, model, "id").select(F.col("id").alias(id_col), "score")
+
+
+def keep_civil(docs: DataFrame, model: ToxicityModel, threshold: float, text_col: str = "text") -> DataFrame:
+    """The documents whose score is below the threshold, with all their columns; nothing is shuffled."""
+    texts = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return scored(texts, model, "row").where(F.col("score") < threshold).select("row.*")

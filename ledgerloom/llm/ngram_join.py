@@ -3,12 +3,13 @@
 Two sets of which one has n shingles can only reach Jaccard t if they share ceil(t n) of them.
 Under one order of all shingles, prefixes of n - ceil(t n) + k shingles then share at least k.
 The order puts frequent shingles last: a pass over all texts finds them, and they are ranked by
-how often they occur. A document whose prefix is free of them has k = 1. The more candidates the
-frequent shingles in a prefix would bring, the larger k: the prefix is lengthened, and a partner
-must share as many (the smaller k of both) before the sets are compared.
+how often they occur. k grows with the candidates that a prefix is estimated to bring: by one for
+every four shingles of it, and further with the logarithm of what its frequent shingles would
+bring. The prefix is lengthened by as much, and a partner must share as many (the smaller k of
+both) before the sets are compared.
 
 Documents with equal sets are one class; the join runs over classes. First, every class that shares
-a prefix shingle is compared with the smallest class that has it; verified links make components.
+a prefix shingle is compared with the smallest class that has it, if they share enough; verified links make components.
 Then, only pairs of different components that still share a shingle are counted and compared. So a
 group of thousands of near copies costs a few comparisons each, not all its pairs; no link that
 changes a component is lost. Sets are compared whole and exactly on 64-bit shingle hashes."""
@@ -28,6 +29,7 @@ from .shingles import shingle_sets
 
 HOT_LEAST, HOT_MOST, HOT_A_TASK = 32, 1 << 18, 1 << 16
 COST = 256
+EVERY = 4
 SEEN_MOST = 1 << 20
 BITS = 1 << 24
 
@@ -86,9 +88,10 @@ def prefix(tokens: np.ndarray, frequency: np.ndarray, percent: int) -> tuple[np.
     size = n - share + 1
     order = np.lexsort((tokens, frequency))
     cost = int(np.maximum(frequency[order[:size]] - 1, 0).sum())
-    k = 1
+    k = 1 + size // EVERY
     if cost > COST:
-        k += min(share - 1, size, int(math.log2(cost / COST) * max(1.0, size / 8)))
+        k += int(math.log2(cost / COST) * max(1.0, size / 8))
+    k = min(k, share, 2 * size)
     return tokens[order[: size + k - 1]], k
 
 
@@ -110,12 +113,15 @@ def prefixes(shared, percent: int):
             calm = frequency == 0
             ends = np.cumsum(sizes)
             before = np.concatenate([[0], np.cumsum(calm)])
-            length = sizes - needed(sizes, percent) + 1
+            share = needed(sizes, percent)
+            length = sizes - share + 1
+            match = np.minimum(1 + length // EVERY, share)
+            length = length + match - 1
             rank = before[:-1] - before[ends - sizes][owner]
             plenty = before[ends] - before[ends - sizes] >= length
             take = calm & plenty[owner] & (rank < length[owner])
             out = [value[take]]
-            of, k = [owner[take]], [np.ones(int(take.sum()), np.int64)]
+            of, k = [owner[take]], [match[owner[take]]]
             for i in np.flatnonzero(~plenty):
                 own = slice(ends[i] - sizes[i], ends[i])
                 tokens, more = prefix(value[own], frequency[own], percent)
@@ -131,7 +137,7 @@ def prefixes(shared, percent: int):
 def shared_runs(batches):
     """Rows sorted by (token, cid) to those whose token several classes have, once a class, with the
     token's smallest class as pivot. Only the first row of an open run is kept from batch to batch."""
-    names = ["token", "cid", "n", "k", "pivot", "pivot_n"]
+    names = ["token", "cid", "n", "k", "pivot", "pivot_n", "pivot_k"]
     first = None  # the open run's first row, whether it has been given out, and its last class
     for b in batches:
         token, cid, n, k = (b.column(i).to_numpy() for i in range(4))
@@ -157,7 +163,7 @@ def shared_runs(batches):
         rows = np.sort(np.concatenate([heads, np.flatnonzero(use)]))
         pivot = at[run[rows]]
         if len(rows):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token[rows], cid[rows], n[rows], k[rows], cid[pivot], n[pivot])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token[rows], cid[rows], n[rows], k[rows], cid[pivot], n[pivot], k[pivot])], names=names)
         last = at[-1]
         out = bool(several[-1]) or (given and last == 0)
         first = ((token[last], cid[last], n[last], k[last]), out, cid[-1])
@@ -214,10 +220,12 @@ def ngram_join(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
     classes = scratch.write(rows.where("n > 0").groupBy("cid").agg(F.min("id").alias("first")), "classes")
 
     dealt = texts.select("text").mapInArrow(prefixes(shared, percent), "token long, cid long, n long, k long").repartition("token").sortWithinPartitions("token", "cid")
-    matches = scratch.write(dealt.mapInArrow(shared_runs, "token long, cid long, n long, k long, pivot long, pivot_n long"), "matches")
+    matches = scratch.write(dealt.mapInArrow(shared_runs, "token long, cid long, n long, k long, pivot long, pivot_n long, pivot_k long"), "matches")
 
     fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    stars = scratch.write(matches.where("cid <> pivot").where(fits(F.col("n"), F.col("pivot_n"))).select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct(), "stars")
+    # A star's count leaves out shingles that a still smaller class has: such pairs are found below.
+    stars = matches.where("cid <> pivot").where(fits(F.col("n"), F.col("pivot_n"))).groupBy(F.col("pivot").alias("a"), F.col("cid").alias("b")).agg(F.count("*").alias("both"), F.min(F.least("k", "pivot_k")).alias("k"))
+    stars = scratch.write(stars.where("both >= k").select("a", "b"), "stars")
     links = verify(texts, classes, stars, scratch, "1", percent)
     component = scratch.write(connected_components(links, scratch, "star-links"), "components")
 

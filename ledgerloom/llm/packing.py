@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import Scratch, slices
-from .word_bpe import broadcast_definition, tokenizer_of
+from .word_bpe import SLICE, broadcast_definition, tokenizer_of
 
 FIELDS = "id {0}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -111,7 +111,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, size: int = 2048, op
 
     def online(batches):
         packer, kind = Packer(size, open_windows, first_sequence(0)), None
-        for b in slices(batches):
+        for b in slices(batches, 1, SLICE):
             kind = b.column(0).type
             ids, sizes = tokenizer_of(shared).ids(b.column(1), end_id)
             at = 0

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .runtime import slices
-from .word_bpe import broadcast_definition, tokenizer_of
+from .word_bpe import SLICE, broadcast_definition, tokenizer_of
 
 MAGIC, HEADER = b"LLTOKEN1", struct.Struct("<8sIIQQQQ")  # magic, bytes an id, unused, documents, keys, buckets, ids
 DIRECT = np.uint32(1 << 31)
@@ -148,7 +148,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_file: str, end_id:
 
     def encode(batches):
         held, n = [], 0
-        for b in slices(batches):
+        for b in slices(batches, 1, SLICE):
             ids, sizes = tokenizer_of(shared).ids(b.column(1), end_id)
             if id_bytes == 2 and len(ids) and ids.max() > 0xFFFF:
                 raise ValueError("an id of over 16 bits: use id_bytes=4")

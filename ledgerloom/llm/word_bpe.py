@@ -17,15 +17,35 @@ from .words import WordCache, word_codes
 LONG_WORD = 64
 
 
+#: Stands between words that are encoded in one call; a word of its own with an id of its own.
+MARK = "\x01"
+WORDS_A_CALL = 1000
+SLICE = 8 << 20
+
+
 class WordTokenizer:
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(definition)
-        self.encode = lambda words: [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        self.tokenizer = Tokenizer.from_str(definition)
+        marks = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = marks[0] if len(marks) == 1 else None
         self.cache = WordCache(self.encode)
 
+    def encode(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word: of many in one call, cut at the mark between them."""
+        out = []
+        for at in range(0, len(words), WORDS_A_CALL):
+            some = words[at : at + WORDS_A_CALL]
+            if self.mark is None or any(MARK in w for w in some):
+                out += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.mark).tolist()
+            out += [ids[i + 1 : j] for i, j in zip([-1, *cuts], [*cuts, len(ids)], strict=True)]
+        return out
+
     def ids(self, column, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, each with `end` appended; how many of each text)."""
         counts, codes, words = word_codes(column)
@@ -48,7 +68,7 @@ class WordTokenizer:
         short = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
         long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
         flat, sizes = self.cache.ids([words[i] for i in short])
-        out = [None] * len(words)
+        out = [np.zeros(0, np.uint32)] * len(words)
         for i, part in zip(short, np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
             out[i] = part
         for i, part in zip(long, self.encode([words[i] for i in long]), strict=True):

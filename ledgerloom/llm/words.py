@@ -24,18 +24,18 @@ def word_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 class WordCache:
     """Ids of words by `encode(list of words) -> list of id arrays`, kept from batch to batch in
-    one worker; emptied when it holds `limit` words, so memory stays bounded."""
+    one worker as bytes; emptied when it holds `limit` words, so memory stays bounded."""
 
-    def __init__(self, encode, limit: int = 300_000):
+    def __init__(self, encode, limit: int = 1_200_000):
         self.encode, self.limit, self.known = encode, limit, {}
 
     def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, number of ids of each word)."""
-        if len(self.known) > self.limit:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for w, got in zip(new, self.encode(new), strict=True):
-            self.known[w] = got
-        found = [self.known[w] for w in words]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return (np.concatenate(found) if found else np.zeros(0, np.uint32)), sizes
+        known = self.known
+        if len(known) > self.limit:
+            known.clear()
+        found = list(map(known.get, words))
+        new = [i for i, f in enumerate(found) if f is None]
+        for i, got in zip(new, self.encode([words[i] for i in new]), strict=True):
+            found[i] = known[words[i]] = np.asarray(got, np.uint32).tobytes()
+        return np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4

@@ -6,10 +6,10 @@ The order puts frequent shingles last: a pass over all texts finds them, and the
 how often they occur. k grows with the candidates that a prefix is estimated to bring: by one for
 every four shingles of it, and further with the logarithm of what its frequent shingles would
 bring. The prefix is lengthened by as much, and a partner must share as many (the smaller k of
-both) before the sets are compared.
+both), each early enough in both orders, before the sets are compared.
 
 Documents with equal sets are one class; the join runs over classes. First, every class that shares
-a prefix shingle is compared with the smallest class that has it, if they share enough; verified links make components.
+a prefix shingle is compared with the smallest set that has it, if they share enough; verified links make components.
 Then, only pairs of different components that still share a shingle are counted and compared. So a
 group of thousands of near copies costs a few comparisons each, not all its pairs; no link that
 changes a component is lost. Sets are compared whole and exactly on 64-bit shingle hashes."""
@@ -27,7 +27,8 @@ from .components import connected_components
 from .runtime import Scratch, slices, text_buffer
 from .shingles import shingle_sets
 
-HOT_LEAST, HOT_MOST, HOT_A_TASK = 32, 1 << 18, 1 << 16
+HOT_LEAST, HOT_MOST, HOT_A_TASK = 8, 1 << 18, 1 << 17
+ONCE_BITS = 1 << 27
 COST = 256
 EVERY = 4
 SEEN_MOST = 1 << 20
@@ -61,6 +62,7 @@ def describe(batches):
     classes of the task share: its most frequent ones."""
     names = ["id", "n", "cid", "token", "seen"]
     fresh, kind = Fresh(), None
+    once = np.zeros(ONCE_BITS >> 3, np.uint8)  # a bit a shingle, by hash: had before by a class of this task
     tokens, seen = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for b in slices(batches):
         kind = b.column(0).type
@@ -69,7 +71,10 @@ def describe(batches):
         none = pa.nulls(n, pa.int64())
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(classes), none, none], names=names)
         new, count = np.unique(value[np.repeat(fresh.mask(classes, sizes), sizes)], return_counts=True)
-        new, count = new[count > 1], count[count > 1]
+        at, bit = (new >> np.uint64(3)) % np.uint64(len(once)), np.uint8(1) << (new & np.uint64(7)).astype(np.uint8)
+        use = (count > 1) | (once[at] & bit > 0)
+        np.bitwise_or.at(once, at, bit)
+        new, count = new[use], count[use]
         both, where = np.unique(np.concatenate([tokens, new]), return_inverse=True)
         seen = np.bincount(where, weights=np.concatenate([seen, count]), minlength=len(both)).astype(np.int64)
         tokens = both
@@ -81,6 +86,14 @@ def describe(batches):
         yield pa.RecordBatch.from_arrays([pa.nulls(len(tokens), kind), none, none, pa.array(tokens.view(np.int64)), pa.array(seen)], names=names)
 
 
+def may_reach(percent: int) -> F.Column:
+    """Whether a match of rows x and y can be one of the first k of a pair that reaches the similarity:
+    with those before it and all that follows it in the smaller rest, there must be shingles enough."""
+    k, rest = F.least("kx", "ky"), F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    enough = (k - 1 + rest) * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
+    return enough & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
+
+
 def prefix(tokens: np.ndarray, frequency: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """(prefix, k) of one set; frequency is 0 for shingles that are not frequent."""
     n = len(tokens)
@@ -96,7 +109,7 @@ def prefix(tokens: np.ndarray, frequency: np.ndarray, percent: int) -> tuple[np.
 
 
 def prefixes(shared, percent: int):
-    """(text) to (token, cid, n, k), once a class and task."""
+    """(text) to (token, cid, n, k, position of the token in its set's order), once a class and task."""
 
     def run(batches):
         hot, often = shared.value
@@ -121,52 +134,51 @@ def prefixes(shared, percent: int):
             plenty = before[ends] - before[ends - sizes] >= length
             take = calm & plenty[owner] & (rank < length[owner])
             out = [value[take]]
-            of, k = [owner[take]], [match[owner[take]]]
+            of, k, position = [owner[take]], [match[owner[take]]], [rank[take]]
             for i in np.flatnonzero(~plenty):
                 own = slice(ends[i] - sizes[i], ends[i])
                 tokens, more = prefix(value[own], frequency[own], percent)
                 out.append(tokens)
                 of.append(np.full(len(tokens), i))
                 k.append(np.full(len(tokens), more))
+                position.append(np.arange(len(tokens)))
             of = np.concatenate(of)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(classes[of]), pa.array(sizes[of]), pa.array(np.concatenate(k))], names=["token", "cid", "n", "k"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(classes[of]), pa.array(sizes[of]), pa.array(np.concatenate(k)), pa.array(np.concatenate(position))], names=["token", "cid", "n", "k", "p"])
 
     return run
 
 
 def shared_runs(batches):
-    """Rows sorted by (token, cid) to those whose token several classes have, once a class, with the
-    token's smallest class as pivot. Only the first row of an open run is kept from batch to batch."""
-    names = ["token", "cid", "n", "k", "pivot", "pivot_n", "pivot_k"]
+    """Rows sorted by (token, cid) to those whose token several classes have, once a class. Only an
+    open run's first row is kept from batch to batch."""
+    names = ["token", "cid", "n", "k", "p"]
     first = None  # the open run's first row, whether it has been given out, and its last class
     for b in batches:
-        token, cid, n, k = (b.column(i).to_numpy() for i in range(4))
-        if not len(token):
+        rows = np.column_stack([b.column(i).to_numpy() for i in range(5)])
+        if not len(rows):
             continue
-        lead = 0
-        if first is not None:  # the open run's first row stands before the batch
-            lead = 1
-            token, cid, n, k = (np.concatenate([[x], y]) for x, y in zip(first[0], (token, cid, n, k), strict=True))
-        start = np.ones(len(token), bool)
+        lead = first is not None
+        if lead:  # the open run's first row stands before the batch
+            rows = np.concatenate([first[0][None], rows])
+        token, cid = rows[:, 0], rows[:, 1]
+        start = np.ones(len(rows), bool)
         start[1:] = token[1:] != token[:-1]
         run = np.cumsum(start) - 1
         at = np.flatnonzero(start)
         before = np.concatenate([[cid[0]], cid[:-1]])
         if lead and len(cid) > 1:
             before[1] = first[2]
-        use = (cid != cid[at][run]) & (start | (cid != before))
+        use = ~start & (cid != before)
         several = np.bincount(run[use], minlength=len(at)) > 0
         heads = at[several]
         given = bool(lead and first[1])
         if given and len(heads) and heads[0] == 0:
             heads = heads[1:]
-        rows = np.sort(np.concatenate([heads, np.flatnonzero(use)]))
-        pivot = at[run[rows]]
-        if len(rows):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token[rows], cid[rows], n[rows], k[rows], cid[pivot], n[pivot], k[pivot])], names=names)
+        taken = np.sort(np.concatenate([heads, np.flatnonzero(use)]))
+        if len(taken):
+            yield pa.RecordBatch.from_arrays([pa.array(rows[taken, i]) for i in range(5)], names=names)
         last = at[-1]
-        out = bool(several[-1]) or (given and last == 0)
-        first = ((token[last], cid[last], n[last], k[last]), out, cid[-1])
+        first = (rows[last], bool(several[-1]) or (given and last == 0), cid[-1])
 
 
 def sets_of(shared):
@@ -219,24 +231,34 @@ def ngram_join(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
     shared = spark.sparkContext.broadcast((tokens[order], found.column("seen").to_numpy()[order]))
     classes = scratch.write(rows.where("n > 0").groupBy("cid").agg(F.min("id").alias("first")), "classes")
 
-    dealt = texts.select("text").mapInArrow(prefixes(shared, percent), "token long, cid long, n long, k long").repartition("token").sortWithinPartitions("token", "cid")
-    matches = scratch.write(dealt.mapInArrow(shared_runs, "token long, cid long, n long, k long, pivot long, pivot_n long, pivot_k long"), "matches")
-
-    fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    # A star's count leaves out shingles that a still smaller class has: such pairs are found below.
-    stars = matches.where("cid <> pivot").where(fits(F.col("n"), F.col("pivot_n"))).groupBy(F.col("pivot").alias("a"), F.col("cid").alias("b")).agg(F.count("*").alias("both"), F.min(F.least("k", "pivot_k")).alias("k"))
-    stars = scratch.write(stars.where("both >= k").select("a", "b"), "stars")
+    fields = "token long, cid long, n long, k long, p long"
+    dealt = texts.select("text").mapInArrow(prefixes(shared, percent), fields).repartition("token").sortWithinPartitions("token", "cid")
+    matches = scratch.write(dealt.mapInArrow(shared_runs, fields), "matches")
+
+    def pairs_of(met: DataFrame) -> DataFrame:
+        """Pairs (a, b) of classes x and y that share enough, from their matches."""
+        own = met.where(may_reach(percent)).groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        return own.agg(F.count("*").alias("both"), F.min(F.least("kx", "ky")).alias("k")).where("both >= k").select("a", "b")
+
+    # Classes of one size are those whose sets differ by less than the similarity allows: partners are
+    # of the same or the next size. The centre of a shingle and size is the class whose shingles are
+    # the most shared: of near copies, the one that is nearest to most. Every class is compared with
+    # the centres of its shingles. Their counts are not the whole: what they miss is found below.
+    grade = F.floor(F.log("n") / math.log(100 / percent))
+    central = matches.join(matches.groupBy("token").agg(F.count("*").alias("df")), "token").groupBy("cid").agg(F.sum("df").alias("shared"))
+    ranked = matches.join(central, "cid").withColumn("grade", grade)
+    centre = ranked.groupBy("token", "grade").agg(F.max(F.struct("shared", "cid", "n", "k", "p")).alias("c")).select("token", "grade", *(F.col(f"c.{c}").alias(v) for c, v in (("cid", "y"), ("n", "ny"), ("k", "ky"), ("p", "py"))))
+    member = matches.select("token", F.explode(F.array(grade - 1, grade, grade + 1)).alias("grade"), *(F.col(c).alias(v) for c, v in (("cid", "x"), ("n", "nx"), ("k", "kx"), ("p", "px"))))
+    star = member.join(centre, ["token", "grade"]).where("x <> y")
+    stars = scratch.write(pairs_of(star), "stars")
     links = verify(texts, classes, stars, scratch, "1", percent)
     component = scratch.write(connected_components(links, scratch, "star-links"), "components")
 
-    member = matches.join(component.withColumnRenamed("node", "cid"), "cid", "left").select("token", "cid", "n", "k", F.coalesce("component", "cid").alias("c"))
+    member = matches.join(component.withColumnRenamed("node", "cid"), "cid", "left").select("token", "cid", "n", "k", "p", F.coalesce("component", "cid").alias("c"))
     mixed = member.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
     member = scratch.write(member.join(mixed, "token"), "mixed")
-    other = member.select("token", F.col("c").alias("c2")).distinct()
-    left = member.join(other, "token").where("c < c2").select("token", "c2", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("k").alias("kx"))
-    right = member.select("token", F.col("c").alias("c2"), F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("k").alias("ky"))
-    pairs = left.join(right, ["token", "c2"]).where(fits(F.col("nx"), F.col("ny"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("kx", "ky").alias("k"))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("both"), F.min("k").alias("k")).where("both >= k").select("a", "b")
+    x, y = (member.select("token", F.col("cid").alias(v), *(F.col(c).alias(c + v) for c in ("n", "k", "p", "c"))) for v in ("x", "y"))
+    pairs = pairs_of(x.join(y, "token").where((F.col("cx") < F.col("cy")) & may_reach(percent)))
     pairs = scratch.write(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
         more = verify(texts, classes, pairs, scratch, "2", percent)

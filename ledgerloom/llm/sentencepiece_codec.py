@@ -262,7 +262,7 @@ def decode_ids(encoded: DataFrame, model_file: str, id_col: str = "doc_id", ids_
         for b in batches:
             codec = codec_of(shared)
             lists = b.column(1)
-            counts = np.array([0 if x is None else len(x) for x in lists], np.int64) if lists.null_count else np.diff(lists.offsets.to_numpy())
+            counts = np.array([0 if x is None else len(x) for x in lists], np.int64) if lists.null_count else np.diff(lists.offsets.to_numpy()).astype(np.int64)
             ids = lists.flatten().to_numpy().astype(np.uint32)
             texts = codec.decode(ids, counts)
             null = ~lists.is_valid().to_numpy(zero_copy_only=False)

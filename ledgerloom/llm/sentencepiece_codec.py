@@ -198,11 +198,18 @@ class Codec:
     def __init__(self, model: Model):
         self.m = model
         self.find = re.compile(model.split).findall if model.split else lambda text: [text]
-        self.cache = WordCache(lambda words: viterbi(model, [w.replace(" ", SPACE) for w in words]) if words else [])
+        self.cache = WordCache(self.paths, 250_000)
         self.table = np.frombuffer(b"".join(model.surfaces), np.uint8)
         self.sizes = np.fromiter(map(len, model.surfaces), np.int64, len(model.surfaces))
         self.starts = np.cumsum(self.sizes) - self.sizes
 
+    def paths(self, words: list[str]) -> list[np.ndarray]:
+        """Best paths, of so many words at once that the table of their pieces stays small."""
+        out = []
+        for at in range(0, len(words), 16_000):
+            out += viterbi(self.m, [w.replace(" ", SPACE) for w in words[at : at + 16_000]])
+        return out
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, number of ids of each text); an empty text has none."""
         found = [self.find(" " + t) if t else [] for t in texts]

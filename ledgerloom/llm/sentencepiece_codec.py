@@ -265,8 +265,18 @@ def decode_ids(encoded: DataFrame, model_file: str, id_col: str = "doc_id", ids_
     checksum of the ids as little-endian 32-bit integers and how many are byte pieces."""
     shared = encoded.sparkSession.sparkContext.broadcast(load_model(model_file))
 
-    def run(batches):
+    def parts(batches, most: int = 400_000):
+        """Rows of about `most` ids at a time; one row at least."""
         for b in batches:
+            ends = np.cumsum([len(x) if x.is_valid else 0 for x in b.column(1)])
+            start = 0
+            while start < b.num_rows:
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+                yield b.slice(start, stop - start)
+                start = stop
+
+    def run(batches):
+        for b in parts(batches):
             codec = codec_of(shared)
             lists = b.column(1)
             counts = np.array([0 if x is None else len(x) for x in lists], np.int64) if lists.null_count else np.diff(lists.offsets.to_numpy()).astype(np.int64)

@@ -8,11 +8,15 @@ every four shingles of it, and further with the logarithm of what its frequent s
 bring. The prefix is lengthened by as much, and a partner must share as many (the smaller k of
 both), each early enough in both orders, before the sets are compared.
 
-Documents with equal sets are one class; the join runs over classes. First, every class that shares
-a prefix shingle is compared with the smallest set that has it, if they share enough; verified links make components.
-Then, only pairs of different components that still share a shingle are counted and compared. So a
-group of thousands of near copies costs a few comparisons each, not all its pairs; no link that
-changes a component is lost. Sets are compared whole and exactly on 64-bit shingle hashes."""
+Documents with equal sets are one class; the join runs over classes. First, every class is compared
+with the central classes of its prefix shingles, if they share enough; verified links make components.
+Then, only classes of different components can still change the result. They meet by the first
+shingle that both have in the order, which lies in both unlengthened prefixes and tells, by its two
+places, the most that both can share: texts that have one frequent passage in common, and little
+else, are told apart there and make no row. What is left must share k shingles of the lengthened
+prefixes before it is compared. So a group of thousands of near copies costs a few comparisons each,
+not all its pairs; no link that changes a component is lost. Sets are compared whole and exactly on
+64-bit shingle hashes."""
 
 from __future__ import annotations
 
@@ -94,6 +98,13 @@ def may_reach(percent: int) -> F.Column:
     return enough & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
 
 
+def may_begin(percent: int) -> F.Column:
+    """Whether a match of rows x and y can be the first of a pair that reaches the similarity: the
+    match and all that follows it in the smaller rest must be shingles enough."""
+    rest = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    return (rest * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent) & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
+
+
 def prefix(tokens: np.ndarray, frequency: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """(prefix, k) of one set; frequency is 0 for shingles that are not frequent."""
     n = len(tokens)
@@ -257,9 +268,14 @@ def ngram_join(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
     member = matches.join(component.withColumnRenamed("node", "cid"), "cid", "left").select("token", "cid", "n", "k", "p", F.coalesce("component", "cid").alias("c"))
     mixed = member.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
     member = scratch.write(member.join(mixed, "token"), "mixed")
-    x, y = (member.select("token", F.col("cid").alias(v), *(F.col(c).alias(c + v) for c in ("n", "k", "p", "c"))) for v in ("x", "y"))
-    pairs = pairs_of(x.join(y, "token").where((F.col("cx") < F.col("cy")) & may_reach(percent)))
-    pairs = scratch.write(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
+    early = member.where(F.col("p") * 100 <= F.col("n") * (100 - percent))
+    x, y = (early.select("token", F.col("cid").alias(v), *(F.col(c).alias(c + v) for c in ("n", "p", "c"))) for v in ("x", "y"))
+    met = x.join(y, "token").where((F.col("cx") < F.col("cy")) & may_begin(percent))
+    met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    lists = member.groupBy("cid").agg(F.first("k").alias("k"), F.collect_list("token").alias("tokens"))
+    a, b = (lists.select(F.col("cid").alias(v), F.col("k").alias("k" + v), F.col("tokens").alias("t" + v)) for v in ("a", "b"))
+    enough = F.size(F.array_intersect("ta", "tb")) >= F.least("ka", "kb")
+    pairs = scratch.write(met.join(a, "a").join(b, "b").where(enough).select("a", "b"), "pairs")
     if not pairs.isEmpty():
         more = verify(texts, classes, pairs, scratch, "2", percent)
         stars_of = component.select(F.col("node").alias("a"), F.col("component").alias("b"))

@@ -120,3 +120,10 @@ def csv_cell(text: Column, guard: bool = True) -> Column:
     """A cell as text: formula characters guarded, quoted where needed."""
     safe = F.when(text.rlike("^[=+\\-@\\t\\r]"), F.concat(F.lit("'"), text)).otherwise(text) if guard else text
     return F.when(safe.rlike("[\",\\r\\n]"), F.concat(F.lit('"'), F.replace(safe, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(safe)
+
+
+def import_line(bank: Column, day: Column, debit: Column, credit: Column, remark: Column, party: Column | None = None) -> Column:
+    """A line of the ledger-import format: bank, party, day, paid, received, remark, each quoted."""
+    code = F.coalesce(F.nullif(F.trim(party), F.lit("")), F.lit("SUSP")) if party is not None else F.lit("SUSP")
+    cells = (F.trim(bank), code, F.date_format(day, "dd-MM-yyyy"), plain_amount(debit), plain_amount(credit), remark)
+    return F.concat_ws(",", *[F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in cells])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import slices
+from .runtime import slices, worker_cache
 from .training import labelled_sample
 from .word_traits import TRAITS, TraitCache, sums
 from .words import word_codes
@@ -99,13 +99,8 @@ def fit_network(x: np.ndarray, passages: np.ndarray, label: np.ndarray, hidden:
     return net
 
 
-_cache: list[TraitCache] = []
-
-
 def trait_cache() -> TraitCache:
-    if not _cache:
-        _cache.append(TraitCache())
-    return _cache[0]
+    return worker_cache("quality", TraitCache)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, most_passages: int = 300_000, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Network:

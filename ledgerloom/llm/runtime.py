@@ -86,6 +86,19 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+_held: dict = {}
+
+
+def worker_cache(key, make):
+    """What a worker keeps between tasks under `key`, made by make(). A worker keeps one such thing
+    at a time: of operators that run one after the other in a session, only the last holds memory."""
+    if key not in _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+        _held[key] = make()
+    return _held[key]
+
+
 def segment_ids(sizes: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(sizes)), sizes)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from .runtime import Scratch, slices
+from .runtime import Scratch, slices, worker_cache
 from .training import labelled_sample
 from .word_traits import TraitCache, sums
 from .words import word_codes
@@ -84,14 +84,9 @@ class Features:
         return np.column_stack([np.log1p(counts), total[:, 0], total[:, 0] / n, total[:, 1], total[:, 1] / n, total[:, 2] / n, heaviest, total[:, 3], total[:, 3] / n, total[:, 4] / n, total[:, 5] / n, total[:, 6] / letters, total[:, 7] / n, total[:, 8] / chars, total[:, 9] / chars, total[:, 10] / n, total[:, 11] / n, total[:, 12] / n])
 
 
-_made: list = []
-
-
 def features_of(shared) -> Features:
     lexicon = shared.value
-    if not _made or _made[0].lexicon is not lexicon:
-        _made[:] = [Features(lexicon)]
-    return _made[0]
+    return worker_cache(("toxicity", id(lexicon)), lambda: Features(lexicon))  # which keeps the lexicon, so its id stays its own
 
 
 def with_features(texts: DataFrame, shared, keep: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ import os
 
 import numpy as np
 
-from .runtime import ragged
+from .runtime import ragged, worker_cache
 from .words import WordCache, word_codes
 
 LONG_WORD = 64
@@ -76,16 +76,10 @@ class WordTokenizer:
         return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
 
 
-_made: dict[int, WordTokenizer] = {}
-
-
 def tokenizer_of(shared) -> WordTokenizer:
     """The worker's tokenizer for a broadcast definition, kept between tasks."""
     definition = shared.value
-    if (key := hash(definition)) not in _made:
-        _made.clear()
-        _made[key] = WordTokenizer(definition)
-    return _made[key]
+    return worker_cache(("tokenizer", hash(definition)), lambda: WordTokenizer(definition))
 
 
 def broadcast_definition(spark, path: str):

@@ -26,7 +26,7 @@ class WordCache:
     """Ids of words by `encode(list of words) -> list of id arrays`, kept from batch to batch in
     one worker as bytes; emptied when it holds `limit` words, so memory stays bounded."""
 
-    def __init__(self, encode, limit: int = 1_200_000):
+    def __init__(self, encode, limit: int = 800_000):
         self.encode, self.limit, self.known = encode, limit, {}
 
     def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:

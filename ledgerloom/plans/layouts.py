@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.cells import cell_amount, cell_date, row_kind, signed_balance
 from ..functions.text import MONEY, import_line, plain_amount
 from ..operators.audit import audit_rows, report
 from ..operators.detection import LAYOUTS, available_banks, choose_parse, detect_layout
@@ -87,7 +89,26 @@ def statement_summary(spark, sf_dir):
     return out.select("statement_id", F.inline(F.array(*money, count, sound)))
 
 
-QUERIES = {f.__name__: f for f in (template_detection, banks_on_offer, fallback_chain, grid_rows, grid_tables, ledger_import, statement_summary)}
+def cell_readers(spark, sf_dir):
+    """Cells with a neighbour's text run into them."""
+    form, price = F.col("o_orderkey") % 4, F.format_number(F.col("o_totalprice").cast(MONEY).cast("double"), 2)
+    shown = F.when(form == 0, F.concat(price, F.lit(" MUM"))).when(form == 1, F.concat(price, F.lit(" Dr"))).when(form == 2, F.concat(F.lit("MUM "), price, F.lit(" CREDIT"))).otherwise(F.concat(F.lit("Ref "), price, F.lit("\u00a0 Dr.")))
+    day = F.concat(F.lit("Ref 88 "), F.date_format("o_orderdate", "dd MMM yyyy"), F.lit(" x"))
+    out = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_key"), cell_date(day).alias("txn_date"), cell_amount(shown).alias("a"))
+    return out.select("order_key", "txn_date", signed_balance(F.col("a")).cast("double").alias("amount"), F.col("a.marker").alias("marker"))
+
+
+def row_kinds(spark, sf_dir):
+    """Rows of a grid of five columns, one per order, of every kind."""
+    day, price = F.date_format("o_orderdate", "dd/MM/yyyy"), F.format_number(F.col("o_totalprice").cast(MONEY).cast("double"), 2)
+    forms = [(day, "Paid", price, "", price), ("", "to clerk", "", "", ""), ("10:42 PM", "", "", "", ""), ("Date", "Narration", "Debit", "Credit", "Balance"), ("10:42", "", "", "", " Dr. "), ("", "", " ", "", None), ("Page 3 of 9", "x", "", "", ""), ("", "", "", "12345678901234567890123", "")]
+    made = F.coalesce(*[F.when(F.col("o_orderkey") % 8 == i, F.array(*[c if isinstance(c, Column) else F.lit(c).cast("string") for c in cells])) for i, cells in enumerate(forms)])
+    header = F.array(*map(F.lit, ("date ", "NARRATION", "Debit", "Credit", "Balance")))
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_key"), made.alias("cells"))
+    return rows.select("order_key", row_kind(F.col("cells"), 0, [2, 3, 4], [1], header).alias("kind"))
+
+
+QUERIES = {f.__name__: f for f in (template_detection, banks_on_offer, fallback_chain, grid_rows, grid_tables, ledger_import, statement_summary, cell_readers, row_kinds)}
 
 
 def quoted(names) -> str:
@@ -99,6 +120,9 @@ _amount = "regexp_replace(regexp_replace(CAST({0} AS VARCHAR), '0+$', ''), '\\.$
 _cells = f"""g AS (SELECT statement_id, (serial - 1) // {PAGE_ROWS} AS page, (serial - 1) % {PAGE_ROWS} AS row_no, strftime(txn_date, '%d/%m/%Y') AS cell_0,
  CASE WHEN debit IS NULL THEN 'Paid|in' ELSE 'Drawn' END || ' order ' || order_key AS cell_1, {_amount.format('coalesce(debit, credit)')} AS cell_2 FROM l)"""
 ORACLE = {
+    "cell_readers": """SELECT o_orderkey AS order_key, CAST(o_orderdate AS DATE) AS txn_date, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) * CASE WHEN o_orderkey % 2 = 1 THEN -1 ELSE 1 END AS amount,
+ CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 2 THEN 'Cr' ELSE 'Dr' END AS marker FROM orders""",
+    "row_kinds": "SELECT o_orderkey AS order_key, ['T', 'C', 'S', 'H', 'C', 'B', 'S', 'T'][o_orderkey % 8 + 1] AS kind FROM orders",
     "template_detection": f"""WITH m(place, layout_id, pattern, weight) AS (VALUES {_markers}),
 p AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 1 THEN upper({quoted(BANKS)}[c_custkey % 12 + 1]) WHEN c_custkey % 4 = 2 THEN '' ELSE {quoted(BANKS)}[c_custkey % 12 + 1] END || chr(10) || 'Statement of ' || c_name || chr(10) || 'IFSC '
  || {quoted(CODES)}[CASE WHEN c_custkey % 3 = 0 THEN (c_custkey + 5) % 12 ELSE c_custkey % 12 END + 1] || lpad(CAST(c_custkey % 1000000 AS VARCHAR), 6, '0') || ' ' || {quoted(PHRASES)}[c_custkey % 5 + 1] AS page,

@@ -1,7 +1,7 @@
 """Chat formatting (operator 4), by DataFrame functions alone.
 
-Records are JSON texts of any layout. A record's field paths (`messages[].role`) that some
-declared layout knows are sorted and hashed; the hash selects that layout's mapping to turns.
+Records are JSON texts of any layout, or structs. A record's field paths (`messages[].role`) that
+some declared layout knows are sorted and hashed; the hash selects that layout's mapping to turns.
 Turns are written with a marked template; control strings inside texts are escaped."""
 
 from __future__ import annotations
@@ -11,8 +11,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: Spark's parser gives null for a text of more characters than this (and for over 128 MiB as a variant,
+#: which no record of fewer bytes reaches).
+PARSER_LIMIT = 20_000_000
 
 
 @dataclass(frozen=True)
@@ -27,14 +31,14 @@ class Turns:
     def paths(self) -> list[str]:
         return [f"{self.field}[].{self.role}", f"{self.field}[].{self.text}"]
 
-    def turns(self, top: Column) -> Column:
+    def turns(self, top: Column, typed: bool) -> Column:
         def turn(m: Column) -> Column:
             role = F.coalesce(m[self.role].cast("string"), F.lit(""))
             for old, new in self.renamed:
                 role = F.when(role == old, F.lit(new)).otherwise(role)
             return F.struct(role.alias("role"), F.coalesce(m[self.text].cast("string"), F.lit("")).alias("text"))
 
-        return F.transform(top[self.field].cast("array<map<string,variant>>"), turn)
+        return F.transform(top[self.field] if typed else top[self.field].cast("array<map<string,variant>>"), turn)
 
 
 @dataclass(frozen=True)
@@ -46,7 +50,7 @@ class Fields:
     def paths(self) -> list[str]:
         return [f for _, fields in self.roles for f in fields]
 
-    def turns(self, top: Column) -> Column:
+    def turns(self, top: Column, typed: bool) -> Column:
         def turn(role: str, fields: tuple[str, ...]) -> Column:
             texts = F.filter(F.array(*[top[f].cast("string") for f in fields]), lambda t: t.isNotNull() & (t != ""))
             return F.struct(F.lit(role).alias("role"), F.array_join(texts, "\n\n").alias("text"))
@@ -85,6 +89,17 @@ def field_paths(top: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(F.map_entries(top), paths))))
 
 
+def schema_paths(record: StructType) -> list[str]:
+    """Paths of a struct, as field_paths() gives them of a record."""
+
+    def paths(name: str, kind) -> list[str]:
+        if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType):
+            return [f"{name}[].{k}" for k in kind.elementType.names]
+        return [f"{name}.{k}" for k in kind.names] if isinstance(kind, StructType) else [name]
+
+    return [p for f in record.fields for p in paths(f.name, f.dataType)]
+
+
 def escape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
 
@@ -105,17 +120,29 @@ def unescape_role(role: Column) -> Column:
 def format_chats(records: DataFrame, id_col: str, record_col: str) -> DataFrame:
     """One row per record: id, layout, n_turns, formatted, loss_spans (array of code-point start and
     length of each assistant text in `formatted`). A null, broken or undeclared record has a null
-    layout, no turns and an empty text. Null roles and texts are empty. Other columns are ignored;
-    repeated records give repeated rows. Turns keep their order, roles and texts exactly."""
+    layout, no turns and an empty text. A struct's layout is that of its type and its texts may be of
+    any length; a JSON text that fails to parse and is longer than the parser may take is an error.
+    Null roles and texts are empty. Other columns are ignored; repeated records give repeated rows.
+    Turns keep their order, roles and texts exactly."""
     known = sorted({p for x in LAYOUTS.values() for p in x.paths()})
-    top = records.select(F.col(id_col).alias("id"), F.expr(f"try_parse_json(`{record_col}`)").alias("v"))
-    top = top.select("id", F.when(F.schema_of_variant("v").startswith("OBJECT"), F.col("v").cast("map<string,variant>")).alias("top"))
-    print_ = top.select("id", "top", F.sha2(F.array_join(F.filter(field_paths(F.col("top")), lambda p: p.isin(known)), "\n"), 256).alias("print"))
+    kind = records.schema[record_col].dataType
+    typed = isinstance(kind, StructType)
+    own = fingerprint_of([p for p in schema_paths(kind) if p in known]) if typed else None
+    given = records.select(F.col(id_col).alias("id"), F.col(record_col).alias("top"))
+    if typed:
+        print_ = given.select("id", "top", F.when(F.col("top").isNotNull(), F.lit(own)).alias("print"))
+    else:
+        top = given.select("id", F.octet_length("top").alias("size"), F.expr("try_parse_json(top)").alias("v"))
+        lost = F.col("v").isNull() & (F.col("size") > PARSER_LIMIT)
+        top = top.select("id", F.when(lost, F.raise_error(F.concat(F.lit("record too large to parse, bytes: "), F.col("size").cast("string"))).cast("map<string,variant>")).when(F.schema_of_variant("v").startswith("OBJECT"), F.col("v").cast("map<string,variant>")).alias("top"))
+        print_ = top.select("id", "top", F.sha2(F.array_join(F.filter(field_paths(F.col("top")), lambda p: p.isin(known)), "\n"), 256).alias("print"))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for name, x in LAYOUTS.items():
+        if typed and fingerprint_of(x.paths()) != own:
+            continue
         fits = F.col("print") == fingerprint_of(x.paths())
         layout = F.when(fits, F.lit(name)).otherwise(layout)
-        turns = F.when(fits, x.turns(F.col("top"))).otherwise(turns)
+        turns = F.when(fits, x.turns(F.col("top"), typed)).otherwise(turns)
     chats = print_.select("id", layout.alias("layout"), F.coalesce(turns, F.array().cast("array<struct<role:string,text:string>>")).alias("turns"))
 
     def piece(t: Column) -> Column:
@@ -151,8 +178,8 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 
 
 def records_of_rows(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Conversations held as one row a turn, as `messages` records: (id, record). Turns are ordered
+    """Conversations held as one row a turn, as `messages` records: (id, record as a struct). Turns are ordered
     by turn, then role, then text; null roles and texts are empty; rows of a null id form one record."""
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     turns = rows.select(F.col(id_col).alias("_id"), turn.alias("_t")).groupBy("_id").agg(F.array_sort(F.collect_list("_t")).alias("_t"))
-    return turns.select(F.col("_id").alias(id_col), F.to_json(F.struct(F.transform("_t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages"))).alias("record"))
+    return turns.select(F.col("_id").alias(id_col), F.struct(F.transform("_t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages")).alias("record"))

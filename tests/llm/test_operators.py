@@ -1,6 +1,7 @@
 """Operators against brute force on small fixtures, with nulls, empty tables, ties, repeated rows and
 columns of clashing names."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import queries as q
-from ledgerloom.llm.chat_format import format_chats, loss_text, turns_of
+from ledgerloom.llm.chat_format import PARSER_LIMIT, format_chats, loss_text, records_of_rows, turns_of
 from ledgerloom.llm.embedding_dedup import near_dedup
 from ledgerloom.llm.exact_dedup import CHUNK, PRIMES, combine, exact_dedup, fingerprints
 from ledgerloom.llm.ngram_join import ngram_join
@@ -111,6 +112,26 @@ def test_chat_layouts(spark):
     assert all(got[i] == ([], "", None) for i in (4, 5, 6, 7))
 
 
+def test_chats_of_any_size(spark):
+    long = F.repeat(F.lit("<|"), PARSER_LIMIT // 2 + 1)
+    rows = spark.range(3).select(F.expr("id div 2").alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.when(F.col("id") == 1, long).otherwise("hi").alias("text"))
+    got = {r.conv_id: r for r in format_chats(records_of_rows(rows), "conv_id", "record").select("conv_id", "layout", "n_turns", F.length("formatted").alias("n"), F.sha2(loss_text(F.col("formatted"), F.col("loss_spans")), 256).alias("said")).collect()}
+    assert [(got[i].layout, got[i].n_turns) for i in (0, 1)] == [("messages", 2), ("messages", 1)]
+    assert got[0].said == hashlib.sha256(b"hi" + b"<|" * (PARSER_LIMIT // 2 + 1)).hexdigest()
+    assert got[0].n == 2 * 33 + 2 + 3 * (PARSER_LIMIT // 2 + 1) and got[1].n == 33 + 2
+    text = F.concat(F.lit('{"prompt": "p", "completion": "'), F.repeat(F.lit("x"), PARSER_LIMIT + 1), F.lit('"}'))
+    with pytest.raises(Exception, match="too large"):
+        format_chats(spark.range(1).select("id", text.alias("record")), "id", "record").select("n_turns").collect()
+
+
+def test_typed_chats(spark):
+    pair = spark.createDataFrame([(1, ("do", "x", "done")), (2, ("do", None, "done")), (3, None)], "id long, record struct<instruction:string,input:string,output:string>")
+    got = {r.id: (r.layout, [tuple(t) for t in r.t]) for r in format_chats(pair, "id", "record").select("id", "layout", turns_of(F.col("formatted")).alias("t")).collect()}
+    assert got == {1: ("instruction_input", [("user", "do\n\nx"), ("assistant", "done")]), 2: ("instruction_input", [("user", "do"), ("assistant", "done")]), 3: (None, [])}
+    other = spark.createDataFrame([(1, ([("a", "b")],))], "id long, record struct<chat:array<struct<role:string,content:string>>>")
+    assert [(r.layout, r.n_turns) for r in format_chats(other, "id", "record").collect()] == [(None, 0)]
+
+
 def test_embedding_dedup(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(6, 16))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Row tolerance as a part of the median height, its least value, the height where none
@@ -50,9 +50,11 @@ def markdown_row(cells: Column) -> Column:
     return F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |"))
 
 
-def grid_markdown(rows: DataFrame, key: str, n_columns: int, most: int = 60) -> DataFrame:
-    """(key, markdown): the first `most` rows of each grid (key, row_no, cells) as a table."""
+def grid_markdown(rows: DataFrame, key: str, n_columns: int, most: int = 60, order: tuple[str, ...] = ("row_no",)) -> DataFrame:
+    """(key, markdown): the first `most` rows of each grid (key, order, cells) as a table. With order
+    ("page", "row_no") a grid spans all pages of its key."""
     head = "| " + " | ".join(f"col{i}" for i in range(n_columns)) + " |\n| " + " | ".join(["---"] * n_columns) + " |"
-    lines = rows.where(F.col("row_no") < most).select(key, F.struct("row_no", markdown_row(F.col("cells")).alias("line")).alias("r"))
+    numbered = rows.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_place") <= most)
+    lines = numbered.select(key, F.struct("_place", markdown_row(F.col("cells")).alias("line")).alias("r"))
     body = lines.groupBy(key).agg(F.array_sort(F.collect_list("r")).alias("rs"))
     return body.select(key, F.concat_ws("\n", F.lit(head), F.col("rs.line")).alias("markdown"))

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.detection import available_banks, choose_parse, detect_layout
-from ledgerloom.operators.grid import cluster_rows, column_of, grid_cells, join_runs
+from ledgerloom.operators.grid import cluster_rows, column_of, grid_cells, grid_markdown, join_runs
 
 ITEMS = "page long, x double, y double, width double, height double, font_size double, seq long, text string"
 
@@ -23,6 +23,12 @@ def test_columns_and_cells(spark):
     assert spark.range(1).select(join_runs(F.expr("cast(array() as array<struct<x:double,seq:bigint,width:double,font_size:double,text:string>>)")).alias("t")).head().t == ""
 
 
+def test_markdown_over_pages(spark):
+    rows = spark.createDataFrame([("s", p, r, [f"{p}-{r}", "x"]) for p in range(3) for r in range(40)] + [("t", 1, 0, ["a|b", None])], "id string, page long, row_no long, cells array<string>")
+    got = {r.id: r.markdown.split("\n")[2:] for r in grid_markdown(rows, "id", 2, order=("page", "row_no")).collect()}
+    assert got == {"s": [f"| {i // 40}-{i % 40} | x |" for i in range(60)], "t": ["| a\\|b |  |"]}
+
+
 def test_layouts(spark):
     rows = [(1, "HDFC  Bank IFSC HDFC0123456", None), (2, "éUTIB0000789 axis bank", None), (3, None, None), (4, "nothing", "pnb-savings-v1"), (5, "hdfc bank", None), (6, "hdfc bank HDFC0123456", "no-such"), (7, "hdfc bank hdfc0123456", None)]
     got = {r.id: (r.layout_id, r.confidence) for r in detect_layout(spark.createDataFrame(rows, "id long, t string, h string"), "t", "h").collect()}

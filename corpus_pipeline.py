@@ -33,9 +33,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near copies the one with the smallest doc_id stays."""
-    kept = ngram_join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """Of documents linked by near copies one row stays: that of the smallest doc_id (a null one comes
+    last), of equal ids that of the smallest SHA-256. Rows without words link with nothing and stay."""
+    sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    own = docs.withColumn("_own", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), sha.alias("sha")))
+    found = ngram_join(own.select(F.col("_own").alias("doc_id"), "text")).where("doc_id = component_id")
+    kept = found.groupBy(F.col("doc_id").alias("_key")).agg(F.max("n_shingles").alias("_n"))
+    row = F.row_number().over(Window.partitionBy("_own").orderBy(F.lit(0)))
+    return own.join(kept, F.col("_own") == F.col("_key")).withColumn("_row", row).where("_row = 1 or _n = 0").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

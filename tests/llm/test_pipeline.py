@@ -1,5 +1,7 @@
 """The pipeline's stages against brute force, each on what the stage before it kept."""
 
+import hashlib
+
 import corpus_pipeline
 from ledgerloom.llm.runtime import Scratch
 
@@ -30,3 +32,16 @@ def test_stages(spark):
     assert set(kept[4]) == {i for i, (_, c) in brute_components(sorted(kept[3].items())).items() if i == c}
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
     assert {r.doc_id for r in packed} == set(kept[4]) and all(r["sum(length)"] == r["max(doc_tokens)"] for r in packed)
+
+
+def test_near_copies_of_repeated_ids(spark):
+    def pair(letter):
+        text = " ".join(f"{letter}{i}" for i in range(60))
+        return text, text + " x"
+
+    (a, a2), (b, b2), (c, c2), (d, d2), (e, _) = map(pair, "abcde")
+    first = lambda *texts: min(texts, key=lambda t: hashlib.sha256(t.encode()).digest())
+    texts = [(3, a), (7, a2), (7, e), (None, b), (None, b2), (8, c), (8, c2), (None, c), (4, d), (4, d), (None, d2), (5, None), (5, ""), (6, None)]
+    rows = corpus_pipeline.near(spark, spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, sha string"), SF).collect()
+    want = [(3, a), (7, e), (None, first(b, b2)), (8, first(c, c2)), (4, d), (5, ""), (5, ""), (6, "")]
+    assert sorted(map(str, ((r.doc_id, r.text or "") for r in rows))) == sorted(map(str, want))

@@ -114,6 +114,7 @@ class Shard:
             parts.append(np.frombuffer(data, kind, count, at))
             at += parts[-1].nbytes
         self.seeds, self.prints, self.offsets, self.lengths, self.keys, self.valid, self.sizes, self.payload = parts
+        self.ends = np.cumsum(self.sizes.astype(np.int64))
         self.end = at
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,9 +124,32 @@ class Shard:
         slot = find_slots(np.ascontiguousarray(keys, np.int64), self.seeds, len(self.prints))
         return self.prints[slot] == key_prints(np.ascontiguousarray(keys, np.int64)), self.offsets[slot].astype(np.int64), self.lengths[slot].astype(np.int64)
 
-    def get(self, key: int) -> np.ndarray | None:
+    def spans(self) -> tuple[np.ndarray, np.ndarray]:
+        """(offset, number of ids) of each document: of the first of each key from the index, checked
+        against the list of sizes; of null keys and of those that repeat a key from that list."""
+        size = self.sizes.astype(np.int64)
+        start = np.cumsum(size) - size
+        valid = self.valid.astype(bool)
+        first = np.flatnonzero(valid & np.concatenate([[True], (self.keys[1:] != self.keys[:-1]) | ~valid[:-1]]))
+        found, offset, length = self.find(self.keys[first])
+        if not (found & (offset == start[first]) & (length == size[first])).all():
+            raise ValueError("a shard's index does not fit its payload")
+        start[first], size[first] = offset, length
+        return start, size
+
+    def get(self, key: int) -> list[np.ndarray]:
+        """The ids of each document of a key: the index has the first, those that repeat it follow.
+        Documents must have ids, as those written have (the end id at least)."""
         found, offset, size = self.find(np.array([key]))
-        return self.payload[int(offset[0]) : int(offset[0] + size[0])] if found[0] else None
+        if not found[0]:
+            return []
+        begin, end = int(offset[0]), int(offset[0] + size[0])
+        at, out = int(np.searchsorted(self.ends, begin, "right")), []
+        while at < len(self.keys) and self.valid[at] and self.keys[at] == key:
+            out.append(self.payload[begin:end])
+            at += 1
+            begin, end = end, int(self.ends[at]) if at < len(self.keys) else end
+        return out
 
 
 def shards_in(data: bytes):
@@ -171,7 +195,8 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_file: str, end_id:
 
 def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
     """One row per document as read back: id, file, shard, place (all ascending with id), start
-    (ids before it in its shard), n_tokens, ids_crc32. Each is looked up by its shard's index."""
+    (ids before it in its shard), n_tokens, ids_crc32. Each is looked up by its shard's index, but
+    for null ids and rows that repeat an id, which it does not hold."""
 
     def rows(batches):
         names = ["id", "file", "shard", "place", "start", "n_tokens", "ids_crc32"]
@@ -179,12 +204,7 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 file = int(name.rsplit("/part-", 1)[1].split("-")[0])
                 for number, s in enumerate(shards_in(memoryview(data.as_buffer()))):
-                    sizes = s.sizes.astype(np.int64)
-                    start = np.cumsum(sizes) - sizes
-                    found, offset, size = s.find(s.keys)
-                    first = s.valid.astype(bool) & np.concatenate([[True], s.keys[1:] != s.keys[:-1]])
-                    if not (found & (offset == start) & (size == sizes))[first].all():
-                        raise ValueError("a shard's index does not fit its payload")
+                    start, sizes = s.spans()
                     wide = s.payload.astype("<u4")
                     crc = [zlib.crc32(wide[i:j]) for i, j in zip(start, start + sizes, strict=True)]
                     n = len(sizes)
@@ -207,8 +227,8 @@ def with_global_start(rows: DataFrame) -> DataFrame:
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame, key_col: str, most_shards: int = 1_000_000) -> DataFrame:
-    """Keyed access: (key, ids as array<long>) of the keys that are there, one row a key and shard
-    that holds it. Keys go to the shards whose range of ids holds them; the list of ranges is
+    """Keyed access: (key, ids as array<long>) of the keys that are there, one row a document of a key,
+    also where documents repeat it. Keys go to the shards whose range of ids holds them; the list of ranges is
     checked against `most_shards` before it is broadcast."""
     place = read_token_shards(spark, path).where("id is not null").groupBy("file", "shard").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     if place.count() > most_shards:
@@ -221,7 +241,7 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, key_col: str, most_s
         for batch in batches:
             for data, number, wanted in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 shard = next(s for i, s in enumerate(shards_in(memoryview(data.as_buffer()))) if i == number)
-                found = [(k, got.tolist()) for k in wanted.as_py() if (got := shard.get(k)) is not None]
+                found = [(k, got.tolist()) for k in wanted.as_py() for got in shard.get(k)]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([v for _, v in found], pa.list_(pa.int64()))], names=["key", "ids"])
 
     return files.join(dealt, "file").select("content", "shard", "keys").mapInArrow(get, "key long, ids array<long>")

@@ -188,6 +188,27 @@ def test_perfect_hash():
     assert s.find(np.arange(-2000, 0))[0].sum() <= 1
 
 
+def test_index_is_read():
+    keys, valid = np.array([0, 0, 0, 5, 5, 9]), np.array([0, 1, 1, 1, 1, 1])
+    s = Shard(shard_bytes(keys, valid, np.array([2, 1, 3, 1, 2, 1]), np.arange(10), 2))
+    assert [x.tolist() for x in s.spans()] == [[0, 2, 3, 6, 7, 9], [2, 1, 3, 1, 2, 1]]
+    assert [[x.tolist() for x in s.get(k)] for k in (0, 5, 9, 4)] == [[[2], [3, 4, 5]], [[6], [7, 8]], [[9]], []]
+    asked, find = [], s.find
+    s.find = lambda k: asked.extend(k.tolist()) or find(k)
+    s.spans()
+    assert asked == [0, 5, 9]
+    s.offsets = s.offsets + np.uint64(1)
+    with pytest.raises(ValueError, match="index"):
+        s.spans()
+
+
+def test_repeated_ids_are_found(spark, words, tmp_path):
+    path = str(tmp_path / "shards")
+    write_token_shards(frame(spark, ODD), path, q.tokenizer_path("word_bpe_49k.json"), 2)
+    found = [r.ids for r in lookup(spark, path, spark.createDataFrame([(7,)], "k long"), "k").collect()]
+    assert sorted(found) == sorted([*words.encode(t, add_special_tokens=False).ids, 2] for i, t in ODD if i == 7)
+
+
 def test_packing(spark, words):
     texts = [*ODD, *((100 + i, "word " * (37 * i % 900)) for i in range(80))]
     rows = pack(frame(spark, texts).repartition(4), q.tokenizer_path("word_bpe_49k.json"), 1, open_windows=4).collect()

@@ -104,8 +104,9 @@ def trait_cache() -> TraitCache:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, most_passages: int = 300_000, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Network:
-    """Fits on at most `most_rows` labelled documents. Their passages' features come to the driver;
-    if they have more than `most_passages`, documents of the largest hashes are left out of the fit.
+    """Fits on at most `most_rows` labelled documents, one row an id: that of the fewest passages, then
+    of the smallest digest. Their passages are counted first; documents that go beyond `most_passages`
+    in the order of the ids' hashes are left out, and only the others' features come to the driver.
     Where the sample holds one label only, all scores are that label; without labels, 1."""
 
     def run(batches):
@@ -115,15 +116,26 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, most_
             x = x.astype(np.float32)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(passages), pa.array([x[e - n : e].tobytes() for e, n in zip(ends, passages, strict=True)], pa.binary())], names=["id", "label", "n", "x"])
 
-    sample = labelled_sample(docs, labels, label, most_rows, id_col, text_col).select("id", "label", "text")
+    def count(batches):
+        for b in slices(batches, 2):
+            passages = np.maximum(1, -(-word_codes(b.column(2))[0] // PASSAGE_WORDS))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(passages)], names=["id", "sha", "n"])
+
+    sample = labelled_sample(docs, labels, label, most_rows, id_col, text_col).select("id", "label", F.sha2("text", 256).alias("sha"), "text")
     kind = sample.schema["id"].dataType.simpleString()
-    bags = sample.mapInArrow(run, f"id {kind}, label double, n long, x binary").toArrow().to_pydict()
-    order = sorted(range(len(bags["id"])), key=lambda i: (zlib.crc32(str(bags["id"][i]).encode()), bags["n"][i]))
-    kept, total = [], 0
-    for i in order:
-        if total + bags["n"][i] <= most_passages:
-            kept.append(i)
-            total += bags["n"][i]
+    counted = sample.select("id", "sha", "text").mapInArrow(count, f"id {kind}, sha string, n long").groupBy("id").agg(F.min(F.struct("n", "sha")).alias("r"))
+    counted = counted.select("id", "r.n", "r.sha")
+    rows = counted.toArrow()
+    ids, sizes = rows.column("id").to_pylist(), rows.column("n").to_pylist()
+    chosen, total = [], 0
+    for i in sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), str(ids[i]))):
+        if total + sizes[i] <= most_passages:
+            chosen.append(i)
+            total += sizes[i]
+    picked = docs.sparkSession.createDataFrame(rows.take(pa.array(chosen, pa.int64())).select(["id", "sha"]), counted.select("id", "sha").schema)
+    texts = sample.join(F.broadcast(picked), ["id", "sha"]).groupBy("id").agg(F.first("label").alias("label"), F.first("text").alias("text"))
+    bags = texts.mapInArrow(run, f"id {kind}, label double, n long, x binary").toArrow().to_pydict()
+    kept = sorted(range(len(bags["id"])), key=lambda i: (zlib.crc32(str(bags["id"][i]).encode()), str(bags["id"][i])))
     if len({bags["label"][i] > 0 for i in kept}) < 2:
         return Network({}, np.zeros(0), np.zeros(0), float(not kept or bags["label"][kept[0]] > 0))
     x = np.concatenate([np.frombuffer(bags["x"][i], np.float32).reshape(-1, WIDTH) for i in kept]).astype(np.float64)

@@ -17,7 +17,7 @@ from ledgerloom.llm.embedding_dedup import near_dedup
 from ledgerloom.llm.exact_dedup import CHUNK, PRIMES, combine, exact_dedup, fingerprints
 from ledgerloom.llm.ngram_join import ngram_join
 from ledgerloom.llm.packing import pack
-from ledgerloom.llm.quality_mil import fit_quality, score_quality
+from ledgerloom.llm.quality_mil import WIDTH, fit_quality, score_quality
 from ledgerloom.llm.sentencepiece_codec import decode_ids, encode_texts
 from ledgerloom.llm.token_output import Shard, lookup, read_token_shards, shard_bytes, with_global_start, write_token_shards
 from ledgerloom.llm.toxicity import fit_toxicity, score_toxicity
@@ -234,6 +234,16 @@ def test_sentencepiece(spark):
     assert back == {i: t or "" for i, t in texts}
 
 
+def test_quality_sample_is_bounded_before_the_driver(spark, monkeypatch):
+    docs = frame(spark, [(i, " ".join([f"good w{k}"] * (32 * (1 + k % 3)))) for i in range(12) for k in range(30)] + [(20, " ".join(["long"] * 32_000))])
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(12), 20]], "doc_id long, quality int")
+    came, collect = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda df: came.append(collect(df)) or came[-1])
+    model = fit_quality(docs, labels, most_rows=50, most_passages=8)
+    assert model.weights and max(t.num_rows for t in came) <= 13
+    assert sum(len(x) for t in came if "x" in t.column_names for x in t.column("x").to_pylist()) == 8 * WIDTH * 4
+
+
 def test_classifiers(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

@@ -18,7 +18,7 @@ from ledgerloom.llm.exact_dedup import CHUNK, PRIMES, combine, exact_dedup, fing
 from ledgerloom.llm.ngram_join import ngram_join
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.quality_mil import WIDTH, fit_quality, score_quality
-from ledgerloom.llm.sentencepiece_codec import decode_ids, encode_texts
+from ledgerloom.llm.sentencepiece_codec import SPACE, UNKNOWN_PENALTY, decode_ids, encode_texts
 from ledgerloom.llm.token_output import Shard, lookup, read_token_shards, shard_bytes, with_global_start, write_token_shards
 from ledgerloom.llm.toxicity import fit_toxicity, score_toxicity
 from ledgerloom.llm.url_filter import filter_urls
@@ -234,6 +234,39 @@ def test_sentencepiece(spark):
     assert back == {i: t or "" for i, t in texts}
 
 
+def test_sentencepiece_ids_by_plain_viterbi(spark):
+    import sentencepiece
+
+    path = q.tokenizer_path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    every = range(sp.get_piece_size())
+    in_use = {sp.id_to_piece(i): i for i in every if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_unused(i) or sp.is_byte(i))}
+    as_byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in every if sp.is_byte(i)}
+    lowest, longest = min(map(sp.get_score, every)) - UNKNOWN_PENALTY, max(map(len, in_use))
+
+    def plain(text):
+        """Over whole texts; of equal sums the path whose last piece is longest, from the end."""
+        chars = (" " + text).replace(" ", SPACE) if text else ""
+        best = [(0.0, 0, [])]
+        for j in range(1, len(chars) + 1):
+            ways = [(best[i][0] + sp.get_score(in_use[chars[i:j]]), -i, [in_use[chars[i:j]]]) for i in range(max(0, j - longest), j) if chars[i:j] in in_use]
+            if chars[j - 1] not in in_use:
+                ways.append((best[j - 1][0] + lowest, 1 - j, [as_byte[b] for b in chars[j - 1].encode()]))
+            best.append(max(ways, key=lambda w: w[:2]))
+        out, j = [], len(chars)
+        while j:
+            out[:0] = best[j][2]
+            j = -best[j][1]
+        return out
+
+    texts = [(i, t) for i, (_, t) in enumerate([*ODD, (0, "the cat of the house, and the dog"), (0, "a \U0001F9A5 b\nthe\tend")])]
+    want = {i: plain(t) for i, t in texts}
+    encoded = encode_texts(frame(spark, texts), path)
+    assert {r.doc_id: r.ids for r in encoded.collect()} == want
+    got = {r.doc_id: (r.n_ids, r.n_byte_ids, r.ids_crc32) for r in decode_ids(encoded, path).collect()}
+    assert got == {i: (len(x), sum(k in as_byte.values() for k in x), zlib.crc32(np.array(x, "<u4"))) for i, x in want.items()}
+
+
 def test_quality_sample_is_bounded_before_the_driver(spark, monkeypatch):
     docs = frame(spark, [(i, " ".join([f"good w{k}"] * (32 * (1 + k % 3)))) for i in range(12) for k in range(30)] + [(20, " ".join(["long"] * 32_000))])
     labels = spark.createDataFrame([(i, i % 2) for i in [*range(12), 20]], "doc_id long, quality int")

@@ -43,7 +43,28 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix(np.add.reduceat(BYTE_HASH[letters] * byte_powers(int(sizes.max()))[place], at)), words
 
 
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def class_hashes(value: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each set; 0 for empty ones."""
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value ^ (ODD * np.uint64(2 * seed + 1))))])
+    ends = np.cumsum(sizes)
+    classes = mix((total[ends] - total[ends - sizes]) ^ sizes.astype(np.uint64))
+    return np.where(sizes > 0, classes, np.uint64(0)).view(np.int64)
+
+
+def parities(value: np.ndarray, sizes: np.ndarray, words: int) -> np.ndarray:
+    """For each set, of 64 * words classes of shingles, whether it holds an odd number: packed into
+    `words` integers. Each shingle that only one of two sets has changes one bit of their difference."""
+    bits, ends, out = 64 * words, np.cumsum(sizes), np.zeros((len(sizes), words), np.int64)
+    for i in range(0, len(sizes), 4096):
+        own = sizes[i : i + 4096]
+        of = value[ends[i] - own[0] : ends[i + len(own) - 1]] >> np.uint64(40)
+        odd = np.bincount(np.repeat(np.arange(len(own)), own) * bits + (of % np.uint64(bits)).astype(np.int64), minlength=len(own) * bits) & 1
+        out[i : i + len(own)] = np.packbits(odd.astype(np.uint8).reshape(len(own), bits), axis=1).view(np.int64)
+    return out
+
+
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes of each text, end to end; how many of each; class of each).
     Texts of fewer words have their whole sequence as the one shingle; texts without words none and
     class 0. Equal classes are equal sets, but for collisions of 64-bit hashes."""
@@ -66,7 +87,4 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     keep = np.ones(len(value), bool)
     keep[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
     value, sizes = value[keep], np.bincount(owner[keep], minlength=len(counts))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value ^ ODD))])
-    ends = np.cumsum(sizes)
-    classes = mix((total[ends] - total[ends - sizes]) ^ sizes.astype(np.uint64))
-    return value, sizes, np.where(sizes > 0, classes, np.uint64(0)).view(np.int64)
+    return value, sizes, class_hashes(value, sizes, seed)

@@ -253,13 +253,17 @@ def star_pairs(matches: DataFrame, percent: int) -> DataFrame:
 
     Classes of one grade are those whose sizes differ by less than the similarity allows: partners are
     of the same or the next grade. The head of a shingle and grade is the class whose shingles are the
-    most shared: of near copies, the one that is nearest to most. Of the heads of its shingles, a class
+    most shared: of near copies, the one that is nearest to most; the second such class is one for the
+    head itself. Of the heads of its shingles, a class
     is paired with those that it meets k times, with the one that it meets most often, and with the one
     whose shingles are the most shared. What this misses is found by the join of all."""
     grade = F.floor(F.log("n") / math.log(100 / percent))
     central = matches.join(matches.groupBy("token").agg(F.count("*").alias("df")), "token").groupBy("cid").agg(F.sum("df").alias("shared"))
-    heads = matches.join(central, "cid").withColumn("grade", grade).groupBy("token", "grade").agg(F.max(F.struct("shared", "cid", "n", "k", "p")).alias("h"))
-    heads = heads.select("token", "grade", *(F.col(f"h.{c}").alias(v) for c, v in (("shared", "rank"), ("cid", "y"), ("n", "ny"), ("k", "ky"), ("p", "py"))))
+    ranked = matches.join(central, "cid").withColumn("grade", grade)
+    best = F.max(F.struct("shared", "cid", "n", "k", "p")).alias("h")
+    head = ranked.groupBy("token", "grade").agg(best)
+    second = ranked.join(head.select("token", "grade", F.col("h.cid").alias("hc")), ["token", "grade"]).where("cid <> hc").groupBy("token", "grade").agg(best)
+    heads = head.unionByName(second).select("token", "grade", *(F.col(f"h.{c}").alias(v) for c, v in (("shared", "rank"), ("cid", "y"), ("n", "ny"), ("k", "ky"), ("p", "py"))))
     asks = matches.select("token", F.explode(F.array(grade - 1, grade, grade + 1)).alias("grade"), *(F.col(c).alias(v) for c, v in (("cid", "x"), ("n", "nx"), ("k", "kx"), ("p", "px"))))
     met = asks.join(heads, ["token", "grade"]).where("x <> y").where(may_reach(percent))
     met = met.groupBy("x", "y").agg(F.count("*").alias("both"), F.min(F.least("kx", "ky")).alias("k"), F.max("rank").alias("rank"))

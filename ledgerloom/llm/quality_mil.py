@@ -27,7 +27,8 @@ WIDTH = len(TRAITS) + 5
 def passage_features(cache: TraitCache, column) -> tuple[np.ndarray, np.ndarray]:
     """(features of all passages, number of passages of each text); a text without words is one empty passage."""
     counts, codes, words = word_codes(column)
-    traits = cache.of(words)[codes]
+    traits = cache.of(words)
+    of = [traits[:, i] for i in range(len(TRAITS))]
     owner = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(len(codes)) - (np.cumsum(counts) - counts)[owner]
     passages = np.maximum(1, -(-counts // PASSAGE_WORDS))
@@ -37,7 +38,7 @@ def passage_features(cache: TraitCache, column) -> tuple[np.ndarray, np.ndarray]
     same = np.zeros(len(codes), bool)
     same[1:] = (codes[1:] == codes[:-1]) & (passage[1:] == passage[:-1])
     distinct = np.bincount(np.unique(passage.astype(np.int64) * (len(words) + 1) + codes) // (len(words) + 1), minlength=len(size))
-    total = sums(np.column_stack([traits, same, traits[:, 0] ** 2]), size)
+    total = sums((*(t[codes] for t in of), same, of[0][codes] ** 2), size)
     n, chars = np.maximum(size, 1)[:, None], np.maximum(total[:, :1], 1)
     mean = total[:, :1] / n
     spread = np.sqrt(np.maximum(total[:, len(TRAITS) + 1 :] / n - mean**2, 0))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import ragged, slices
-from .words import WordCache
+from .words import WordMemory, spread
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -198,30 +198,29 @@ class Codec:
     def __init__(self, model: Model):
         self.m = model
         self.find = re.compile(model.split).findall if model.split else lambda text: [text]
-        self.cache = WordCache(self.paths, 250_000)
+        self.cache = WordMemory(self.paths, np.uint32)
         self.table = np.frombuffer(b"".join(model.surfaces), np.uint8)
         self.sizes = np.fromiter(map(len, model.surfaces), np.int64, len(model.surfaces))
         self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def paths(self, words: list[str]) -> list[np.ndarray]:
+    def paths(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Best paths, of so many words at once that the table of their pieces stays small."""
         out = []
         for at in range(0, len(words), 16_000):
             out += viterbi(self.m, [w.replace(" ", SPACE) for w in words[at : at + 16_000]])
-        return out
+        return np.concatenate(out), np.fromiter(map(len, out), np.int32, len(out))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, number of ids of each text); an empty text has none."""
         found = [self.find(" " + t) if t else [] for t in texts]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         coded = pa.array([w for words in found for w in words], pa.large_string()).dictionary_encode()
-        flat, sizes = self.cache.ids(coded.dictionary.to_pylist())
+        flat, starts, sizes = self.cache.of(coded.dictionary)
         codes = coded.indices.to_numpy(zero_copy_only=False)
         took = sizes[codes]
-        starts = np.cumsum(sizes) - sizes
         total = np.concatenate([[0], np.cumsum(took)])
         ends = np.cumsum(counts)
-        return flat[ragged(starts[codes], took)].astype(np.uint32), total[ends] - total[ends - counts]
+        return spread(flat, starts[codes], took), total[ends] - total[ends - counts]
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """Byte pieces become their bytes, U+2581 a blank, and the leading blank goes. Bytes that are

@@ -3,11 +3,12 @@
 Documents are dealt to ranges of ascending id; each task writes shards one after the other into
 one file by Spark's own writer (so a lost task leaves nothing behind and is written anew). A
 shard holds, little-endian: a header; the hash's displacements; for each slot the key's 32-bit
-fingerprint, offset and number of ids; the document ids in order; the raw ids.
+fingerprint, offset and document; the document ids and numbers of ids in order; the raw ids. A small
+index table beside the files tells where each shard begins and which ids it holds.
 
 The hash puts keys into buckets of four on average. Buckets of two or more, largest first, look
 for a displacement under which all their keys fall on free slots; a bucket of one takes a free
-slot directly. Lookup: two hashes, one slot, one comparison of fingerprints."""
+slot directly. Lookup: two hashes, one slot, one comparison of fingerprints, then of the key itself."""
 
 from __future__ import annotations
 
@@ -19,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import slices
+from .runtime import ragged, slices
 from .word_bpe import SLICE, broadcast_definition, tokenizer_of
 
 MAGIC, HEADER = b"LLTOKEN1", struct.Struct("<8sIIQQQQ")  # magic, bytes an id, unused, documents, keys, buckets, ids
 DIRECT = np.uint32(1 << 31)
-IDS_A_SHARD, DOCS_A_SHARD = 4 << 20, 1 << 16
+IDS_A_SHARD, DOCS_A_SHARD = 1 << 20, 1 << 16
+INDEX = "_index"  # a folder that readers of the data files pass over
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -93,11 +95,11 @@ def shard_bytes(keys: np.ndarray, valid: np.ndarray, sizes: np.ndarray, ids: np.
     distinct, first = np.unique(keys[known], return_index=True)
     at = known[first]
     n = len(distinct)
-    seeds, prints, offsets, lengths = np.zeros(1, np.uint32), np.zeros(n, np.uint32), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    seeds, prints, offsets, places = np.zeros(1, np.uint32), np.zeros(n, np.uint32), np.zeros(n, np.uint64), np.zeros(n, np.uint32)
     if n:
         seeds, slots = build_hash(distinct)
-        prints[slots], offsets[slots], lengths[slots] = key_prints(distinct), starts[at], sizes[at]
-    return b"".join([HEADER.pack(MAGIC, id_bytes, 0, len(keys), n, len(seeds), len(ids)), seeds.tobytes(), prints.tobytes(), offsets.tobytes(), lengths.tobytes(),
+        prints[slots], offsets[slots], places[slots] = key_prints(distinct), starts[at], at
+    return b"".join([HEADER.pack(MAGIC, id_bytes, 0, len(keys), n, len(seeds), len(ids)), seeds.tobytes(), prints.tobytes(), offsets.tobytes(), places.tobytes(),
                      keys.astype("<i8").tobytes(), valid.astype(np.uint8).tobytes(), sizes.astype("<u8").tobytes(), ids.astype(f"<u{id_bytes}").tobytes()])
 
 
@@ -110,10 +112,10 @@ class Shard:
             raise ValueError("not a token shard")
         at += HEADER.size
         parts = []
-        for kind, count in (("<u4", buckets), ("<u4", n), ("<u8", n), ("<u8", n), ("<i8", docs), ("u1", docs), ("<u8", docs), (f"<u{self.id_bytes}", ids)):
+        for kind, count in (("<u4", buckets), ("<u4", n), ("<u8", n), ("<u4", n), ("<i8", docs), ("u1", docs), ("<u8", docs), (f"<u{self.id_bytes}", ids)):
             parts.append(np.frombuffer(data, kind, count, at))
             at += parts[-1].nbytes
-        self.seeds, self.prints, self.offsets, self.lengths, self.keys, self.valid, self.sizes, self.payload = parts
+        self.seeds, self.prints, self.offsets, self.places, self.keys, self.valid, self.sizes, self.payload = parts
         self.ends = np.cumsum(self.sizes.astype(np.int64))
         self.end = at
 
@@ -121,8 +123,11 @@ class Shard:
         """(found, offset, number of ids) of each key, in constant time a key."""
         if not len(self.prints):
             return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        slot = find_slots(np.ascontiguousarray(keys, np.int64), self.seeds, len(self.prints))
-        return self.prints[slot] == key_prints(np.ascontiguousarray(keys, np.int64)), self.offsets[slot].astype(np.int64), self.lengths[slot].astype(np.int64)
+        keys = np.ascontiguousarray(keys, np.int64)
+        slot = find_slots(keys, self.seeds, len(self.prints))
+        place = self.places[slot]
+        found = (self.prints[slot] == key_prints(keys)) & (self.keys[place] == keys)
+        return found, self.offsets[slot].astype(np.int64), self.sizes[place].astype(np.int64)
 
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
         """(offset, number of ids) of each document: of the first of each key from the index, checked
@@ -162,7 +167,7 @@ def shards_in(data: bytes):
 
 def write_token_shards(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", bytes_a_file: int = 24 << 20, id_bytes: int = 2) -> None:
     """Writes all texts' ids, end_id after each, in ascending id (nulls first; rows of equal ids by
-    text). A null text is empty: its ids are end_id alone. Ids must be below 2^16, or pass id_bytes=4.
+    text; those of one id may go to several files). A null text is empty: its ids are end_id alone. Ids must be below 2^16, or pass id_bytes=4.
     Document ids are taken as 64-bit integers. An empty table writes no shard."""
     spark = docs.sparkSession
     shared = broadcast_definition(spark, tokenizer_file)
@@ -189,8 +194,34 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_file: str, end_id:
         data = shard_bytes(*(np.concatenate([h[i] for h in held]) for i in range(4)), id_bytes)
         return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["value"])
 
-    dealt = texts.repartitionByRange(files, "id").sortWithinPartitions("id", "text")
+    # Rows of one id are parted by the beginnings of their texts, equal rows by their places.
+    dealt = texts.repartitionByRange(files, "id", F.substring("text", 1, 32), F.monotonically_increasing_id()).sortWithinPartitions("id", "text")
     dealt.mapInArrow(encode, "value binary").select(F.col("value").cast("string").alias("value")).write.text(path)
+    shards_of(spark, path).write.parquet(f"{path}/{INDEX}")
+
+
+def file_number(path: str) -> int:
+    return int(path.rsplit("/part-", 1)[1].split("-")[0])
+
+
+def shards_of(spark: SparkSession, path: str) -> DataFrame:
+    """(path, file, shard, begin, low, high): where each shard begins and its least and largest id;
+    both null where it has no id but null."""
+
+    def places(batches):
+        names = ["path", "file", "shard", "begin", "low", "high"]
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                begin, rows = 0, []
+                for number, s in enumerate(shards_in(memoryview(data.as_buffer()))):
+                    keys = s.keys[s.valid.astype(bool)]
+                    rows.append((name, file_number(name), number, begin, *((int(keys.min()), int(keys.max())) if len(keys) else (None, None))))
+                    begin = s.end + 1
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 0 else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))], names=names)
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(places, "path string, file long, shard long, begin long, low long, high long")
 
 
 def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -202,7 +233,7 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
         names = ["id", "file", "shard", "place", "start", "n_tokens", "ids_crc32"]
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                file = int(name.rsplit("/part-", 1)[1].split("-")[0])
+                file = file_number(name)
                 for number, s in enumerate(shards_in(memoryview(data.as_buffer()))):
                     start, sizes = s.spans()
                     wide = s.payload.astype("<u4")
@@ -214,34 +245,55 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(rows, "id long, file long, shard long, place long, start long, n_tokens long, ids_crc32 long")
 
 
-def with_global_start(rows: DataFrame) -> DataFrame:
-    """Makes `start` the number of ids in all documents before. Sums are by shard, then by file; the
-    last window is over one row a file, whose number is that of the writing tasks."""
-    shards = rows.groupBy("file", "shard").agg(F.sum("n_tokens").alias("n"))
-    files = shards.groupBy("file").agg(F.sum("n").alias("n"))
-    before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
-    files = files.select("file", F.coalesce(before, F.lit(0)).alias("file_start"))
-    within = F.sum("n").over(Window.partitionBy("file").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    base = shards.select("file", "shard", F.coalesce(within, F.lit(0)).alias("shard_start")).join(files, "file").select("file", "shard", (F.col("file_start") + F.col("shard_start")).alias("base"))
+def with_global_start(rows: DataFrame, files_a_block: int = 1024) -> DataFrame:
+    """Makes `start` the number of ids in all documents before. Sums are by shard, by file and by block
+    of files; the last window is over one row a block, thousands where there are millions of files."""
+    block = F.expr(f"file div {files_a_block}")
+    shards = rows.groupBy("file", "shard").agg(F.sum("n_tokens").alias("n")).withColumn("block", block)
+    blocks = shards.groupBy("block").agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("block", F.coalesce(before, F.lit(0)).alias("block_start"))
+    within = F.sum("n").over(Window.partitionBy("block").orderBy("file", "shard").rowsBetween(Window.unboundedPreceding, -1))
+    base = shards.withColumn("within", F.coalesce(within, F.lit(0))).join(blocks, "block").select("file", "shard", (F.col("within") + F.col("block_start")).alias("base"))
     return rows.join(base, ["file", "shard"]).withColumn("start", F.col("start") + F.col("base")).drop("base")
 
 
-def lookup(spark: SparkSession, path: str, keys: DataFrame, key_col: str, most_shards: int = 1_000_000) -> DataFrame:
+def lookup(spark: SparkSession, path: str, keys: DataFrame, key_col: str, most_shards: int = 1_000_000, files_a_job: int = 10_000) -> DataFrame:
     """Keyed access: (key, ids as array<long>) of the keys that are there, one row a document of a key,
-    also where documents repeat it. Keys go to the shards whose range of ids holds them; the list of ranges is
-    checked against `most_shards` before it is broadcast."""
-    place = read_token_shards(spark, path).where("id is not null").groupBy("file", "shard").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    if place.count() > most_shards:
+    also where documents repeat it. The index table tells which shards may hold a key; its size is
+    checked against `most_shards` before it is broadcast. Only files with such shards are read, in
+    jobs of `files_a_job` at most, and in them only those shards."""
+    index = spark.read.parquet(f"{path}/{INDEX}").where("low is not null")
+    if index.count() > most_shards:
         raise ValueError("too many shards for one broadcast: look up in one folder of shards at a time")
+    known = index.orderBy("file", "shard").toArrow()
+    shared = spark.sparkContext.broadcast(known)  # low and high ascend
+
+    def find(batches):
+        at = shared.value
+        low, high = at.column("low").to_numpy(), at.column("high").to_numpy()
+        for b in batches:
+            own = b.column(0).to_numpy()
+            first, end = np.searchsorted(high, own, "left"), np.searchsorted(low, own, "right")
+            n = np.maximum(end - first, 0)
+            rows = pa.array(ragged(first, n))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(own)), n))), *(at.column(c).take(rows).combine_chunks() for c in ("path", "begin"))], names=["key", "path", "begin"])
+
     asked = keys.select(F.col(key_col).cast("long").alias("key")).where("key is not null").distinct()
-    dealt = asked.join(F.broadcast(place), F.col("key").between(F.col("low"), F.col("high"))).groupBy("file", "shard").agg(F.collect_list("key").alias("keys"))
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"/part-(\d+)-", 1).cast("long").alias("file"), "content")
+    dealt = asked.mapInArrow(find, "key long, path string, begin long").groupBy("path", "begin").agg(F.collect_set("key").alias("keys"))
+    dealt = dealt.groupBy("path").agg(F.collect_list(F.struct("begin", "keys")).alias("wanted"))
+    paths = [r.path for r in dealt.select("path").orderBy("path").collect()]  # one a shard asked for, most_shards at most
 
     def get(batches):
         for batch in batches:
-            for data, number, wanted in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                shard = next(s for i, s in enumerate(shards_in(memoryview(data.as_buffer()))) if i == number)
-                found = [(k, got.tolist()) for k in wanted.as_py() for got in shard.get(k)]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([v for _, v in found], pa.list_(pa.int64()))], names=["key", "ids"])
-
-    return files.join(dealt, "file").select("content", "shard", "keys").mapInArrow(get, "key long, ids array<long>")
+            for data, wanted in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                for w in wanted:
+                    shard = Shard(memoryview(data.as_buffer()), w["begin"])
+                    found = [(k, got.tolist()) for k in w["keys"] for got in shard.get(k)]
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([v for _, v in found], pa.list_(pa.int64()))], names=["key", "ids"])
+
+    out = spark.createDataFrame([], "key long, ids array<long>")
+    for i in range(0, len(paths), files_a_job):
+        files = spark.read.format("binaryFile").load(paths[i : i + files_a_job]).select("path", "content")
+        out = out.unionByName(files.join(dealt, "path").select("content", "wanted").mapInArrow(get, "key long, ids array<long>"))
+    return out

@@ -23,7 +23,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructType
 from .runtime import Scratch, slices, worker_cache
 from .training import labelled_sample
 from .word_traits import TraitCache, sums
-from .words import word_codes
+from .words import WordMemory, word_codes
 
 STEMS = (4, 5, 6)
 STRONG, MID = 3.0, 1.5
@@ -42,7 +42,7 @@ def gram_counts(batches):
     """(label, text) to the lexicon candidates of each slice with how many toxic and other texts hold them."""
     for b in slices(batches):
         counts, codes, words = word_codes(b.column(1))
-        of = [grams(core(w)) for w in words]
+        of = [grams(core(w)) for w in words.to_pylist()]
         found: list[Counter] = [Counter(), Counter()]
         at = 0
         for label, n in zip(b.column(0).to_pylist(), counts.tolist(), strict=True):
@@ -57,27 +57,24 @@ FEATURES = ("words", "strong", "strong_rate", "mid", "mid_rate", "weight_rate",
 
 class Features:
     def __init__(self, lexicon: dict[str, float]):
-        self.lexicon, self.cache, self.weights = lexicon, TraitCache(), {}
+        self.lexicon, self.cache, self.weights = lexicon, TraitCache(), WordMemory(self.weight, np.float32, 1)
 
-    def weight(self, word: str) -> float:
-        if (got := self.weights.get(word)) is None:
-            if len(self.weights) > 200_000:
-                self.weights.clear()
-            got = self.weights[word] = max((self.lexicon.get(g, 0.0) for g in grams(core(word))), default=0.0)
-        return got
+    def weight(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        find = self.lexicon.get
+        return np.array([[max((find(g, 0.0) for g in grams(core(w))), default=0.0)] for w in words], np.float32).reshape(len(words), 1), np.ones(len(words), np.int32)
 
     def of(self, column) -> np.ndarray:
         counts, codes, words = word_codes(column)
         traits = self.cache.of(words)
-        weight = np.fromiter(map(self.weight, words), np.float32, len(words))
-        t, w = traits[codes], weight[codes]
+        flat, starts, _ = self.weights.of(words)
+        w = flat[starts, 0][codes]
         ends = np.cumsum(counts)
         owner = np.repeat(np.arange(len(counts)), counts)
-        person = np.concatenate([[0], np.cumsum(t[:, 12])])
+        person = np.concatenate([[0], np.cumsum(traits[:, 12][codes])])
         at = np.arange(len(codes))
         low, high = np.maximum(at - NEAR, (ends - counts)[owner]), np.minimum(at + NEAR + 1, ends[owner])
         near = (w >= MID) & (person[high] > person[low])
-        total = sums(np.column_stack([w >= STRONG, w >= MID, w, near, t[:, 12], t[:, 6], t[:, 2], t[:, 5], t[:, 4], t[:, 3], t[:, 11], t[:, 10], t[:, 0], t[:, 1]]), counts)
+        total = sums((w >= STRONG, w >= MID, w, near, *(traits[:, i][codes] for i in (12, 6, 2, 5, 4, 3, 11, 10, 0, 1))), counts)
         heaviest = np.zeros(len(counts))
         np.maximum.at(heaviest, owner, w)
         n, chars, letters = np.maximum(counts, 1), np.maximum(total[:, 12], 1), np.maximum(total[:, 13], 1)

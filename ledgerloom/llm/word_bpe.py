@@ -10,9 +10,11 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from .runtime import ragged, worker_cache
-from .words import WordCache, word_codes
+from .runtime import worker_cache
+from .words import WordMemory, spread, word_codes
 
 LONG_WORD = 64
 
@@ -20,7 +22,7 @@ LONG_WORD = 64
 #: Stands between words that are encoded in one call; a word of its own with an id of its own.
 MARK = "\x01"
 WORDS_A_CALL = 1000
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 
 class WordTokenizer:
@@ -31,7 +33,7 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_str(definition)
         marks = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = marks[0] if len(marks) == 1 else None
-        self.cache = WordCache(self.encode)
+        self.cache = WordMemory(self.flat, np.uint32)
 
     def encode(self, words: list[str]) -> list[np.ndarray]:
         """Ids of each word: of many in one call, cut at the mark between them."""
@@ -46,34 +48,28 @@ class WordTokenizer:
             out += [ids[i + 1 : j] for i, j in zip([-1, *cuts], [*cuts, len(ids)], strict=True)]
         return out
 
+    def flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out = self.encode(words)
+        return np.concatenate(out), np.fromiter(map(len, out), np.int32, len(out))
+
     def ids(self, column, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, each with `end` appended; how many of each text)."""
         counts, codes, words = word_codes(column)
-        if any(len(w) > LONG_WORD for w in words):  # not worth keeping
-            flat, sizes = self.of_mixed(words)
-        else:
-            flat, sizes = self.cache.ids(words)
-        starts = np.cumsum(sizes) - sizes
+        long = pc.greater(pc.binary_length(words), LONG_WORD).to_numpy(zero_copy_only=False)
+        flat, starts, sizes = self.cache.of(words.filter(pa.array(~long)))
+        first, took = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        first[~long], took[~long] = starts, sizes
+        if long.any():  # not worth keeping
+            more, some = self.flat(words.filter(pa.array(long)).to_pylist())
+            first[long], took[long] = len(flat) + np.cumsum(some, dtype=np.int64) - some, some
+            flat = np.concatenate([flat, more])
         # The end id is one more word after each text's words.
-        flat, sizes, starts = np.append(flat, np.uint32(end)), np.append(sizes, 1), np.append(starts, len(flat))
+        first, took, flat = np.append(first, len(flat)), np.append(took, 1), np.append(flat, np.uint32(end))
         last = np.cumsum(counts)
-        codes = np.insert(codes.astype(np.int64), last, len(words))
-        took = sizes[codes]
-        ids = flat[ragged(starts[codes], took)].astype(np.uint32)
+        codes = np.insert(codes, last, len(words))
         ends = last + np.arange(1, len(counts) + 1)
-        total = np.concatenate([[0], np.cumsum(took)])
-        return ids, total[ends] - total[np.concatenate([[0], ends[:-1]])]
-
-    def of_mixed(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        short = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
-        long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
-        flat, sizes = self.cache.ids([words[i] for i in short])
-        out = [np.zeros(0, np.uint32)] * len(words)
-        for i, part in zip(short, np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
-            out[i] = part
-        for i, part in zip(long, self.encode([words[i] for i in long]), strict=True):
-            out[i] = part
-        return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
+        total = np.concatenate([[0], np.cumsum(took[codes])])
+        return spread(flat, first[codes], took[codes]), total[ends] - total[np.concatenate([[0], ends[:-1]])]
 
 
 def tokenizer_of(shared) -> WordTokenizer:

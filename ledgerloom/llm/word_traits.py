@@ -6,6 +6,8 @@ import re
 
 import numpy as np
 
+from .words import WordMemory
+
 TRAITS = ("chars", "letters", "upper", "digits", "symbols", "bangs", "all_caps", "capital", "only_symbols", "ends_clause", "symbol_run", "obfuscated", "second_person")
 # Second-person words.
 SECOND_PERSON = frozenset("you your yours yourself yourselves u ur du dich dir dein deine deinen ihr euch euer tu te toi ton ta tes vous votre vos tú ti contigo tus usted ustedes vosotros".split())
@@ -30,24 +32,26 @@ def traits(word: str) -> tuple:
     return (n, letters, upper, digits, n - letters - digits, word.count("!") + word.count("?"), upper == letters > 1, word[0].isupper(), letters + digits == 0, word[-1] in ".!?;:,", bool(RUN.search(word)), bool(MIXED.search(core)), core in SECOND_PERSON)
 
 
+def trait_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([traits(w) for w in words], np.float32).reshape(len(words), len(TRAITS)), np.ones(len(words), np.int32)
+
+
 class TraitCache:
-    """Traits of words, kept from slice to slice; emptied when it holds `limit` words."""
+    """Traits of words, kept from slice to slice in a bounded memory."""
 
-    def __init__(self, limit: int = 200_000):
-        self.limit, self.known = limit, {}
+    def __init__(self):
+        self.memory = WordMemory(trait_rows, np.float32, len(TRAITS))
 
-    def of(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        known = self.known
-        for w in words:
-            if w not in known:
-                known[w] = traits(w)
-        return np.array([known[w] for w in words], np.float32).reshape(len(words), len(TRAITS))
+    def of(self, words) -> np.ndarray:
+        flat, starts, _ = self.memory.of(words)
+        return flat[starts]
 
 
-def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sums of consecutive runs of `counts` rows."""
-    total = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, 0, dtype=np.float64)])
+def sums(columns, counts: np.ndarray) -> np.ndarray:
+    """A column each: sums of consecutive runs of `counts` values. One column is worked on at a time."""
     ends = np.cumsum(counts)
-    return total[ends] - total[ends - counts]
+    out = []
+    for values in columns:
+        total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+        out.append(total[ends] - total[ends - counts])
+    return np.column_stack(out)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, read_amount_parts, read_date, read_flag, squeeze
+from .text import SPACE, date_shape, once, read_amount_parts, read_date, read_flag, squeeze
 
 # Rows that carry a balance forward, a time alone, a debit or credit mark alone.
 FORWARD = r"(?i)^(?:opening\s+balance|balance\s+(?:b/f|brought\s+forward)|b/f)"
@@ -30,15 +30,23 @@ def cell_flag(cell: Column) -> Column:
 def cell_amount(cell: Column) -> Column:
     """struct(magnitude, marker, negative) of the whole cell, else of its first token that is an
     amount, whose marker may be another token; null where there is none."""
-    whole = read_amount_parts(cell)
-    part = F.get(F.filter(F.transform(tokens(cell), read_amount_parts), lambda p: p["value"].isNotNull()), F.lit(0))
-    marker = F.coalesce(part["marker"], first_found(F.transform(tokens(cell), read_flag)))
-    negative = F.when(marker == "Dr", True).when(marker == "Cr", False).otherwise(part["value"] < 0)
 
     def made(magnitude: Column, mark: Column, below: Column) -> Column:
         return F.struct(magnitude.alias("magnitude"), mark.alias("marker"), below.alias("negative"))
 
-    return F.when(whole["value"].isNotNull(), made(whole["magnitude"], whole["marker"], whole["value"] < 0)).when(part.isNotNull(), made(part["magnitude"], marker, negative))
+    def of_part(words: Column) -> Column:
+        part = F.get(F.filter(F.transform(words, read_amount_parts), lambda p: p.isNotNull()), F.lit(0))
+
+        def read(p: Column) -> Column:
+            marker = F.coalesce(p["marker"], first_found(F.transform(words, read_flag)))
+            return F.when(p.isNotNull(), made(p["magnitude"], marker, F.when(marker == "Dr", True).when(marker == "Cr", False).otherwise(p["negative"] & (p["magnitude"] != 0))))
+
+        return once(part, read)
+
+    def of_whole(whole: Column) -> Column:
+        return F.when(whole.isNotNull(), made(whole["magnitude"], whole["marker"], whole["negative"] & (whole["magnitude"] != 0))).otherwise(once(tokens(cell), of_part))
+
+    return F.when(cell.rlike("[0-9]"), once(read_amount_parts(cell), of_whole))
 
 
 def signed_balance(amount: Column) -> Column:
@@ -46,20 +54,24 @@ def signed_balance(amount: Column) -> Column:
 
 
 def cell_date(cell: Column, formats: tuple[str, ...] = ()) -> Column:
-    """The whole cell's date, else that of the longest run of tokens, the first of equal length."""
-    parts = tokens(cell)
+    """The whole cell's date, else that of the longest run of tokens, the first of equal length. A run
+    is only read if it has a date's shape; a cell without such a shape is not taken apart."""
+    shape = date_shape(formats)
+
+    def of_parts(parts: Column) -> Column:
+        def runs(length: int) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.size(parts) - (length - 1), F.lit(1)))
+            return F.when(F.size(parts) >= length, F.transform(starts, lambda i: F.array_join(F.slice(parts, i, length), " "))).otherwise(F.array().cast("array<string>"))
 
-    def runs(length: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(parts) - (length - 1), F.lit(1)))
-        return F.when(F.size(parts) >= length, F.transform(starts, lambda i: F.array_join(F.slice(parts, i, length), " "))).otherwise(F.array().cast("array<string>"))
+        windows = F.filter(F.concat(*[runs(n) for n in range(LONGEST_DATE, 0, -1)]), lambda w: w.rlike(shape))
+        return first_found(F.transform(windows, lambda w: read_date(w, formats)))
 
-    windows = F.concat(*[runs(n) for n in range(LONGEST_DATE, 0, -1)])
-    return F.coalesce(read_date(cell, formats), first_found(F.transform(windows, lambda w: read_date(w, formats))))
+    return F.when(cell.rlike(shape), F.coalesce(read_date(cell, formats), once(tokens(cell), of_parts)))
 
 
 def is_amount_like(cell: Column) -> Column:
     """Whether a cell has the shape of an amount, even one too large to hold."""
-    return read_amount_parts(cell)["negative"].isNotNull()
+    return read_amount_parts(cell).isNotNull()
 
 
 def carries_forward(narration: Column) -> Column:

@@ -8,17 +8,23 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# White space, dashes, placeholders, currency marks and date formats of statements.
+# White space, dashes, currency marks and date formats of statements.
 SPACE = "[\\s\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
-SPACE_IN_AMOUNT = "[\\s\\u00A0\\u1680\\u2000-\\u200B\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
-DASHES = "[\\u2010-\\u2015\\u2212\\uFE63\\uFF0D]"
-PLACEHOLDERS = ("", "-", "--", "---", ".", "nil", "na", "n/a", "null")
-CURRENCY = "^(?:rs\\.?|inr|₹)"
-SHAPE = "^(?:\\d{1,3}(?:,\\d{2,3})*(?:\\.\\d+)?|\\d+(?:\\.\\d+)?)$"
-DEFAULT_FORMATS = ("dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "dd/MM/yy", "dd-MM-yy", "dd.MM.yy", "dd MMM yyyy", "dd-MMM-yyyy", "dd/MMM/yyyy", "dd MMM yy", "dd-MMM-yy", "MMM dd, yyyy", "yyyy-MM-dd", "yyyy/MM/dd")
+SPACES_IN_AMOUNT = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
+DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212"
+CURRENCY = "(?:₹|rs\\.?|inr|r\\.s\\.)"
+DEFAULT_FORMATS = (
+    "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "dd/MM/yy", "dd-MM-yy", "dd.MM.yy", "dd-MMM-yyyy", "dd MMM yyyy",
+    "dd/MMM/yyyy", "dd-MMM-yy", "dd MMM yy", "dd MMMM yyyy", "yyyy-MM-dd", "MMM dd, yyyy",
+)
 MONTHS = {m: i for i, names in enumerate((("january", "jan"), ("february", "feb"), ("march", "mar"), ("april", "apr"), ("may",), ("june", "jun"), ("july", "jul"), ("august", "aug"), ("september", "sep", "sept"), ("october", "oct"), ("november", "nov"), ("december", "dec")), 1) for m in names}
 MONEY = "decimal(18,2)"
 
+#: An amount without spaces: marks in brackets around all; brackets that mean a negative number; marks;
+#: currency; a sign on either side; digits in groups of two or three, or without groups.
+MARK = "((?:cr|dr)\\.?)?"
+AMOUNT = f"(?i)^(?:\\((cr|dr)\\))?(\\()?{MARK}{CURRENCY}?(-)?\\+?(\\d{{1,3}}(?:,\\d{{2,3}})*(?:\\.\\d+)?|\\d+(?:\\.\\d+)?)(-)?{MARK}(\\))?(?:\\((cr|dr)\\))?$"
+
 
 def squeeze(text: Column) -> Column:
     """Without white space at its ends, of any script."""
@@ -31,30 +37,24 @@ def once(value: Column, use) -> Column:
 
 
 def read_amount_parts(text: Column) -> Column:
-    """struct(value, magnitude, marker, negative); all null where the text is no amount."""
-    flat = F.regexp_replace(F.regexp_replace(text, SPACE_IN_AMOUNT, ""), DASHES, "-")
-
-    def marked(t: Column) -> Column:
-        low = F.lower(t)
-        mark = F.coalesce(F.nullif(F.regexp_extract(low, r"^\(?(cr|dr)\)", 1), F.lit("")), F.nullif(F.regexp_extract(low, r"\((cr|dr)\)$", 1), F.lit("")))
-        bare = F.regexp_replace(F.regexp_replace(t, r"(?i)^\((?:cr|dr)\)", ""), r"(?i)\((?:cr|dr)\)$", "")
-        wrapped = bare.rlike(r"^\(.*\)$")
-        bare = F.when(wrapped, F.regexp_replace(bare, r"^\(|\)$", "")).otherwise(bare)
-        plain = F.lower(F.coalesce(F.nullif(F.regexp_extract(bare, r"(?i)(cr|dr)\.?$", 1), F.lit("")), F.nullif(F.regexp_extract(bare, r"(?i)^(cr|dr)\.?", 1), F.lit(""))))
-        bare = F.regexp_replace(F.regexp_replace(bare, r"(?i)(?:cr|dr)\.?$", ""), r"(?i)^(?:cr|dr)\.?", "")
-        bare = F.regexp_replace(bare, f"(?i){CURRENCY}", "")
-        minus = bare.startswith("-") | bare.endswith("-")
-        bare = F.regexp_replace(F.regexp_replace(bare, "^-|-$", ""), r"^\+", "")
-        return F.struct(bare.alias("digits"), F.initcap(F.coalesce(mark, plain)).alias("marker"), (wrapped | minus).alias("minus"), F.lower(t).isin(*PLACEHOLDERS).alias("blank"))
-
-    def signed(m: Column) -> Column:
-        good = ~m["blank"] & m["digits"].rlike(SHAPE)
-        size = good
-        number = F.replace(m["digits"], F.lit(","), F.lit("")).try_cast(MONEY)
-        negative = F.when(m["marker"] == "Dr", True).when(m["marker"] == "Cr", False).otherwise(m["minus"])
-        return F.struct(F.when(size, F.when(negative & (number != 0), -number).otherwise(number)).cast(MONEY).alias("value"), F.when(size, number).alias("magnitude"), F.when(size, m["marker"]).alias("marker"), F.when(size, negative).alias("negative"))
-
-    return once(once(flat, marked), signed)
+    """struct(value, magnitude, marker, negative); null where the text is no amount. One pattern takes
+    the text apart; a text that is no amount costs one look for a digit or one match."""
+    flat = F.translate(text, DASHES + SPACES_IN_AMOUNT, "-" * len(DASHES))
+
+    def parts(t: Column) -> Column:
+        return F.when(t.rlike(AMOUNT), F.split(F.regexp_replace(t, AMOUNT, ";".join(f"${i}" for i in range(1, 10))), ";", -1))
+
+    def read(p: Column) -> Column:
+        lead, opened, before, minus, digits, after, behind, closed, trail = (p[i] for i in range(9))
+        good = ((opened == "") == (closed == "")) & ((minus == "") | (after == ""))
+        mark = F.upper(F.left(F.coalesce(*[F.nullif(m, F.lit("")) for m in (before, behind, lead, trail)]), F.lit(1)))
+        marker = F.when(mark == "C", "Cr").when(mark == "D", "Dr")
+        negative = F.when(mark == "D", True).when(mark == "C", False).otherwise((opened != "") | (minus != "") | (after != ""))
+        number = F.replace(digits, F.lit(","), F.lit("")).try_cast(MONEY)
+        value = F.when(negative & (number != 0), -number).otherwise(number).cast(MONEY)
+        return F.when(good, F.struct(value.alias("value"), number.alias("magnitude"), marker.alias("marker"), negative.alias("negative")))
+
+    return F.when(text.rlike("[0-9]"), once(once(flat, parts), read))
 
 
 def read_amount(text: Column) -> Column:
@@ -67,36 +67,44 @@ def read_flag(text: Column) -> Column:
 
 
 def date_pattern(layout: str) -> tuple[str, list[str]]:
-    """(pattern, kinds of its groups) of a date format."""
-    kinds, out = [], "(?i)^"
+    """(pattern without anchors, kinds of its groups) of a date format."""
+    kinds, out = [], ""
     for part in re.findall(r"yyyy|yy|MMMM|MMM|MM|dd|\s+|.", layout):
         if part in ("yyyy", "yy", "MMMM", "MMM", "MM", "dd"):
             kinds.append(part)
             out += {"yyyy": r"(\d{4})", "yy": r"(\d{2})", "MM": r"(\d{1,2})", "dd": r"(\d{1,2})"}.get(part, "([a-z]{3,9})")
         else:
             out += r"\s+" if part.isspace() else re.escape(part)
-    return out + "$", kinds
+    return out, kinds
+
+
+def date_shape(formats: tuple[str, ...]) -> str:
+    """A pattern of all texts that read_date may take for a day, without anchors: a cheap test for the rest."""
+    ways = dict.fromkeys(date_pattern(f)[0].replace("(", "(?:").replace(r"\s", SPACE) for f in (*formats, *DEFAULT_FORMATS))
+    return f"(?i)(?:{'|'.join(ways)})"
 
 
 def read_date(text: Column, formats: tuple[str, ...] = ()) -> Column:
     """The first format that gives a real day of 1900 to 2999; times and remarks at the end are dropped."""
-    clean = squeeze(F.regexp_replace(text, SPACE, " "))
-    clean = F.regexp_replace(F.regexp_replace(clean, r"(?i)\s+\d{1,2}:\d{2}(?::\d{2})?(?:\s*[ap]m)?$", ""), r"\s*\([^)]*\)$", "")
+    clean = squeeze(F.regexp_replace(text, f"{SPACE}|\\u200B", " "))
+    clean = F.regexp_replace(clean, r"(?i)\s+\d{1,2}:\d{2}(?::\d{2})?(?:\s*[ap]m)?$", "")
+    clean = squeeze(F.regexp_replace(clean, r"\s*\([^)]*\)\s*$", ""))
     months = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
 
     def tried(t: Column) -> Column:
         days = []
-        for layout in (*formats, *DEFAULT_FORMATS):
+        for layout in dict.fromkeys((*formats, *DEFAULT_FORMATS)):
             pattern, kinds = date_pattern(layout)
+            pattern = f"(?i)^{pattern}$"
             got = {k: F.regexp_extract(t, pattern, i) for i, k in enumerate(kinds, 1)}
             year = got["yyyy"] if "yyyy" in got else F.when(got["yy"] >= "70", F.concat(F.lit("19"), got["yy"])).otherwise(F.concat(F.lit("20"), got["yy"]))
             name = got.get("MMM", got.get("MMMM"))
             month = got["MM"] if name is None else F.element_at(months, F.lower(name)).cast("string")
-            day = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(got["dd"], 2, "0")).try_cast("date")
-            days.append(F.when(t.rlike(pattern) & month.isNotNull() & (F.year(day) >= 1900) & (F.year(day) <= 2999), day))
+            day = F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(got["dd"], 2, "0")).try_cast("date")
+            days.append(F.when(t.rlike(pattern), F.when(F.year(day).between(1900, 2999), day)))
         return F.coalesce(*days)
 
-    return once(clean, tried)
+    return F.when(text.rlike(date_shape(formats)), once(clean, tried))
 
 
 def format_inr(value: Column) -> Column:
@@ -112,6 +120,7 @@ def plain_amount(value: Column) -> Column:
 
 
 def mask_account(text: Column) -> Column:
+    text = squeeze(text)
     n = F.length(text)
     return F.when(n <= 4, text).otherwise(F.concat(F.repeat(F.lit("X"), F.least(n - 4, F.lit(12))), F.right(text, F.lit(4))))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import squeeze
+
 # Id, bank and detection markers (pattern, weight) of the shipped layouts, in registry order.
 LAYOUTS = (
     ("hdfc-savings-v1", "HDFC Bank", ((r"(?i)hdfc\s+bank", 0.6), (r"\bHDFC0\d{6}\b", 0.4), (r"(?i)chq\.?\s*/\s*ref\.?\s*no", 0.25), (r"(?i)withdrawal\s+amt", 0.2))),
@@ -52,7 +54,7 @@ def detect_layout(pages: DataFrame, text: str, hint: str | None = None) -> DataF
 
 
 def bank_key(name: Column) -> Column:
-    return F.lower(F.trim(name))
+    return F.lower(squeeze(name))
 
 
 def available_banks(learned: DataFrame) -> DataFrame:
@@ -65,18 +67,22 @@ def available_banks(learned: DataFrame) -> DataFrame:
     return shipped.unionByName(fresh.select(F.concat(F.lit("learned:"), F.col("s.key").cast("string")).alias("id"), F.col("s.bank").alias("bank"), "norm"))
 
 
-def choose_parse(candidates: DataFrame, model_allowed: str) -> DataFrame:
+def choose_parse(candidates: DataFrame, model_allowed: str, statements: DataFrame | None = None) -> DataFrame:
     """One row per statement of candidates (statement_id, tier, ok, `model_allowed`): the tier taken,
     whether its learned layout counts one more use, whether the learned layout of tier 3 is evicted,
     and an error code where no tier is taken. Tiers: 1 learned by hint, 2 shipped, 3 learned by
     fingerprint, 4 inferred. Tiers 1 and 3 need a parse that reconciles; tier 2 also stands
-    without that if no model may be asked; tier 4 is only reached if one may. One aggregation."""
+    without that if no model may be asked; tier 4 is only reached if one may. One aggregation. With
+    `statements` (statement_id, `model_allowed`), those without any candidate have a row as well."""
+    if statements is not None:
+        tier = candidates.schema["tier"].dataType
+        candidates = candidates.unionByName(statements.select("statement_id", F.lit(None).cast(tier).alias("tier"), F.lit(False).alias("ok"), model_allowed))
     allowed = F.coalesce(F.col(model_allowed), F.lit(False))
     good = F.coalesce("ok", F.lit(False))
     taken = F.when(F.col("tier") == 2, good | ~allowed).when(F.col("tier") == 4, allowed).otherwise(good)
     out = candidates.groupBy("statement_id").agg(
-        F.min(F.when(taken, F.col("tier"))).alias("tier"), F.max(allowed).alias("_allowed"), F.max(F.col("tier") == 2).alias("_shipped"),
-        F.max((F.col("tier") == 3) & ~good).alias("_bad"))
+        F.min(F.when(taken, F.col("tier"))).alias("tier"), F.max(allowed).alias("_allowed"), F.coalesce(F.max(F.col("tier") == 2), F.lit(False)).alias("_shipped"),
+        F.coalesce(F.max((F.col("tier") == 3) & ~good), F.lit(False)).alias("_bad"))
     error = F.when(F.col("tier").isNull(), F.when(F.col("_allowed"), "LLM_UNAVAILABLE").when(F.col("_shipped"), "PARSE_FAILED").otherwise("UNSUPPORTED_LAYOUT"))
     reached = F.col("tier").isNull() | (F.col("tier") >= 3)
     return out.select("statement_id", "tier", F.coalesce(F.col("tier").isin(1, 3), F.lit(False)).alias("used"), (F.col("_bad") & reached).alias("evicted"), error.alias("error_code"))

@@ -5,23 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACE, squeeze
+
 # Row tolerance as a part of the median height, its least value, the height where none
 # is known, the slack at a column's edge, and the gap, in parts of the font size, that makes a space.
 ROW_PART, ROW_LEAST, HEIGHT, EDGE_SLACK, GAP_PART = 0.4, 1.0, 10.0, 2.5, 0.25
 
 
-def cluster_rows(items: DataFrame, page: list[str]) -> DataFrame:
-    """Adds row_no (from 0, by y) to items (page columns, x, y, height). A row takes what lies within
-    the tolerance of its first item. Only a page's distinct y's meet in one value, not its items."""
+def anchored_rows(items: DataFrame, page: list[str], tolerance: Column) -> DataFrame:
+    """Adds row_no (from 0, by y): a row takes what lies within the tolerance (an aggregate of a page) of
+    its first item. Only a page's distinct y's meet in one value, not its items."""
     def anchor(kept: Column, y: Column) -> Column:
         return F.when((F.size(kept) == 0) | (y - F.element_at(kept, -1) > F.col("_tol")), F.concat(kept, F.array(y))).otherwise(kept)
 
-    median = F.coalesce(F.nullif(F.median("height"), F.lit(0.0)), F.lit(HEIGHT))
-    pages = items.groupBy(page).agg(F.greatest(F.lit(ROW_LEAST), F.lit(ROW_PART) * median).alias("_tol"), F.array_sort(F.collect_set(F.col("y").cast("double"))).alias("_ys"))
+    pages = items.groupBy(page).agg(tolerance.alias("_tol"), F.array_sort(F.collect_set(F.col("y").cast("double"))).alias("_ys"))
     pages = pages.withColumn("_anchors", F.aggregate("_ys", F.array().cast("array<double>"), anchor)).drop("_ys", "_tol")
     return items.join(pages, page).withColumn("row_no", F.size(F.filter("_anchors", lambda a: a <= F.col("y"))) - 1).drop("_anchors")
 
 
+def cluster_rows(items: DataFrame, page: list[str]) -> DataFrame:
+    """Adds row_no to items (page columns, x, y, height), with a tolerance from the page's median height."""
+    median = F.coalesce(F.nullif(F.median("height"), F.lit(0.0)), F.lit(HEIGHT))
+    return anchored_rows(items, page, F.greatest(F.lit(ROW_LEAST), F.lit(ROW_PART) * median))
+
+
 def column_of(x: Column, edges: Column) -> Column:
     """The last column whose left edge x reaches, 0 at least."""
     return F.greatest(F.size(F.filter(edges, lambda e: x + EDGE_SLACK >= e)) - 1, F.lit(0))
@@ -35,7 +42,7 @@ def join_runs(runs: Column) -> Column:
         apart = (r["x"] - a["right"] > GAP_PART * a["font"]) & ~a["text"].rlike(r"\s$") & ~r["text"].rlike(r"^\s")
         return F.struct(F.concat(a["text"], F.when(apart, " ").otherwise(""), r["text"]).alias("text"), (r["x"] + r["width"]).cast("double").alias("right"), r["font_size"].cast("double").alias("font"))
 
-    return F.aggregate(F.array_sort(runs), start, add, lambda a: F.trim(F.regexp_replace(a["text"], r"\s+", " ")))
+    return F.aggregate(F.array_sort(runs), start, add, lambda a: squeeze(F.regexp_replace(a["text"], f"{SPACE}+", " ")))
 
 
 def grid_cells(items: DataFrame, page: list[str], edges: Column, n_columns: int) -> DataFrame:

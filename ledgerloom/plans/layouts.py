@@ -45,7 +45,7 @@ def fallback_chain(spark, sf_dir):
     s = F.col("statement_id")
     tiers = F.filter(F.array(F.when(s % 7 == 0, 1), F.when(s % 3 != 0, 2), F.when(s % 2 == 0, 3), F.when(s % 11 == 0, 4)), lambda t: t.isNotNull())
     tried = proof.select("statement_id", "good", F.explode(tiers).alias("tier"))
-    return choose_parse(tried.select("statement_id", F.col("tier").cast("long").alias("tier"), (F.col("good") & ((F.col("tier") != 3) | (s % 5 != 0))).alias("ok"), (s % 4 != 0).alias("may_ask")), "may_ask")
+    return choose_parse(tried.select("statement_id", F.col("tier").cast("long").alias("tier"), (F.col("good") & ((F.col("tier") != 3) | (s % 5 != 0))).alias("ok"), (s % 4 != 0).alias("may_ask")), "may_ask", proof.select("statement_id", (s % 4 != 0).alias("may_ask")))
 
 
 def statement_items(spark, sf_dir):
@@ -70,7 +70,8 @@ def grid_rows(spark, sf_dir):
 
 
 def grid_tables(spark, sf_dir):
-    return grid_markdown(statement_grid(spark, sf_dir).where("page = 0"), "statement_id", len(EDGES), 15)
+    """The sample of a grid that a mapping is inferred from: its first 45 rows, over all pages."""
+    return grid_markdown(statement_grid(spark, sf_dir), "statement_id", len(EDGES), 45, order=("page", "row_no"))
 
 
 def ledger_import(spark, sf_dir):
@@ -85,7 +86,7 @@ def statement_summary(spark, sf_dir):
     out = report(audit_rows(statements(spark, sf_dir)))
     money = [F.struct(F.lit(label).alias("label"), F.col(name).cast(MONEY).cast("string").alias("value")) for label, name in (("Opening balance", "opening"), ("Closing balance", "closing"), ("Total debits", "total_debit"), ("Total credits", "total_credit"))]
     count = F.struct(F.lit("Transactions").alias("label"), F.col("n_rows").cast("string").alias("value"))
-    sound = F.struct(F.lit("Reconciles").alias("label"), F.when(F.abs("footer_delta") <= 0.01, "Yes").otherwise("No").alias("value"))
+    sound = F.struct(F.lit("Reconciles").alias("label"), F.when(F.abs("footer_delta") <= 0.01, "Yes").otherwise("No — review before use").alias("value"))
     return out.select("statement_id", F.inline(F.array(*money, count, sound)))
 
 
@@ -134,16 +135,16 @@ SELECT c_custkey, CASE WHEN points >= 0.7 THEN layout_id END AS layout_id, CAST(
 n AS (SELECT s_suppkey AS key, s_suppkey % 100 AS learned_at, CASE WHEN s_suppkey % 7 = 0 THEN upper({quoted(BANKS)}[s_suppkey % 12 + 1]) WHEN s_suppkey % 2 = 0 THEN '  Bank of ' || n_name ELSE 'BANK of ' || n_name || ' ' END AS bank FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 f AS (SELECT *, lower(trim(bank)) AS norm, row_number() OVER (PARTITION BY lower(trim(bank)) ORDER BY learned_at DESC, key DESC) AS nr FROM n)
 SELECT id, bank, lower(bank) AS norm FROM k UNION ALL SELECT 'learned:' || key, bank, norm FROM f WHERE nr = 1 AND norm NOT IN (SELECT lower(bank) FROM k)""",
-    "fallback_chain": f"""WITH {BASE}, {AUDIT.format('l')}, g AS (SELECT statement_id AS i, NOT bool_or(wrong) AS good FROM s GROUP BY 1 HAVING i % 7 = 0 OR i % 3 <> 0 OR i % 2 = 0 OR i % 11 = 0),
+    "fallback_chain": f"""WITH {BASE}, {AUDIT.format('l')}, g AS (SELECT statement_id AS i, NOT bool_or(wrong) AS good FROM s GROUP BY 1),
 c AS (SELECT i, good, i % 4 <> 0 AS ask, CASE WHEN i % 7 = 0 AND good THEN 1 WHEN i % 3 <> 0 AND (good OR i % 4 = 0) THEN 2 WHEN i % 2 = 0 AND good AND i % 5 <> 0 THEN 3 WHEN i % 11 = 0 AND i % 4 <> 0 THEN 4 END AS tier FROM g)
 SELECT i AS statement_id, CAST(tier AS BIGINT) AS tier, coalesce(tier IN (1, 3), false) AS used, i % 2 = 0 AND NOT (good AND i % 5 <> 0) AND coalesce(tier >= 3, true) AS evicted,
  CASE WHEN tier IS NULL THEN CASE WHEN ask THEN 'LLM_UNAVAILABLE' WHEN i % 3 <> 0 THEN 'PARSE_FAILED' ELSE 'UNSUPPORTED_LAYOUT' END END AS error_code FROM c""",
     "grid_rows": f"WITH {BASE}, {_cells} SELECT statement_id, page, row_no, CAST(row_no * 12 + 30.15 AS DOUBLE) AS y, cell_0, cell_1, cell_2 FROM g",
     "grid_tables": f"""WITH {BASE}, {_cells} SELECT statement_id, '| col0 | col1 | col2 |' || chr(10) || '| --- | --- | --- |' || chr(10)
- || string_agg('| ' || cell_0 || ' | ' || replace(cell_1, '|', '\\|') || ' | ' || cell_2 || ' |', chr(10) ORDER BY row_no) AS markdown FROM g WHERE page = 0 AND row_no < 15 GROUP BY statement_id""",
+ || string_agg('| ' || cell_0 || ' | ' || replace(cell_1, '|', '\\|') || ' | ' || cell_2 || ' |', chr(10) ORDER BY page, row_no) AS markdown FROM g WHERE page * {PAGE_ROWS} + row_no < 45 GROUP BY statement_id""",
     "ledger_import": f"""WITH {BASE} SELECT order_key, '"HDFC","' || CASE WHEN order_key % 3 = 0 THEN 'P' || statement_id ELSE 'SUSP' END || '","' || strftime(txn_date, '%d-%m-%Y') || '","' || coalesce({_amount.format('debit')}, '') || '","' || coalesce({_amount.format('credit')}, '')
  || '","order ""' || order_key || '""' || chr(10) || 'of ' || statement_id || '"' AS line FROM l""",
     "statement_summary": f"""WITH {BASE}, r AS (SELECT statement_id, min(opening) AS o, CAST(arg_max(balance, serial) AS DECIMAL(18,2)) AS c, CAST(sum(coalesce(debit, 0)) AS DECIMAL(18,2)) AS d, CAST(sum(coalesce(credit, 0)) AS DECIMAL(18,2)) AS e, count(*) AS n FROM l GROUP BY 1)
 SELECT statement_id, 'Opening balance' AS label, CAST(o AS VARCHAR) AS value FROM r UNION ALL SELECT statement_id, 'Closing balance', CAST(c AS VARCHAR) FROM r UNION ALL SELECT statement_id, 'Total debits', CAST(d AS VARCHAR) FROM r
-UNION ALL SELECT statement_id, 'Total credits', CAST(e AS VARCHAR) FROM r UNION ALL SELECT statement_id, 'Transactions', CAST(n AS VARCHAR) FROM r UNION ALL SELECT statement_id, 'Reconciles', CASE WHEN abs(o + e - d - c) <= 0.01 THEN 'Yes' ELSE 'No' END FROM r""",
+UNION ALL SELECT statement_id, 'Total credits', CAST(e AS VARCHAR) FROM r UNION ALL SELECT statement_id, 'Transactions', CAST(n AS VARCHAR) FROM r UNION ALL SELECT statement_id, 'Reconciles', CASE WHEN abs(o + e - d - c) <= 0.01 THEN 'Yes' ELSE 'No — review before use' END FROM r""",
 }

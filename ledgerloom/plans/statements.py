@@ -36,9 +36,10 @@ def running_balance_audit(spark, sf_dir):
 
 
 def validation_report(spark, sf_dir):
-    rows = statements(spark, sf_dir)
-    stated = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("statement_id")).agg(F.count("*").alias("stated_count"))
-    out = report(audit_rows(rows.where("order_key % 50 <> 0")), stated)
+    """Every tenth statement states one row more than it has."""
+    s = F.col("statement_id")
+    stated = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("statement_id")).agg(F.count("*").alias("n")).select(s, (F.col("n") + F.when(s % 10 == 0, 1).otherwise(0)).alias("stated_count"))
+    out = report(audit_rows(statements(spark, sf_dir)), stated)
     return out.select("statement_id", "n_rows", *double("total_debit", "total_credit", "closing", "footer_delta"), "n_errors", "n_warnings", "offending", "complete", "ok")
 
 
@@ -128,13 +129,18 @@ l AS (SELECT *, row_number() OVER w AS serial, opening + sum(coalesce(credit, 0)
 AUDIT = """a AS (SELECT *, coalesce(lag(balance) OVER w, opening) + coalesce(credit, 0) - coalesce(debit, 0) AS expected, coalesce(txn_date < lag(txn_date) OVER w, false) AS late FROM {0} WINDOW w AS (PARTITION BY statement_id ORDER BY serial)),
 s AS (SELECT *, balance - expected AS delta, abs(balance - expected) > 0.01 AS wrong FROM a)"""
 
+LIMIT_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, n, ts AS opened, 1 AS hits FROM e WHERE n = 1
+ UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN e.ts >= r.opened + INTERVAL 1 DAY THEN e.ts ELSE r.opened END, CASE WHEN e.ts >= r.opened + INTERVAL 1 DAY THEN 1 ELSE r.hits + 1 END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT event_id, user_id, hits <= 2 AS allowed FROM r"""
+
 ORACLE = {
     "running_balance_audit": f"""WITH {BASE}, {AUDIT.format('l')}
 SELECT statement_id, serial, CAST(balance AS DOUBLE) AS balance, CAST(expected AS DOUBLE) AS expected, CAST(delta AS DOUBLE) AS delta, CASE WHEN wrong THEN 'error' WHEN late THEN 'warning' ELSE 'ok' END AS status FROM s""",
-    "validation_report": f"""WITH {BASE}, k AS (SELECT * FROM l WHERE order_key % 50 <> 0), {AUDIT.format('k')},
+    "validation_report": f"""WITH {BASE}, {AUDIT.format('l')},
 r AS (SELECT statement_id, count(*) AS n_rows, sum(coalesce(debit, 0)) AS td, sum(coalesce(credit, 0)) AS tc, min(opening) AS opening, arg_max(balance, serial) AS closing, count(*) FILTER (wrong) AS n_errors, count(*) FILTER (late) AS n_warnings,
  coalesce(string_agg(CASE WHEN wrong THEN CAST(serial AS VARCHAR) END, ',' ORDER BY serial), '') AS offending FROM s GROUP BY statement_id),
-t AS (SELECT o_custkey AS statement_id, count(*) AS stated FROM orders GROUP BY 1)
+t AS (SELECT o_custkey AS statement_id, count(*) + CASE WHEN o_custkey % 10 = 0 THEN 1 ELSE 0 END AS stated FROM orders GROUP BY o_custkey)
 SELECT statement_id, n_rows, CAST(td AS DOUBLE) AS total_debit, CAST(tc AS DOUBLE) AS total_credit, CAST(closing AS DOUBLE) AS closing, CAST(opening + tc - td - closing AS DOUBLE) AS footer_delta, n_errors, n_warnings, offending, stated = n_rows AS complete,
  n_errors = 0 AND n_warnings = 0 AND abs(opening + tc - td - closing) <= 0.01 AND stated = n_rows AS ok FROM r JOIN t USING (statement_id)""",
     "date_monotonicity": f"""WITH {BASE}, p AS (SELECT statement_id, txn_date, row_number() OVER (PARTITION BY statement_id ORDER BY order_key % 89, order_key) AS serial FROM l)
@@ -156,5 +162,6 @@ k AS (SELECT statement_id, row_seq - CASE WHEN row_seq % 5 = 3 THEN 0 ELSE row_s
 SELECT statement_id, first_row AS row_seq, CASE WHEN first_row % 5 = 3 THEN 'H' ELSE 'T' END AS kind, count(*) AS n_lines, md5(coalesce(string_agg(CASE WHEN text <> '' THEN text END, ' ' ORDER BY row_seq), '')) AS text_md5 FROM k GROUP BY statement_id, first_row""",
     "edited_ledger": f"""WITH {BASE}, e AS (SELECT *, order_key % 13 = 0 AND order_key % 5 <> 0 AS edited, order_key % 2 = 0 AS to_debit FROM l)
 SELECT order_key, CASE WHEN NOT edited THEN CAST(debit AS DOUBLE) WHEN to_debit THEN 1234.5 END AS debit, CASE WHEN NOT edited THEN CAST(credit AS DOUBLE) WHEN NOT to_debit THEN 1234.5 END AS credit, edited FROM e""",
+    "rate_limit": LIMIT_SQL,
     "problems_first": f"""WITH {BASE}, {AUDIT.format('l')} SELECT statement_id, order_key, row_number() OVER (PARTITION BY statement_id ORDER BY CASE WHEN wrong THEN 0 WHEN late THEN 1 ELSE 2 END, serial) AS place FROM s""",
 }

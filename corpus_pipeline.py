@@ -23,24 +23,31 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_civil(docs, toxicity_model(spark, sf_dir), TOXIC)
 
 
+def held(docs: DataFrame) -> DataFrame:
+    """(row, id, sha) of documents: whole rows in one column, so that no column of theirs, whatever its
+    name, meets one that a stage makes."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.select(F.struct(*columns).alias("row"), F.col("doc_id").alias("id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("sha"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays, that of the largest doc_id."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    own = docs.withColumn("_own", F.sha2(F.coalesce("text", F.lit("")), 256))
-    found = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
-    row = F.row_number().over(Window.partitionBy("doc_id", "_own").orderBy(F.lit(0)))
-    return found.withColumn("_row", row).where("_row = 1").select(docs.columns)
+    """Of equal texts one row stays, that of the largest doc_id; a null doc_id is the smallest. Of rows that
+    repeat id and text one stays. Null and empty texts are one text; an empty table stays empty."""
+    kept = exact_dedup(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_sha"))
+    own = held(docs)
+    found = own.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
+    place = F.row_number().over(Window.partitionBy("id", "sha").orderBy(F.lit(0)))
+    return found.withColumn("place", place).where("place = 1").select("row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by near copies one row stays: that of the smallest doc_id (a null one comes
     last), of equal ids that of the smallest SHA-256. Rows without words link with nothing and stay."""
-    sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    own = docs.withColumn("_own", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), sha.alias("sha")))
-    found = ngram_join(own.select(F.col("_own").alias("doc_id"), "text")).where("doc_id = component_id")
-    kept = found.groupBy(F.col("doc_id").alias("_key")).agg(F.max("n_shingles").alias("_n"))
-    row = F.row_number().over(Window.partitionBy("_own").orderBy(F.lit(0)))
-    return own.join(kept, F.col("_own") == F.col("_key")).withColumn("_row", row).where("_row = 1 or _n = 0").select(docs.columns)
+    own = held(docs).withColumn("key", F.struct(F.col("id").isNull().alias("none"), "id", "sha"))
+    found = ngram_join(own.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"))).where("doc_id = component_id")
+    kept = found.groupBy(F.col("doc_id").alias("kept")).agg(F.max("n_shingles").alias("n"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))
+    return own.join(kept, F.col("key") == F.col("kept")).withColumn("place", place).where("place = 1 or n = 0").select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,4 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{i}")
+        if i:
+            scratch.drop(f"stage-{i - 1}")
     return docs

@@ -27,6 +27,8 @@ from .components import connected_components
 from .runtime import Scratch
 
 SLACK = 1e-6
+CODED_AT_ONCE = 1024  # vectors
+BLOCK_BYTES, MOST_BLOCK_ROWS = 16 << 20, 8192
 
 
 @dataclass
@@ -53,11 +55,17 @@ class Index:
     def encode(self, residual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(codes, distance between each residual and what its codes stand for)."""
         parts = self.parts(residual)
-        d = ((parts[:, :, None, :] - self.words[None]) ** 2).sum(3)
-        return d.argmin(2).astype(np.uint8), np.sqrt(d.min(2).sum(1))
+        codes = self.distances(parts).argmin(2)
+        held = self.words[np.arange(len(self.words))[None, :], codes]
+        return codes.astype(np.uint8), np.sqrt(((parts - held) ** 2).sum((1, 2)))
+
+    def distances(self, parts: np.ndarray) -> np.ndarray:
+        """Squared distances of parts to the code words of their subspaces, by matrix products."""
+        cross = np.einsum("nms,mws->nmw", parts, self.words)
+        return np.maximum((parts**2).sum(2)[:, :, None] - 2 * cross + (self.words**2).sum(2)[None], 0)
 
     def tables(self, residual: np.ndarray) -> np.ndarray:
-        return ((self.parts(residual)[:, :, None, :] - self.words[None]) ** 2).sum(3)
+        return self.distances(self.parts(residual))
 
 
 def k_means(x: np.ndarray, k: int, rounds: int, rng) -> np.ndarray:
@@ -80,7 +88,8 @@ def fit_index(sample: np.ndarray, lists: int, subspaces: int, words: int, seed:
     size = -(-sample.shape[1] // m)
     parts = np.pad(residual, ((0, 0), (0, m * size - sample.shape[1]))).reshape(len(sample), m, size)
     coded = np.stack([np.pad(c := k_means(parts[:, i], min(words, len(sample)), 8, rng), ((0, words - len(c)), (0, 0)), mode="edge") for i in range(m)])
-    gaps = np.sqrt(np.maximum(((centroids[:, None, :] - centroids[None]) ** 2).sum(2), 0)) if len(centroids) <= 1024 else np.sqrt(np.maximum((centroids**2).sum(1)[:, None] - 2 * centroids @ centroids.T + (centroids**2).sum(1), 0))
+    gaps = np.sqrt(np.maximum((centroids**2).sum(1)[:, None] - 2 * centroids @ centroids.T + (centroids**2).sum(1), 0))
+    np.fill_diagonal(gaps, 0)
     return Index(centroids, coded, gaps)
 
 
@@ -118,7 +127,7 @@ def near_pairs(index: Index, centroid: np.ndarray, query: np.ndarray, own: np.nd
             yield a[hit] + at, b[hit]
 
 
-def near_dedup(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", sample_rows: int = 20_000, rows_a_list: int = 256, most_lists: int = 1024, subspaces: int = 8, words: int = 32, block_rows: int = 2048) -> DataFrame:
+def near_dedup(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", sample_rows: int = 20_000, rows_a_list: int = 256, most_lists: int = 1024, subspaces: int = 8, words: int = 32, block_rows: int | None = None) -> DataFrame:
     """One row per row: id, n_links, component_id, kept. Vectors that are null, empty, zero or hold
     null or non-finite components, and those without a label, link with nothing; so do vectors of
     different lengths. Equal vectors link with each other. Repeated ids are vectors of their own,
@@ -144,16 +153,20 @@ def near_dedup(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id",
     member = classes.select("cid", "first").join(component.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     lowest = member.groupBy("component").agg(F.min("first").alias("component_id"))
     solved = member.join(lowest, "component").join(counts.groupBy("cid").agg(F.sum("n").alias("n")), "cid", "left").select("cid", "component_id", F.coalesce("n", F.lit(0)).alias("n"))
+    held = [x for s in sizes for x in (f"encoded-{s}", f"found-{s}")]
     solved = scratch.write(classes.join(solved, "cid").select("label", "v", (F.col("n") + F.col("copies") - 1).alias("n_links"), "component_id"), "solved")
+    for name in ("classes", *held):
+        scratch.drop(name)
     out = rows.where("valid").join(solved, ["label", "v"]).select("id", "n_links", "component_id")
     out = out.unionByName(rows.where("not valid").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
     return out.select(F.col("id").cast(id_type).alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def search(scratch: Scratch, classes: DataFrame, size: int, least: float, sample_rows: int, rows_a_list: int, most_lists: int, subspaces: int, words: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+def search(scratch: Scratch, classes: DataFrame, size: int, least: float, sample_rows: int, rows_a_list: int, most_lists: int, subspaces: int, words: int, block_rows: int | None) -> tuple[DataFrame, DataFrame]:
     """(cid, n): links of each class to rows of other classes, by block; (a, b): links that connect them."""
     spark = scratch.spark
     radius = float(np.sqrt(max(0.0, 2 - 2 * least)))
+    block_rows = block_rows or max(256, min(MOST_BLOCK_ROWS, BLOCK_BYTES // (8 * size)))
     total = classes.count()
     share = min(1.0, 1.2 * sample_rows / total)
     sample = classes.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy(F.xxhash64("v"), "label").limit(sample_rows).select("v").toArrow()
@@ -163,9 +176,7 @@ def search(scratch: Scratch, classes: DataFrame, size: int, least: float, sample
 
     def encode(batches):
         names = ["cid", "label", "copies", "v", "list", "codes", "error", "probes"]
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (b.slice(i, CODED_AT_ONCE) for b in batches for i in range(0, b.num_rows, CODED_AT_ONCE)):
             ix = shared.value
             x = vectors_of(b.column(3))
             own, d = ix.nearest(x)

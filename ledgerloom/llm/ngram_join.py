@@ -11,8 +11,8 @@ much, and a partner must share as many (the smaller k of both).
 Documents with equal sets are one class; the join runs over classes. First, every class
 is compared with the central classes of its prefix shingles, if they share enough; verified links
 make components. Then, only classes of different components can still change the result. They meet
-by a shingle of both unlengthened prefixes that is early enough in both to be the first in common,
-and become a pair only if two bounds that their rows carry allow it: a bitmap of each lengthened
+by a shingle of both unlengthened prefixes that is early enough in both to be the first in common
+(shingles of just the same classes count as one), and become a pair only if two bounds that their rows carry allow it: a bitmap of each lengthened
 prefix, by which they may share k shingles of these, and the parities of each whole set, by which
 the sets may differ by little enough. The pairs left must then share k shingles, counted exactly,
 before they are compared. So a group of thousands of near copies costs a few comparisons each, not
@@ -26,7 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -258,14 +258,16 @@ def star_pairs(matches: DataFrame, percent: int) -> DataFrame:
     is paired with those that it meets k times, with the one that it meets most often, and with the one
     whose shingles are the most shared. What this misses is found by the join of all."""
     grade = F.floor(F.log("n") / math.log(100 / percent))
-    central = matches.join(matches.groupBy("token").agg(F.count("*").alias("df")), "token").groupBy("cid").agg(F.sum("df").alias("shared"))
-    ranked = matches.join(central, "cid").withColumn("grade", grade)
-    best = F.max(F.struct("shared", "cid", "n", "k", "p")).alias("h")
-    head = ranked.groupBy("token", "grade").agg(best)
-    second = ranked.join(head.select("token", "grade", F.col("h.cid").alias("hc")), ["token", "grade"]).where("cid <> hc").groupBy("token", "grade").agg(best)
-    heads = head.unionByName(second).select("token", "grade", *(F.col(f"h.{c}").alias(v) for c, v in (("shared", "rank"), ("cid", "y"), ("n", "ny"), ("k", "ky"), ("p", "py"))))
-    asks = matches.select("token", F.explode(F.array(grade - 1, grade, grade + 1)).alias("grade"), *(F.col(c).alias(v) for c, v in (("cid", "x"), ("n", "nx"), ("k", "kx"), ("p", "px"))))
-    met = asks.join(heads, ["token", "grade"]).where("x <> y").where(may_reach(percent))
+    by_token = Window.partitionBy("token")
+    central = matches.withColumn("df", F.count("*").over(by_token)).groupBy("cid").agg(F.sum("df").alias("shared"))
+    ranked = matches.join(central, "cid").withColumn("grade", grade).repartition("token")
+    # One exchange by token serves both windows; each row brings its token's heads, two a grade.
+    place = F.row_number().over(Window.partitionBy("token", "grade").orderBy(F.desc("shared"), F.desc("cid")))
+    head = F.when(place <= 2, F.struct("grade", F.col("shared").alias("rank"), F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("k").alias("ky"), F.col("p").alias("py")))
+    rows = ranked.withColumn("head", head).withColumn("heads", F.collect_list("head").over(by_token))
+    near = F.filter("heads", lambda h: (h["y"] != F.col("cid")) & (F.abs(h["grade"] - F.col("grade")) <= 1))
+    asks = rows.select(*(F.col(c).alias(v) for c, v in (("cid", "x"), ("n", "nx"), ("k", "kx"), ("p", "px"))), F.explode(near).alias("h"))
+    met = asks.select("x", "nx", "kx", "px", "h.*").where(may_reach(percent))
     met = met.groupBy("x", "y").agg(F.count("*").alias("both"), F.min(F.least("kx", "ky")).alias("k"), F.max("rank").alias("rank"))
     met = met.groupBy("x").agg(F.max_by("y", F.struct("rank", "y")).alias("top"), F.max_by("y", F.struct("both", "rank", "y")).alias("often"), F.collect_set(F.when(F.col("both") >= F.col("k"), F.col("y"))).alias("many"))
     return met.select("x", F.explode(F.array_union("many", F.array("top", "often"))).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -321,9 +323,15 @@ def ngram_join(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
     lists = member.groupBy("cid").agg(F.first("k").alias("k"), F.count("*").alias("m"), F.collect_list("token").alias("tokens"), *(F.coalesce(F.bit_or(F.when(word == i, one)), F.lit(0)).alias(b) for i, b in enumerate(bitmap)))
     lists = scratch.write(lists.withColumn("twice", F.col("m") - sum(F.bit_count(b) for b in bitmap)), "lists")
     bounds = lists.drop("tokens", "m").join(classes.select("cid", *parity), "cid")
-    early = member.where(F.col("p") * 100 <= F.col("n") * (100 - percent)).select("token", "cid", "n", "p", "c").join(bounds, "cid")
-    x, y = (early.select("token", F.col("cid").alias(v), *(F.col(c).alias(c + v) for c in ("n", "p", "c", "k", "twice", *bitmap, *parity))) for v in ("x", "y"))
-    met = x.join(y, "token").where((F.col("cx") < F.col("cy")) & may_begin(percent) & may_share() & may_differ(percent))
+    # Shingles that the same classes have early are one for the join: near copies share long rows of
+    # them. Two hashes over their classes and the number of these tell which are the same; the place
+    # is that of the first, which for two classes that have it is that of the first in common.
+    own = Window.partitionBy("token")
+    early = member.where(F.col("p") * 100 <= F.col("n") * (100 - percent)).select("token", "cid", "n", "p", "c")
+    early = early.withColumn("f", F.bit_xor(F.xxhash64("cid")).over(own)).withColumn("g", F.bit_xor(F.xxhash64("cid", F.lit(7))).over(own)).withColumn("m", F.count("*").over(own)).where("m > 1")
+    early = early.groupBy("f", "g", "m", "cid").agg(F.min("p").alias("p"), F.first("n").alias("n"), F.first("c").alias("c")).join(bounds, "cid")
+    x, y = (early.select("f", "g", "m", F.col("cid").alias(v), *(F.col(c).alias(c + v) for c in ("n", "p", "c", "k", "twice", *bitmap, *parity))) for v in ("x", "y"))
+    met = x.join(y, ["f", "g", "m"]).where((F.col("cx") < F.col("cy")) & may_begin(percent) & may_share() & may_differ(percent))
     met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     a, b = (lists.select(F.col("cid").alias(v), F.col("k").alias("k" + v), F.col("tokens").alias("t" + v)) for v in ("a", "b"))
     enough = F.size(F.array_intersect("ta", "tb")) >= F.least("ka", "kb")
@@ -336,6 +344,8 @@ def ngram_join(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
     grouped = classes.join(component.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     lowest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
     solved = scratch.write(grouped.join(lowest, "component").select("cid", "component_id"), "solved")
+    for name in (f"classes-{seed}", "matches", "stars", "links-star", "components", "mixed", "lists", "pairs", "links-pair"):
+        scratch.drop(name)
     out = rows.where("n > 0").join(solved, "cid").select("id", "n", "component_id").unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 

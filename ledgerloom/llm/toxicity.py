@@ -129,6 +129,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, most
     if margins.isEmpty():
         margins = trees.transform(rows).select("label", vector_to_array("rawPrediction")[1].alias("margin"))
     calibration = IsotonicRegression(featuresCol="margin", predictionCol="score").fit(margins.where("margin is not null"))
+    for name in ("sample", "features"):
+        scratch.drop(name)
     return ToxicityModel(lexicon, trees, calibration)
 
 

@@ -13,11 +13,11 @@ and a rule goes to each range that its interval meets."""
 
 from __future__ import annotations
 
-import bisect
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -47,18 +47,41 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     bounds = range_bounds(spark, urls, rows_per_range, most_ranges)
     shared = spark.sparkContext.broadcast(bounds)  # at most most_ranges strings
 
-    find = F.udf(lambda k: (bisect.bisect_left(shared.value, k), bisect.bisect_right(shared.value, k)), "struct<l:int,r:int>")
-    meets = F.udf(lambda low, high: list(range(bisect.bisect_left(shared.value, low), bisect.bisect_left(shared.value, high) + 1)), "array<int>")
-    dealt = urls.withColumn("f", find("key"))
-    dealt = dealt.select((F.col("f.l") + F.pmod(F.xxhash64("id"), F.col("f.r") - F.col("f.l") + 1)).cast("int").alias("range"), F.lit(1).alias("kind"), "key", "id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
+    places = ranges_of(shared, ["key", "key"], ["left", "right"])
+    dealt = urls.mapInArrow(places, with_places(urls.schema))
+    meets = ranges_of(shared, ["key", "high"], ["left", "left"])
+    dealt = dealt.select((F.col("l") + F.pmod(F.xxhash64("id"), F.col("r") - F.col("l") + 1)).cast("int").alias("range"), F.lit(1).alias("kind"), "key", "id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
     starts = (rules.select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host is not null").distinct()
               .withColumn("key", host_key(F.col("host"))).withColumn("high", F.concat(F.expr("substring(key, 1, length(key) - 1)"), F.lit("/")))
-              .select(F.explode(meets("key", "high")).alias("range"), F.lit(0).alias("kind"), "key", F.lit(None).cast(urls.schema["id"].dataType).alias("id"), "host", "path", F.concat("host", "path").alias("rule"), "verdict"))
+              )
+    starts = (starts.mapInArrow(meets, with_places(starts.schema))
+              .select(F.explode(F.sequence("l", "r")).alias("range"), F.lit(0).alias("kind"), "key", F.lit(None).cast(urls.schema["id"].dataType).alias("id"), "host", "path", F.concat("host", "path").alias("rule"), "verdict"))
     events = dealt.unionByName(starts).repartition(max(1, len(bounds) + 1), "range").sortWithinPartitions("range", "key", "kind")
     out = pages.select(F.col(id_col)).schema.add("host", "string").add("path", "string").add("rule", "string").add("verdict", "string")
     return events.select("range", "kind", "key", "id", "host", "path", "rule", "verdict").mapInArrow(sweep(default, id_col), out)
 
 
+def with_places(schema: StructType) -> StructType:
+    return StructType([*schema.fields, StructField("l", IntegerType()), StructField("r", IntegerType())])
+
+
+def ranges_of(shared, columns: list[str], sides: list[str]):
+    """Adds l and r to batches: the numbers of the ranges in which the values of two columns stand, one
+    search a batch over its distinct values."""
+
+    def run(batches):
+        bounds = np.array(shared.value, dtype=object)
+        for b in batches:
+            found = []
+            for column, side in zip(columns, sides, strict=True):
+                coded = b.column(b.schema.get_field_index(column)).dictionary_encode()
+                at = np.searchsorted(bounds, np.array(coded.dictionary.to_pylist(), dtype=object), side)
+                found.append(pa.array(at[coded.indices.to_numpy(zero_copy_only=False)].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*b.columns, *found], names=[*b.schema.names, "l", "r"])
+
+    return run
+
+
 def range_bounds(spark: SparkSession, urls: DataFrame, rows_per_range: int, most: int) -> list[str]:
     """Ascending keys that split the urls into ranges of about rows_per_range rows: quantiles of a
     sample whose size depends on the number of ranges alone. Only the balance hangs on it."""

@@ -45,3 +45,20 @@ def test_near_copies_of_repeated_ids(spark):
     rows = corpus_pipeline.near(spark, spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, sha string"), SF).collect()
     want = [(3, a), (7, e), (None, first(b, b2)), (8, first(c, c2)), (4, d), (5, ""), (5, ""), (6, "")]
     assert sorted(map(str, ((r.doc_id, r.text or "") for r in rows))) == sorted(map(str, want))
+
+
+def test_stages_with_clashing_columns_and_empty_tables(spark):
+    """Columns that stages make themselves, in documents: they come through untouched."""
+    schema = "doc_id long, text string, _id long, _own string, row string, id long, sha string, key string, kept string, n long, place long, component_id long, keep_id long"
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, t, 1, "o", "r", 2, "s", "k", "x", 3, 4, 5, 6) for i, t in ((1, text), (2, text), (3, text + " y"), (4, None), (None, "alone"))]
+    docs = spark.createDataFrame(rows, schema)
+    once = corpus_pipeline.exact(spark, docs, SF)
+    assert once.columns == docs.columns
+    assert sorted(map(str, map(tuple, once.collect()))) == sorted(map(str, (r for r in rows if r[0] != 1)))
+    last = corpus_pipeline.near(spark, once, SF)
+    assert last.columns == docs.columns
+    assert sorted(map(str, map(tuple, last.collect()))) == sorted(map(str, (r for r in rows if r[0] not in (1, 3))))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.where("false"), SF).count() == 0, name
+    assert corpus_pipeline.packing(spark, docs.where("false"), SF).count() == 0

@@ -181,7 +181,7 @@ def split_run(run: Column, edges: Column) -> Column:
         over = right - edge
         far = (over > 0) & (over >= OVERHANG) & (over >= run["width"] * OVERHANG_PART)
         at = F.when(far, nearest_space(run["text"], F.floor((edge - run["x"]) / run["width"] * n + 0.5)))
-        last = F.coalesce(F.element_at(out, -1)["cut"], F.lit(0))
+        last = F.coalesce(F.try_element_at(out, F.lit(-1))["cut"], F.lit(0))
         return F.when(at.isNotNull() & (at > last), F.concat(out, F.array(F.struct(at.cast("bigint").alias("cut"), c.alias("col"))))).otherwise(out)
 
     cuts = F.aggregate(later, kept, cut)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import is_amount_like
 from ..functions.text import read_date
-from .grid import cluster_rows, column_of, join_runs
+from .grid import ROW_PART, cluster_rows, column_of, join_runs
 
 # Fixed values of column detection. Band: rows with a date and an amount; the least number of such
 # rows, width of a bin, least gap, part of the rows that may have ink in a gap. Coverage: width of a
@@ -198,13 +198,13 @@ def split_run(run: Column, edges: Column) -> Column:
     return F.when(reaches, F.transform(F.array(cuts), pieces)[0]).otherwise(whole)
 
 
-def build_grid(items: DataFrame, key: str = "statement_id", page: str = "page", gap: float = COLUMN_GAP, support: float = SUPPORT) -> DataFrame:
+def build_grid(items: DataFrame, key: str = "statement_id", page: str = "page", gap: float = COLUMN_GAP, support: float = SUPPORT, row_part: float = ROW_PART) -> DataFrame:
     """(key, row_seq from 0, page, y, cells, edges) of items (key, page, x, y, width, height, font_size,
     seq, text): rows by baseline, columns by the ink of all pages of a statement, cells by the columns.
     Only rows with a date and an amount have runs split. Without edges a row is one cell."""
     pages = [key, page]
     row = [*pages, "row_no"]
-    placed = with_band(cluster_rows(items, pages), row)
+    placed = with_band(cluster_rows(items, pages, row_part), row)
     edges = column_edges(placed, key, pages, gap, support)
     run = F.struct(F.col("x").cast("double").alias("x"), F.col("seq").cast("bigint").alias("seq"), F.col("width").cast("double").alias("width"), F.col("font_size").cast("double").alias("font_size"), "text")
     placed = placed.join(edges, key).select(*row, "edges", "y", "band", run.alias("_r"))

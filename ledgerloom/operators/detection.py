@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.details import clamp
 from ..functions.text import squeeze
 
 # Id, bank and detection markers (pattern, weight) of the shipped layouts, in registry order.
@@ -31,15 +32,16 @@ def ascii_bounds(pattern: str) -> str:
     return pattern.replace(r"\b", f"(?:(?<=[{word}])(?![{word}])|(?<![{word}])(?=[{word}]))")
 
 
-def detect_layout(pages: DataFrame, text: str, hint: str | None = None) -> DataFrame:
+def detect_layout(pages: DataFrame, text: str, hint: str | None = None, layouts: tuple = LAYOUTS) -> DataFrame:
     """Adds layout_id and confidence: the best score of 0.7 or more, the first layout of equals, else
     null. A hint in column `hint` that names a layout wins at any score, at 0.7 or more. All layouts
-    are scored in one projection of the scan: no join, no shuffle."""
+    are scored in one projection of the scan: no join, no shuffle. A layout (id, bank, markers) of one's
+    own may have, in place of markers, a function from the text Column to a score Column."""
     page = F.coalesce(F.col(text), F.lit(""))
     scored = []
-    for place, (name, _, markers) in enumerate(LAYOUTS):
-        points: Column = F.lit(0).cast("decimal(4,2)")
-        for pattern, weight in markers:
+    for place, (name, _, markers) in enumerate(layouts):
+        points: Column = clamp(markers(page)).cast("decimal(4,2)") if callable(markers) else F.lit(0).cast("decimal(4,2)")
+        for pattern, weight in () if callable(markers) else markers:
             points = points + F.when(page.rlike(ascii_bounds(pattern)), F.lit(str(weight)).cast("decimal(4,2)")).otherwise(F.lit(0))
         scored.append(F.struct(F.least(points, F.lit(1)).cast("decimal(4,2)").alias("score"), F.lit(-place).alias("place"), F.lit(name).alias("name")))
     out = pages.withColumn("_all", F.array(*scored)).withColumn("_best", F.array_max("_all"))

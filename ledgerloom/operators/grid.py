@@ -23,10 +23,10 @@ def anchored_rows(items: DataFrame, page: list[str], tolerance: Column) -> DataF
     return items.join(pages, page).withColumn("row_no", F.size(F.filter("_anchors", lambda a: a <= F.col("y"))) - 1).drop("_anchors")
 
 
-def cluster_rows(items: DataFrame, page: list[str]) -> DataFrame:
+def cluster_rows(items: DataFrame, page: list[str], part: float = ROW_PART) -> DataFrame:
     """Adds row_no to items (page columns, x, y, height), with a tolerance from the page's median height."""
     median = F.coalesce(F.nullif(F.median("height"), F.lit(0.0)), F.lit(HEIGHT))
-    return anchored_rows(items, page, F.greatest(F.lit(ROW_LEAST), F.lit(ROW_PART) * median))
+    return anchored_rows(items, page, F.greatest(F.lit(ROW_LEAST), F.lit(part) * median))
 
 
 def column_of(x: Column, edges: Column) -> Column:

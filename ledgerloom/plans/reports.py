@@ -15,6 +15,7 @@ from ..operators.convert import convert
 from ..operators.layouts import mapping_error, newest_layouts, storable, upsert
 from ..operators.ledger import apply_edits
 from ..sinks.exports import accounting_import, export_errors, general_csv, result_lines, workbook_summary
+from ..sources.pages import upload_error
 from ..sources.shared import shared_dir
 from ..streaming.state import limit_stream
 from .layouts import BANKS, pick, quoted
@@ -160,6 +161,13 @@ def client_keys(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", client_key(forwarded, F.when(e % 2 == 0, hop)).alias("client"), clamp(score).alias("score"))
 
 
+def upload_checks(spark, sf_dir):
+    """Documents as uploads: every third begins like a PDF; their sizes are those of files 20,000 times as large."""
+    d = read(spark, sf_dir, "documents")
+    content = F.concat(F.when(F.col("doc_id") % 3 == 0, "%PDF-").otherwise(""), F.coalesce("text", F.lit(""))).cast("binary")
+    return d.select("doc_id", upload_error(content, F.octet_length(content).cast("long") * 20_000).alias("error_code"))
+
+
 def rate_limit_stream(spark, sf_dir):
     """The limiter over the events as a stream: two hits a day and user, in one batch of all files."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -169,7 +177,7 @@ def rate_limit_stream(spark, sf_dir):
     return spark.read.schema(found.schema).parquet(f"{base}/rows").select("event_id", F.col("key").cast("long").alias("user_id"), "allowed")
 
 
-QUERIES = {f.__name__: f for f in (check_rows, report_measures, messages, csv_file, import_file, workbook_labels, export_names, export_checks, json_results, edited_fields, conversion, layout_store, newest_stored, inferred_mappings, client_keys, rate_limit_stream)}
+QUERIES = {f.__name__: f for f in (check_rows, report_measures, messages, csv_file, import_file, workbook_labels, export_names, export_checks, json_results, edited_fields, conversion, layout_store, newest_stored, inferred_mappings, client_keys, upload_checks, rate_limit_stream)}
 
 
 def inr(e: str) -> str:
@@ -234,5 +242,7 @@ SELECT i AS statement_id, CAST(tier AS BIGINT) AS tier, coalesce(tier IN (1, 3),
     "inferred_mappings": """SELECT c_custkey AS statement_id, CASE WHEN CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 4 <> 0 ELSE c_custkey % 5 = 0 END OR (c_custkey % 3 = 2 AND c_custkey % 2 <> 0) THEN 'UNSUPPORTED_LAYOUT' END AS error_code,
  CASE WHEN c_custkey % 6 <> 0 THEN concat_ws(',', CASE WHEN c_custkey % 5 <> 0 THEN 'amount=Sum' END, 'balance=Balance', 'date=Date', CASE WHEN c_custkey % 4 = 0 THEN 'debit=Out' END, 'narration=Text') END AS labels FROM customer""",
     "client_keys": """SELECT event_id, CASE WHEN event_id % 3 = 0 OR event_id % 2 = 0 THEN '10.0.' || user_id % 256 ELSE 'unknown' END AS client, CASE WHEN event_id % 4 < 2 THEN 0.0 ELSE greatest(0.0, least(1.0, value / 50.0 - 0.5)) END AS score FROM events""",
+    "upload_checks": """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '%PDF-' ELSE '' END || coalesce(text, '') AS c FROM documents)
+SELECT doc_id, CASE WHEN strlen(c) * 20000 > 20 * 1024 * 1024 THEN 'FILE_TOO_LARGE' WHEN NOT (starts_with(c, '%PDF') AND strlen(c) > 4) THEN 'NOT_A_PDF' END AS error_code FROM d""",
     "rate_limit_stream": LIMIT_SQL,
 }

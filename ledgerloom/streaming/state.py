@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.audit import audit_rows, report
+from ..operators.ledger import apply_edits
+
 # Limits of the entry points (hits, seconds).
 LIMITS = {"convert": (12, 60.0), "export": (30, 60.0), "banks": (60, 60.0)}
 
@@ -69,6 +72,19 @@ def audit_stream(rows: DataFrame) -> DataFrame:
     return found.select("statement_id", "serial", money("expected"), money("delta"), F.coalesce(F.abs("delta") > 1, F.lit(False)).alias("balance_error"))
 
 
+def revalidate_stream(edits: DataFrame, rows: DataFrame, path: str, checkpoint: str):
+    """Starts a query that, for each batch of edits (statement_id, serial, field, value), applies them to
+    the transactions and appends the reports of the statements they touch to `path`. Each batch
+    stands for itself: a caller that wants them to add up writes the edited rows back."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        touched = rows.join(batch.select("statement_id").distinct(), "statement_id", "left_semi")
+        found = report(audit_rows(apply_edits(touched, batch))).withColumn("batch", F.lit(number))
+        found.write.mode("append").parquet(path)
+
+    return edits.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def read_results(spark: SparkSession, path: str, schema: str, lines_a_batch: int = 1000) -> DataFrame:
     """A stream of NDJSON result lines as they land in a folder; lines that do not parse have null fields."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", lines_a_batch).json(path)

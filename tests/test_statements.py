@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.audit import audit_rows, checks, first_offenders, report, row_messages
 from ledgerloom.operators.columns import build_grid, column_edges, nearest_space, split_run, with_band
 from ledgerloom.operators.convert import convert
+from ledgerloom.operators.detection import detect_layout
 from ledgerloom.operators.grid import cluster_rows
 from ledgerloom.operators.layouts import SEPARATE, Layout, layout_table
 from ledgerloom.operators.ledger import apply_edits
@@ -20,7 +21,7 @@ from ledgerloom.operators.parse import merge_rows, parse_statements, statement_m
 from ledgerloom.sinks.exports import EXPORTERS, export_files, find_exporter, option_errors, workbook_summary
 from ledgerloom.sinks.workbook import workbooks
 from ledgerloom.sources.pages import is_pdf, scan_errors, upload_error
-from ledgerloom.streaming.state import Progress, audit_stream, limit_stream
+from ledgerloom.streaming.state import Progress, audit_stream, limit_stream, read_results, revalidate_stream
 
 ITEMS = "statement_id long, page long, x double, y double, width double, height double, font_size double, seq long, text string"
 
@@ -292,3 +293,25 @@ def test_grid_of_statements_without_columns(spark):
     got = [(r.row_seq, r.page, r.cells) for r in build_grid(items).orderBy("row_seq").collect()]
     assert [g[:2] for g in got] == [(0, 1), (1, 2)] and " ".join(got[0][2]).split() == ["Hello", "there"]
     assert build_grid(items.where("false")).count() == 0
+
+
+def test_reports_follow_edits(spark, tmp_path):
+    rows = txn(spark, [(1, None, 5, 105, 100), (2, 7, None, 99, 100)])
+    schema = "statement_id long, serial int, field string, value string"
+    spark.createDataFrame([(1, 2, "debit", "6")], schema).coalesce(1).write.parquet(str(tmp_path / "edits"))
+    revalidate_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "edits")), rows, str(tmp_path / "reports"), str(tmp_path / "state")).awaitTermination()
+    assert [(r.statement_id, r.n_errors, r.ok, r.batch) for r in spark.read.parquet(str(tmp_path / "reports")).collect()] == [(1, 0, True, 0)]
+
+
+def test_result_lines_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"type": "result", "ok": true}\nbroken\n')
+    query = read_results(spark, str(tmp_path / "in"), "type string, ok boolean").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(str((r.type, r.ok)) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["('result', True)", "(None, None)"]
+
+
+def test_layouts_of_ones_own(spark):
+    pages = spark.createDataFrame([("my bank",), ("axis bank UTIB0000789",)], "t string")
+    own = (("mine", "My Bank", lambda text: F.when(text.contains("my"), float("inf")).otherwise(0.9)), ("axis", "Axis", ((r"(?i)axis\s+bank", 1.0),)))
+    assert [(r.layout_id, r.confidence) for r in detect_layout(pages, "t", layouts=own).collect()] == [(None, None), ("axis", 1.0)]

@@ -23,6 +23,8 @@ def word_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         keep = codes != empty
         counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[keep], minlength=len(counts))
         codes = codes[keep]
+        codes = codes - (codes > empty)
+        words = pa.concat_arrays([words.slice(0, empty), words.slice(empty + 1)])
     return counts, codes, words
 
 

@@ -31,11 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 class Scratch:
     """Intermediate tables of one operator call, written to the shared folder. A written
-    table cuts the lineage and survives lost executors; a repeated task writes it anew."""
+    table cuts the lineage and survives lost executors; a repeated task writes it anew.
+    What a result still reads stays until the session ends, and is deleted then."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/ledgerloom-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
@@ -47,6 +52,13 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def usual_length(vectors: DataFrame, vector_col: str) -> int:
+    """The most frequent length of a table's vectors, the larger one of equally frequent; 0 without any.
+    A vector of another length lacks components or has stray ones."""
+    most = vectors.select(F.size(vector_col).alias("size")).where("size > 0").groupBy("size").count().orderBy(F.desc("count"), F.desc("size")).head()
+    return most["size"] if most else 0
+
+
 def crc32_of(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string"))
 

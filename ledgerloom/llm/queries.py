@@ -17,6 +17,7 @@ from .sentencepiece_codec import decode_ids, encode_texts
 from .token_output import read_token_shards, with_global_start, write_token_shards
 from .toxicity import fit_toxicity, score_toxicity
 from .url_filter import filter_urls
+from .whitening import whiten
 
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
@@ -98,6 +99,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 1)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
@@ -109,7 +114,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_embedding_dedup, op3_ngram_join, op4_chat_format, op5_exact_dedup, op6_sentencepiece, op7_token_output, op8_toxicity, op9_quality, op10_packing, op13_hard_negatives, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_embedding_dedup, op3_ngram_join, op4_chat_format, op5_exact_dedup, op6_sentencepiece, op7_token_output, op8_toxicity, op9_quality, op10_packing, op11_whitening, op13_hard_negatives, pipeline)}
 
 _rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 ORACLE = {

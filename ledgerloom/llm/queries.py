@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chat_format import format_chats, loss_text, records_of_rows, turns_of
 from .embedding_dedup import near_dedup
 from .exact_dedup import exact_dedup
+from .fingerprints import fingerprint
 from .hard_negatives import hard_negatives
 from .ngram_join import ngram_join
 from .packing import pack
@@ -103,6 +104,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
@@ -114,7 +119,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_embedding_dedup, op3_ngram_join, op4_chat_format, op5_exact_dedup, op6_sentencepiece, op7_token_output, op8_toxicity, op9_quality, op10_packing, op11_whitening, op13_hard_negatives, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_embedding_dedup, op3_ngram_join, op4_chat_format, op5_exact_dedup, op6_sentencepiece, op7_token_output, op8_toxicity, op9_quality, op10_packing, op11_whitening, op12_fingerprints, op13_hard_negatives, pipeline)}
 
 _rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 ORACLE = {

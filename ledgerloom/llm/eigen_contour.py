@@ -81,7 +81,7 @@ class Contour:
                 s = b.column("shift").to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(s), pa.array([len(shared.value) - below(shared.value, x) for x in s], pa.int64())], names=["shift", "n"])
 
-        rows = self.spark.createDataFrame([(s,) for s in shifts], "shift double").mapInArrow(count, "shift double, n long").collect()
+        rows = self.spark.createDataFrame([(float(s),) for s in shifts], "shift double").mapInArrow(count, "shift double, n long").collect()
         return {r.shift: r.n for r in rows}
 
     def intervals(self, wanted: int, floor: float) -> list[Interval]:

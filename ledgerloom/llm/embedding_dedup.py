@@ -94,8 +94,10 @@ def fit_index(sample: np.ndarray, lists: int, subspaces: int, words: int, seed:
 
 
 def vectors_of(column) -> np.ndarray:
-    """Unit vectors of a list column in double precision."""
+    """Unit vectors of a list column in double precision. Each is first scaled by its largest component,
+    so that no square over- or underflows."""
     x = column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1)
+    x = x / np.abs(x).max(1)[:, None]
     return x / np.sqrt((x**2).sum(1))[:, None]
 
 

@@ -7,9 +7,9 @@ batch are made at once in numpy.
 
 Near copies are found by bands of four places: two texts of similarity 0.75 share one of the 32
 bands but for 5 in a million. Texts of equal shingle sets are one class. In a first round, each class is paired
-with the class that leads most of its bands; pairs are verified by the Jaccard similarity of their whole sets,
+with the class that leads most of its bands and with the most central one that leads any; pairs are verified by the Jaccard similarity of their whole sets,
 and verified links make components. In a second, classes of different components that share a band are paired where
-their fingerprints leave the similarity within reach, and verified. So a group of thousands of near
+their fingerprints and the parities of their sets leave the similarity within reach, and verified. So a group of thousands of near
 copies costs a pair a member, not all its pairs, and all pairs of a band that could still join components are tried.
 
 The documents next to each other by id meet in one exchange by ranges of ids; texts cross it compressed."""
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .ngram_join import SEEDS, verify
 from .runtime import SLICE_BYTES, Scratch, text_buffer
-from .shingles import class_hashes, shingle_hashes, shingle_sets
+from .shingles import class_hashes, parities, shingle_hashes, shingle_sets
 from .token_output import mix
 
 PLACES, BAND = 128, 4
@@ -38,6 +38,7 @@ SHINGLES_AT_ONCE = 1 << 16  # their 64-bit products stay in the processor's cach
 #: Below this many equal places, a pair of similarity 0.75 is less likely than one in a million.
 LEAST_EQUAL = 70
 BLOCK_ROWS = 2048
+PARITY = 16  # 64-bit words of a set's parities
 
 
 def minima(value: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -72,7 +73,7 @@ def bytes_column(values: list[bytes] | np.ndarray) -> pa.Array:
     return pa.array([v if isinstance(v, bytes) else v.tobytes() for v in values], pa.binary())
 
 
-MADE = "id {0}, n_chars long, n_shingles long, cid long, check long, edited_sha256 string, sig binary, edited_sig binary, near_edited double, near_next double, edge int, part int, zip binary"
+MADE = "id {0}, n_chars long, n_shingles long, cid long, check long, edited_sha256 string, sig binary, parity binary, edited_sig binary, near_edited double, near_next double, edge int, part int, zip binary"
 NAMES = [f.split()[0] for f in MADE.split(", ")]
 
 
@@ -95,12 +96,12 @@ def described(ids: pa.Array, texts: list[str], following: list[str], seed: int)
         after[odd] = signatures(*hashed([following[i] for i in odd]))
     n = len(texts)
     shas = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]
-    return pa.RecordBatch.from_arrays([ids, pa.array([len(t) for t in texts], pa.int64()), pa.array(sizes), pa.array(classes), pa.array(class_hashes(value, sizes, seed + SEEDS)), pa.array(shas), bytes_column(own), bytes_column(changed), pa.array(likeness(own, changed)), pa.array(likeness(own, after)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=NAMES)
+    return pa.RecordBatch.from_arrays([ids, pa.array([len(t) for t in texts], pa.int64()), pa.array(sizes), pa.array(classes), pa.array(class_hashes(value, sizes, seed + SEEDS)), pa.array(shas), bytes_column(own), bytes_column(parities(value, sizes, PARITY)), bytes_column(changed), pa.array(likeness(own, changed)), pa.array(likeness(own, after)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=NAMES)
 
 
 def edge_row(id_value: pa.Array, edge: int, part: int, packed: bytes) -> pa.RecordBatch:
     """A task's first (0) or last (1) text, for its neighbour."""
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
     return pa.RecordBatch.from_arrays([id_value, *(pa.nulls(1, t) for t in types), pa.array([edge], pa.int32()), pa.array([part], pa.int32()), pa.array([packed], pa.binary())], names=NAMES)
 
 
@@ -153,8 +154,8 @@ def unzipped(packed: bytes) -> str:
 
 
 def fingerprint_rows(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, seed: int) -> DataFrame:
-    """A row for each document: id, n_chars, n_shingles, cid, check, edited_sha256, sig, edited_sig,
-    near_edited, near_next. Documents stand in the order of id (nulls first), then of a hash of their texts."""
+    """A row for each document: id, n_chars, n_shingles, cid, check, edited_sha256, sig, parity,
+    edited_sig, near_edited, near_next. Documents stand in the order of id (nulls first), then of a hash of their texts."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = MADE.format(kind)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -183,43 +184,74 @@ def band_keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), sig.shape[1]))], names=["band", "cid"])
 
 
-def close_pairs(t: pa.Table) -> pa.Table:
-    """Pairs of one block of a band, of different components, whose fingerprints leave the similarity
-    within reach. Rows of side 0 meet those of side 1; a block against itself has them all on side 2."""
-    t = t.combine_chunks()
-    side, cid, comp = (t.column(c).to_numpy() for c in ("side", "cid", "c"))
-    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(cid), -1)
-    left, right = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))
-    out = []
-    for i in left:
-        other = right[(comp[right] != comp[i]) & ((side[i] != 2) | (cid[right] > cid[i]))]
-        other = other[(sig[other] == sig[i]).sum(1) >= LEAST_EQUAL]
-        out.append(np.column_stack([np.minimum(cid[i], cid[other]), np.maximum(cid[i], cid[other])]))
-    pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+def within_reach(percent: int, n: np.ndarray, m: np.ndarray, sig: np.ndarray, other: np.ndarray, parity: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """Whether pairs of sets of n and m shingles may reach the similarity: the fingerprints have places
+    enough in common, and the sets differ, at least, in a shingle for each parity in which they differ."""
+    fit = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((sig == other).sum(1) >= LEAST_EQUAL)
+    apart = np.bitwise_count(parity[fit] ^ odd[fit] if odd.shape == parity.shape else parity ^ odd[fit]).sum(1).astype(np.int64)
+    total = (n + m)[fit]
+    fit[fit] = apart * (100 + percent) <= total * (100 - percent)
+    return fit
+
+
+def close_pairs(percent: int):
+    """Pairs of one block of a band, of different components, that may reach the similarity. Rows of side
+    0 meet those of side 1; a block against itself has them all on side 2."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        side, cid, comp, n = (t.column(c).to_numpy() for c in ("side", "cid", "c", "n"))
+        sig, parity = (np.frombuffer(b"".join(t.column(c).to_pylist()), kind).reshape(len(cid), -1) for c, kind in (("sig", np.uint16), ("parity", np.uint64)))
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        out = [np.zeros((0, 2), np.int64)]
+        for i in left:
+            other = right[(comp[right] != comp[i]) & ((side[i] != 2) | (cid[right] > cid[i]))]
+            other = other[within_reach(percent, n[i : i + 1], n[other], sig[i : i + 1], sig[other], parity[i : i + 1], parity[other])]
+            out.append(np.column_stack([np.minimum(cid[i], cid[other]), np.maximum(cid[i], cid[other])]))
+        pairs = np.concatenate(out)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
+
+
+def plausible(percent: int):
+    """The pairs (a, b) that may reach the similarity."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                n, m = b.column("n_a").to_numpy(), b.column("n_b").to_numpy()
+                sig, other, parity, odd = (np.frombuffer(b"".join(b.column(c).to_pylist()), kind).reshape(b.num_rows, -1) for c, kind in (("sig_a", np.uint16), ("sig_b", np.uint16), ("parity_a", np.uint64), ("parity_b", np.uint64)))
+                yield b.select(["a", "b"]).filter(pa.array(within_reach(percent, n, m, sig, other, parity, odd)))
+
+    return run
 
 
 def near_groups(texts: DataFrame, classes: DataFrame, scratch: Scratch, percent: int, seed: int) -> DataFrame:
-    """(cid, component_id) of classes (cid, first, sig); texts: (id, text)."""
+    """(cid, component_id) of classes (cid, first, n, sig, parity); texts: (id, text)."""
     bands = classes.select("cid", "sig").mapInArrow(band_keys, "band long, cid long")
-    leads = bands.groupBy("band").agg(F.min("cid").alias("lead"), F.count("*").alias("n")).where("n > 1").select("band", "lead")
-    shared = scratch.write(bands.join(leads, "band"), "bands")
-    votes = shared.where("cid <> lead").groupBy("cid", "lead").count()
-    first = votes.groupBy("cid").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead")).select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct()
-    sigs = classes.select("cid", "sig")
-    of = lambda side: sigs.select(F.col("cid").alias(side), F.col("sig").alias(f"sig_{side}"))
-    first = scratch.write(first.join(of("a"), "a").join(of("b"), "b").mapInArrow(within_reach, "a long, b long"), "stars")
+    several = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = scratch.write(bands.join(several, "band"), "bands")
+    # The leader of a band is the class that meets most others in all its bands: of near copies, the one nearest to most.
+    central = shared.groupBy("cid").agg(F.sum("n").alias("central"))
+    leads = shared.join(central, "cid").groupBy("band").agg(F.max(F.struct("central", F.col("cid").alias("lead"))).alias("l")).select("band", "l.*")
+    votes = shared.join(leads, "band").where("cid <> lead").groupBy("cid", "lead").agg(F.count("*").alias("votes"), F.max("central").alias("central"))
+    chosen = votes.groupBy("cid").agg(F.max_by("lead", F.struct("votes", "central", "lead")).alias("often"), F.max_by("lead", F.struct("central", "lead")).alias("top"))
+    first = chosen.select("cid", F.explode(F.array_distinct(F.array("often", "top"))).alias("lead")).select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct()
+    traits = classes.select("cid", "n", "sig", "parity")
+    of = lambda side: traits.select(F.col("cid").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "sig", "parity")))
+    first = scratch.write(first.join(of("a"), "a").join(of("b"), "b").mapInArrow(plausible(percent), "a long, b long"), "stars")
     links = verify(texts, classes, first, scratch, "star", percent, seed)
     component = scratch.write(connected_components(links, scratch, "star-links"), "components")
 
     member = shared.select("band", "cid").join(component.withColumnRenamed("node", "cid"), "cid", "left").select("band", "cid", F.coalesce("component", "cid").alias("c"))
     mixed = member.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low < high").select("band", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
-    member = member.join(mixed, "band").join(sigs, "cid").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    member = member.join(mixed, "band").join(traits, "cid").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     # A block meets each block from itself on.
     dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "cid", "c", "sig")
-    pairs = dealt.groupBy("band", "i", "j").applyInArrow(close_pairs, "a long, b long").distinct()
+    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "cid", "c", "n", "sig", "parity")
+    pairs = dealt.groupBy("band", "i", "j").applyInArrow(close_pairs(percent), "a long, b long").distinct()
     pairs = scratch.write(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
         more = verify(texts, classes, pairs, scratch, "pair", percent, seed)
@@ -230,13 +262,6 @@ def near_groups(texts: DataFrame, classes: DataFrame, scratch: Scratch, percent:
     return grouped.join(lowest, "component").select("cid", "component_id")
 
 
-def within_reach(batches):
-    for b in batches:
-        if b.num_rows:
-            a, z = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(b.num_rows, -1) for c in ("sig_a", "sig_b"))
-            yield b.select(["a", "b"]).filter(pa.array((a == z).sum(1) >= LEAST_EQUAL))
-
-
 def fingerprint(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: id, n_chars, edited_sha256, fingerprint and edited_fingerprint (hex),
     near_edited, near_next, n_shingles, component_id. The edited text is the text with its last half replaced by as much
@@ -251,7 +276,7 @@ def fingerprint(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     for seed in range(SEEDS):
         made = fingerprint_rows(docs, scratch, id_col, text_col, seed)
-        kinds = made.where("n_shingles > 0").groupBy("cid").agg(F.min("id").alias("first"), F.min("sig").alias("sig"), (F.min("check") < F.max("check")).alias("clash"))
+        kinds = made.where("n_shingles > 0").groupBy("cid").agg(F.min("id").alias("first"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig"), F.min("parity").alias("parity"), (F.min("check") < F.max("check")).alias("clash"))
         classes = scratch.write(kinds, f"classes-{seed}")
         if classes.where("clash").isEmpty():
             break

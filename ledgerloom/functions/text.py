@@ -4,6 +4,7 @@ certainly an amount or a date is null, never a guess."""
 from __future__ import annotations
 
 import re
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,25 +37,34 @@ def once(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def read_amount_parts(text: Column) -> Column:
-    """struct(value, magnitude, marker, negative); null where the text is no amount. One pattern takes
-    the text apart; a text that is no amount costs one look for a digit or one match."""
-    flat = F.translate(text, DASHES + SPACES_IN_AMOUNT, "-" * len(DASHES))
+def quoted(text: str) -> str:
+    """A string literal of SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
 
-    def parts(t: Column) -> Column:
-        return F.when(t.rlike(AMOUNT), F.split(F.regexp_replace(t, AMOUNT, ";".join(f"${i}" for i in range(1, 10))), ";", -1))
+def applied(text: Column, sql: str) -> Column:
+    """SQL of a value `t`, applied to a Column: a reader's whole tree is parsed at once, not built call by call."""
+    return F.call_function("transform", F.array(text), F.expr(f"t -> {sql}"))[0]
 
-    def read(p: Column) -> Column:
-        lead, opened, before, minus, digits, after, behind, closed, trail = (p[i] for i in range(9))
-        good = ((opened == "") == (closed == "")) & ((minus == "") | (after == ""))
-        mark = F.upper(F.left(F.coalesce(*[F.nullif(m, F.lit("")) for m in (before, behind, lead, trail)]), F.lit(1)))
-        marker = F.when(mark == "C", "Cr").when(mark == "D", "Dr")
-        negative = F.when(mark == "D", True).when(mark == "C", False).otherwise((opened != "") | (minus != "") | (after != ""))
-        number = F.replace(digits, F.lit(","), F.lit("")).try_cast(MONEY)
-        value = F.when(negative & (number != 0), -number).otherwise(number).cast(MONEY)
-        return F.when(good, F.struct(value.alias("value"), number.alias("magnitude"), marker.alias("marker"), negative.alias("negative")))
 
-    return F.when(text.rlike("[0-9]"), once(once(flat, parts), read))
+@cache
+def amount_sql() -> str:
+    """SQL from a text `t` to struct(value, magnitude, marker, negative). One pattern takes the text apart;
+    its groups are: mark, bracket, mark, minus, digits, minus, mark, bracket, mark."""
+    flat = f"translate(t, {quoted(DASHES + SPACES_IN_AMOUNT)}, {quoted('-' * len(DASHES))})"
+    groups = f"transform(array({flat}), f -> CASE WHEN f RLIKE {quoted(AMOUNT)} THEN split(regexp_replace(f, {quoted(AMOUNT)}, {quoted(';'.join(f'${i}' for i in range(1, 10)))}), ';', -1) END)[0]"
+    mark = "upper(left(coalesce(nullif(p[2], ''), nullif(p[6], ''), nullif(p[0], ''), nullif(p[8], '')), 1))"
+    negative = f"CASE {mark} WHEN 'D' THEN true WHEN 'C' THEN false ELSE p[1] <> '' OR p[3] <> '' OR p[5] <> '' END"
+    number = f"try_cast(replace(p[4], ',', '') AS {MONEY})"
+    value = f"CAST(CASE WHEN ({negative}) AND {number} <> 0 THEN -{number} ELSE {number} END AS {MONEY})"
+    made = f"named_struct('value', {value}, 'magnitude', {number}, 'marker', CASE {mark} WHEN 'C' THEN 'Cr' WHEN 'D' THEN 'Dr' END, 'negative', {negative})"
+    return f"CASE WHEN t RLIKE '[0-9]' THEN transform(array({groups}), p -> CASE WHEN (p[1] = '') = (p[7] = '') AND (p[3] = '' OR p[5] = '') THEN {made} END)[0] END"
+
+
+def read_amount_parts(text: Column) -> Column:
+    """struct(value, magnitude, marker, negative); null where the text is no amount. A text that is no
+    amount costs one look for a digit or one match."""
+    return applied(text, amount_sql())
 
 
 def read_amount(text: Column) -> Column:
@@ -84,27 +94,30 @@ def date_shape(formats: tuple[str, ...]) -> str:
     return f"(?i)(?:{'|'.join(ways)})"
 
 
+@cache
+def date_sql(formats: tuple[str, ...] = ()) -> str:
+    """SQL from a text `t` to the first day that a format gives."""
+    clean = f"regexp_replace(t, {quoted(SPACE + '|' + chr(92) + 'u200B')}, ' ')"
+    clean = "regexp_replace({}, {}, '')".format(clean, quoted(r"(?i)\s+\d{1,2}:\d{2}(?::\d{2})?(?:\s*[ap]m)?$"))
+    clean = "regexp_replace({}, {}, '')".format(clean, quoted(r"\s*\([^)]*\)\s*$"))
+    clean = f"regexp_replace({clean}, {quoted(f'^{SPACE}+|{SPACE}+$')}, '')"
+    months = "map(" + ", ".join(f"'{m}', '{i}'" for m, i in MONTHS.items()) + ")"
+    days = []
+    for layout in dict.fromkeys((*formats, *DEFAULT_FORMATS)):
+        pattern, kinds = date_pattern(layout)
+        pattern = quoted(f"(?i)^{pattern}$")
+        got = {k: f"regexp_extract(c, {pattern}, {i})" for i, k in enumerate(kinds, 1)}
+        year = got["yyyy"] if "yyyy" in got else f"concat(CASE WHEN {got['yy']} >= '70' THEN '19' ELSE '20' END, {got['yy']})"
+        name = got.get("MMM", got.get("MMMM"))
+        month = got["MM"] if name is None else f"element_at({months}, lower({name}))"
+        day = f"try_cast(concat({year}, '-', lpad({month}, 2, '0'), '-', lpad({got['dd']}, 2, '0')) AS DATE)"
+        days.append(f"CASE WHEN c RLIKE {pattern} THEN transform(array({day}), d -> CASE WHEN year(d) BETWEEN 1900 AND 2999 THEN d END)[0] END")
+    return f"CASE WHEN t RLIKE {quoted(date_shape(formats))} THEN transform(array({clean}), c -> coalesce({', '.join(days)}))[0] END"
+
+
 def read_date(text: Column, formats: tuple[str, ...] = ()) -> Column:
     """The first format that gives a real day of 1900 to 2999; times and remarks at the end are dropped."""
-    clean = squeeze(F.regexp_replace(text, f"{SPACE}|\\u200B", " "))
-    clean = F.regexp_replace(clean, r"(?i)\s+\d{1,2}:\d{2}(?::\d{2})?(?:\s*[ap]m)?$", "")
-    clean = squeeze(F.regexp_replace(clean, r"\s*\([^)]*\)\s*$", ""))
-    months = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
-
-    def tried(t: Column) -> Column:
-        days = []
-        for layout in dict.fromkeys((*formats, *DEFAULT_FORMATS)):
-            pattern, kinds = date_pattern(layout)
-            pattern = f"(?i)^{pattern}$"
-            got = {k: F.regexp_extract(t, pattern, i) for i, k in enumerate(kinds, 1)}
-            year = got["yyyy"] if "yyyy" in got else F.when(got["yy"] >= "70", F.concat(F.lit("19"), got["yy"])).otherwise(F.concat(F.lit("20"), got["yy"]))
-            name = got.get("MMM", got.get("MMMM"))
-            month = got["MM"] if name is None else F.element_at(months, F.lower(name)).cast("string")
-            day = F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(got["dd"], 2, "0")).try_cast("date")
-            days.append(F.when(t.rlike(pattern), F.when(F.year(day).between(1900, 2999), day)))
-        return F.coalesce(*days)
-
-    return F.when(text.rlike(date_shape(formats)), once(clean, tried))
+    return applied(text, date_sql(tuple(formats)))
 
 
 def format_inr(value: Column) -> Column:

@@ -69,23 +69,31 @@ def learned_layouts(stored: DataFrame) -> DataFrame:
 
 
 def inferred_layouts(mappings: DataFrame) -> DataFrame:
-    """Layout rows of inferred mappings (fingerprint, bank, formats, style, places: field to column)."""
-    return mappings.select("fingerprint", F.concat(F.lit("llm-inferred-"), F.left("fingerprint", F.lit(8))).alias("layout_id"), "bank", "formats", "style", F.create_map().cast("map<string,string>").alias("columns"), F.map_filter("places", lambda k, v: v.isNotNull()).alias("places"), F.lit(FORWARD).alias("forward"))
+    """Layout rows of inferred mappings (fingerprint, bank, formats, style, places: field to column; and
+    statement_id, if they have it)."""
+    own = ["statement_id"] if "statement_id" in mappings.columns else []
+    return mappings.select(*own, "fingerprint", F.concat(F.lit("llm-inferred-"), F.left("fingerprint", F.lit(8))).alias("layout_id"), "bank", "formats", "style", F.create_map().cast("map<string,string>").alias("columns"), F.map_filter("places", lambda k, v: v.isNotNull()).alias("places"), F.lit(FORWARD).alias("forward"))
 
 
 def mapping_error(style: Column, places: Column) -> Column:
     """UNSUPPORTED_LAYOUT where a mapping lacks a column of movements, or of flags that its style needs."""
+    return F.when(mapping_lacks(style, places).isNotNull(), "UNSUPPORTED_LAYOUT")
+
+
+def mapping_lacks(style: Column, places: Column) -> Column:
+    """What a mapping lacks: `moves` for a column of movements, `flags` for that of flags; null if it is usable."""
     has = lambda k: F.try_element_at(places, F.lit(k)).isNotNull()
     moves = F.when(style == SEPARATE, has("debit") | has("credit")).otherwise(has("amount"))
-    return F.when(~moves | ((style == FLAGGED) & ~has("flag")), "UNSUPPORTED_LAYOUT")
+    return F.when(~moves, "moves").when((style == FLAGGED) & ~has("flag"), "flags")
 
 
-def storable(mappings: DataFrame, headers: DataFrame, key: str = "statement_id") -> DataFrame:
+def storable(mappings: DataFrame, headers: DataFrame, key: str = "statement_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """Stored layouts (key, bank, formats, style, columns) of mappings (statement, fingerprint, bank,
-    formats, style, places) and their header rows (statement, cells); none where a needed label is blank."""
+    formats, style, places) and their header rows (statement, cells); none where a needed label is blank.
+    Columns of the mappings in `keep` are kept."""
     j = mappings.join(headers, key)
     labels = F.map_filter(F.transform_values("places", lambda k, v: F.nullif(squeeze(F.get(F.col("cells"), v)), F.lit(""))), lambda k, v: v.isNotNull())
-    out = j.select(F.col("fingerprint").alias("key"), "bank", "formats", "style", labels.alias("columns"))
+    out = j.select(*keep, F.col("fingerprint").alias("key"), "bank", "formats", "style", labels.alias("columns"))
     return out.where(" and ".join(f"try_element_at(columns, '{n}') is not null" for n in NEEDED))
 
 

@@ -21,11 +21,12 @@ def movement(debit: Column, credit: Column, issue: Column) -> Column:
 
 
 def movement_separate(debit_cell: Column, credit_cell: Column) -> Column:
-    """Of a cell of each side: a zero yields to the other side, two zeros or no amount give null."""
+    """Of a cell of each side: a zero yields to the other side, two zeros or no amount give null. Digits
+    too many for an amount, such as a reference number's, are none."""
 
     def read(m: Column) -> Column:
         d, c, none = m["d"]["magnitude"], m["c"]["magnitude"], F.lit(None)
-        has_d, has_c = m["d"].isNotNull(), m["c"].isNotNull()
+        has_d, has_c = d.isNotNull(), c.isNotNull()
         both = has_d & has_c
         return (F.when(both & (d == 0) & (c == 0), F.lit(None).cast(MOVEMENT)).when(both & (d == 0), movement(none, c, none)).when(both & (c == 0), movement(d, none, none))
                 .when(both, movement(d, none, F.lit(BOTH_SIDES))).when(has_d, movement(d, none, none)).when(has_c, movement(none, c, none)))
@@ -36,7 +37,8 @@ def movement_separate(debit_cell: Column, credit_cell: Column) -> Column:
 def movement_signed(cell: Column) -> Column:
     def read(a: Column) -> Column:
         none = F.lit(None)
-        return F.when(a["negative"], movement(a["magnitude"], none, none)).when(a.isNotNull(), movement(none, a["magnitude"], F.when(a["marker"].isNull(), F.lit(NO_SIGN))))
+        held = a["magnitude"].isNotNull()
+        return F.when(held & a["negative"], movement(a["magnitude"], none, none)).when(held, movement(none, a["magnitude"], F.when(a["marker"].isNull(), F.lit(NO_SIGN))))
 
     return once(cell_amount(cell), read)
 
@@ -45,7 +47,7 @@ def movement_flag(cell: Column, flag_cell: Column) -> Column:
     def read(m: Column) -> Column:
         a, none = m["a"], F.lit(None)
         flag = F.coalesce(m["f"], a["marker"])
-        return F.when(a.isNull(), F.lit(None).cast(MOVEMENT)).when(flag == "Dr", movement(a["magnitude"], none, none)).otherwise(movement(none, a["magnitude"], F.when(flag.isNull(), F.lit(NO_FLAG))))
+        return F.when(a["magnitude"].isNull(), F.lit(None).cast(MOVEMENT)).when(flag == "Dr", movement(a["magnitude"], none, none)).otherwise(movement(none, a["magnitude"], F.when(flag.isNull(), F.lit(NO_FLAG))))
 
     return once(F.struct(cell_amount(cell).alias("a"), cell_flag(flag_cell).alias("f")), read)
 

@@ -18,6 +18,7 @@ from ..operators.grid import cluster_rows
 from ..operators.layouts import FIELDS, SHIPPED, layout_fingerprint, layout_table, learned_layouts
 from ..operators.parse import parse_statements, statement_meta, with_columns, with_header
 from ..sources.pages import ALL_SCANNED, SOME_SCANNED, page_text, scan_errors, statement_text
+from ..sources.shared import Stages
 from .layouts import BANKS, CODES, pick, quoted, statement_items
 from .statements import BASE, double, read
 
@@ -115,9 +116,15 @@ def layouts_of(spark, texts: DataFrame) -> DataFrame:
     return found.join(F.broadcast(layout_table(spark)), "layout_id")
 
 
+def read_once(spark, sf_dir, stages: Stages) -> tuple[DataFrame, DataFrame]:
+    """(grid, texts) of the printed statements; the runs of text, the grid and the texts are written once."""
+    items = stages.write(printed_items(spark, sf_dir), "items")
+    return stages.write(build_grid(items), "grid"), stages.write(texts_of(items), "texts")
+
+
 def parsed(spark, sf_dir) -> DataFrame:
-    items = printed_items(spark, sf_dir)
-    return parse_statements(build_grid(items), layouts_of(spark, texts_of(items)), FORMATS)
+    grid, texts = read_once(spark, sf_dir, Stages(spark))
+    return parse_statements(grid, layouts_of(spark, texts), FORMATS)
 
 
 def parsed_statements(spark, sf_dir):
@@ -127,37 +134,41 @@ def parsed_statements(spark, sf_dir):
 
 def statement_facts(spark, sf_dir):
     """What each statement is about, from its text and its parse."""
-    items = printed_items(spark, sf_dir)
-    texts = texts_of(items)
-    layouts = layouts_of(spark, texts)
+    stages = Stages(spark)
+    grid, texts = read_once(spark, sf_dir, stages)
+    layouts = stages.write(layouts_of(spark, texts), "layouts")
     details = texts.select("statement_id", statement_details(F.col("text")).alias("d")).select("statement_id", "d.*")
-    meta = statement_meta(parse_statements(build_grid(items), layouts, FORMATS), layouts, details)
+    meta = statement_meta(stages.write(parse_statements(grid, layouts, FORMATS), "rows"), layouts, details)
     return meta.select("statement_id", "bank_name", "template_id", *double("opening", "closing"), "account_masked", "period_from", "period_to", F.col("stated_count").cast("long").alias("stated_count"), F.size("notices").cast("long").alias("n_notices"))
 
 
 def header_binding(spark, sf_dir):
     """The header row and the column of each field."""
-    items = printed_items(spark, sf_dir)
-    rows = build_grid(items).join(layouts_of(spark, texts_of(items)), "statement_id")
+    grid, texts = read_once(spark, sf_dir, Stages(spark))
+    rows = grid.join(layouts_of(spark, texts), "statement_id")
     bound = with_columns(with_header(rows)).where("row_seq = header_seq")
     return bound.select("statement_id", F.col("header_seq").cast("long").alias("header_seq"), *[F.col(f"at.{f}").cast("long").alias(f"{f}_at") for f in FIELDS])
 
 
 def layout_fingerprints(spark, sf_dir):
-    items = printed_items(spark, sf_dir)
-    return layout_fingerprint(build_grid(items), texts_of(items).select("statement_id", F.col("first_page_text").alias("text")))
+    grid, texts = read_once(spark, sf_dir, Stages(spark))
+    return layout_fingerprint(grid, texts.select("statement_id", F.col("first_page_text").alias("text")))
 
 
-def learned_parse(spark, sf_dir):
-    """Statements parsed by layouts that are looked up by fingerprint in a store of header labels: one of
-    every bank but each third, stored under the fingerprint of the bank's first statement."""
-    items = printed_items(spark, sf_dir)
-    grid, texts = build_grid(items), texts_of(items)
-    prints = layout_fingerprint(grid, texts.select("statement_id", F.col("first_page_text").alias("text")))
+def learned_store(spark, prints: DataFrame) -> DataFrame:
+    """The header labels of every bank but each third, under the fingerprint of the bank's first statement."""
     kept = [(i, x.bank, list(x.formats), x.style, LABELS[i]) for i, x in enumerate(SHIPPED) if i % 3]
     store = spark.createDataFrame(kept, "place int, bank string, formats array<string>, style string, columns map<string,string>")
     first = prints.groupBy((F.col("statement_id") % len(SHIPPED)).cast("int").alias("place")).agg(F.min_by("fingerprint", "statement_id").alias("key"))
-    layouts = prints.join(learned_layouts(store.join(first, "place")), F.col("fingerprint") == F.col("key")).drop("fingerprint", "key")
+    return store.join(first, "place")
+
+
+def learned_parse(spark, sf_dir):
+    """Statements parsed by layouts that are looked up by fingerprint in a store of header labels."""
+    stages = Stages(spark)
+    grid, texts = read_once(spark, sf_dir, stages)
+    prints = stages.write(layout_fingerprint(grid, texts.select("statement_id", F.col("first_page_text").alias("text"))), "prints")
+    layouts = prints.join(learned_layouts(learned_store(spark, prints)), F.col("fingerprint") == F.col("key")).drop("fingerprint", "key")
     rows = parse_statements(grid, layouts, FORMATS)
     return rows.groupBy("statement_id").agg(F.count("*").alias("n_rows"), F.sum("debit").cast("double").alias("total_debit"), F.sum("credit").cast("double").alias("total_credit"), F.max_by("balance", "serial").cast("double").alias("closing"))
 

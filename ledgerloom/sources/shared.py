@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,3 +20,28 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+class Stages:
+    """Tables that several later steps read, written once to the shared folder: what follows starts from
+    a scan of them, with a short plan, and a lost executor costs a task and not the steps before. They go
+    when the session ends, or by drop()."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.base = f"{shared_dir(spark)}/stages-{uuid.uuid4().hex}"
+        self._files, path = self._folder()
+        self._files.mkdirs(path)
+        self._files.deleteOnExit(path)
+
+    def _folder(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}" if name else self.base)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.base}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
+
+    def drop(self, name: str = "") -> None:
+        files, path = self._folder(name)
+        files.delete(path, True)

@@ -126,7 +126,7 @@ class Chain:
         them, and closes those that are taken."""
         stages = self.stages
         layouts = stages.write(layouts, f"layouts-{tier}")
-        if layouts.isEmpty():
+        if tier != SHIPPED_TIER and layouts.isEmpty():  # that of shipped layouts gives the results their columns
             return
         self.looked[tier] = layouts
         usable = layouts.where("not refused").drop("refused", "storable")
@@ -193,8 +193,7 @@ def convert_statements(statements: DataFrame, items: DataFrame, store: DataFrame
     more = asked.select(key, F.col("header_seq").alias("given_seq"), mapping_lacks(F.col("style"), F.col("places")).alias("problem"))
     chain.attempt(INFERRED, inferred.join(more, key).join(labels.select(key, yes.alias("storable")), key, "left").select(*inferred.columns, "given_seq", F.coalesce("storable", no).alias("storable"), F.col("problem").isNotNull().alias("refused")))
 
-    empty = spark.createDataFrame([], "statement_id long, tier int, bank string, parsed boolean, ok boolean, notices array<string>, storable boolean, refused boolean").withColumn(key, F.col(key).cast(given.schema[key].dataType))
-    tried = all_of([t.drop("taken") for t in chain.tried] or [empty])
+    tried = all_of([t.drop("taken") for t in chain.tried])
     decided = stages.write(convert(fit, tried, "consent"), "decided")
     refused = asked.select(key, F.when(mapping_lacks(F.col("style"), F.col("places")) == "moves", NO_MOVES).when(mapping_lacks(F.col("style"), F.col("places")) == "flags", NO_FLAGS).alias("_why"))
     said = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])
@@ -202,19 +201,12 @@ def convert_statements(statements: DataFrame, items: DataFrame, store: DataFrame
     message = F.coalesce("error_message", F.when((F.col("_code") == "UNSUPPORTED_LAYOUT") & F.col("consent"), F.col("_why")), F.try_element_at(said, F.col("_code")))
     results = results.select(key, "tier", F.coalesce("error_code", "_code").alias("error_code"), message.alias("error_message"), *(F.coalesce(c, no).alias(c) for c in ("used", "evicted", "stored")), F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
     results = results.withColumn("ok", F.col("error_code").isNull()).withColumn("parsed_by", F.when(F.col("tier") == INFERRED, "llm").when(F.col("tier").isNotNull(), "template"))
-    if not chain.rows:
-        return Conversion(results, rows_of_nothing(spark, key, given), store_changes(results, chain, store, labels))
     facts = all_of(chain.metas).withColumnRenamed("ok", "reconciles").drop("notices")
     results = stages.write(results.join(facts, [key, "tier"], "left"), "results")
     rows = all_of(chain.rows).join(results.select(key, "tier"), [key, "tier"]).drop("tier")
     return Conversion(results, rows, store_changes(results, chain, store, labels))
 
 
-def rows_of_nothing(spark, key: str, given: DataFrame) -> DataFrame:
-    kind = given.schema[key].dataType.simpleString()
-    return spark.createDataFrame([], f"{key} {kind}, serial int, txn_date date, value_date date, narration string, narration_lines array<string>, ref_no string, debit decimal(18,2), credit decimal(18,2), balance decimal(18,2), confidence string, issues array<string>, reversed boolean, opening decimal(18,2), opening_inferred boolean")
-
-
 def store_changes(results: DataFrame, chain: Chain, store: DataFrame, labels: DataFrame) -> DataFrame:
     """(op, key, uses, bank, formats, style, columns): at most one put and one delete or use of a key. Of several
     statements that prove one mapping, the smallest statement_id's is put; a layout that fails for

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.columns import build_grid
-from ..operators.convert import LEARNED_HINT, Conversion, convert_statements
+from ..operators.convert import LEARNED_HINT, MESSAGES, NO_MOVES, Conversion, convert_statements
 from ..operators.layouts import FIELDS, SHIPPED, layout_fingerprint
 from ..sources.shared import Stages
 from .printed import LABELS, PRINTED, learned_store, printed_items, texts_of
@@ -39,24 +39,14 @@ def printed_conversion(spark, sf_dir) -> Conversion:
 
 
 def converted_statements(spark, sf_dir) -> DataFrame:
-    """One row for each statement given, converted or not."""
-    r = printed_conversion(spark, sf_dir).results
-    return r.select("statement_id", "ok", F.col("tier").cast("long").alias("tier"), "parsed_by", "error_code", "bank_name", "n_rows", *double("total_debit", "total_credit", "closing"), F.coalesce("reconciles", F.lit(False)).alias("reconciles"), "used", "evicted", "stored", F.size("notices").cast("long").alias("n_notices"), F.get("notices", F.lit(0)).alias("first_notice"), F.length("error_message").cast("long").alias("message_length"))
+    """One row for each statement given, converted or not, with figures of its transactions."""
+    made = printed_conversion(spark, sf_dir)
+    rows = made.transactions.groupBy("statement_id").agg(F.max("serial").cast("long").alias("last_serial"), F.min("txn_date").alias("since"), F.count("ref_no").alias("n_refs"))
+    r = made.results.join(rows, "statement_id", "left")
+    return r.select("statement_id", "ok", F.col("tier").cast("long").alias("tier"), "parsed_by", "error_code", "bank_name", "n_rows", *double("total_debit", "total_credit", "closing"), F.coalesce("reconciles", F.lit(False)).alias("reconciles"), "used", "evicted", "stored", F.size("notices").cast("long").alias("n_notices"), F.get("notices", F.lit(0)).alias("first_notice"), F.length("error_message").cast("long").alias("message_length"), "last_serial", "since", "n_refs")
 
 
-def converted_rows(spark, sf_dir) -> DataFrame:
-    """The transactions of the statements that were converted, in figures a statement."""
-    rows = printed_conversion(spark, sf_dir).transactions
-    return rows.groupBy("statement_id").agg(F.count("*").alias("n_rows"), F.max("serial").cast("long").alias("last_serial"), F.sum("debit").cast("double").alias("total_debit"), F.min("txn_date").alias("since"), F.count("ref_no").alias("n_refs"))
-
-
-def store_delta(spark, sf_dir) -> DataFrame:
-    """What the conversion changes in the store of layouts."""
-    c = printed_conversion(spark, sf_dir).changes
-    return c.select("op", "uses", "bank", "style", F.size("columns").cast("long").alias("n_labels")).groupBy("op", "bank", "style", "n_labels").agg(F.count("*").alias("n_keys"), F.sum("uses").cast("long").alias("uses"))
-
-
-QUERIES = {f.__name__: f for f in (converted_statements, converted_rows, store_delta)}
+QUERIES = {f.__name__: f for f in (converted_statements,)}
 
 _in = lambda places: "s % 12 IN (" + ", ".join(map(str, places)) + ")"
 _banks = "[" + ", ".join(f"'{x.bank}'" for x in SHIPPED) + "][s % 12 + 1]"
@@ -74,10 +64,6 @@ ORACLE = {
  CAST(CASE WHEN refused THEN 0 WHEN tier = 1 THEN own + 1 WHEN tier = 2 THEN own WHEN tier = 3 THEN own + 2 WHEN tier = 4 THEN 1 + CAST(kept AS INT) + own + 1 + CAST(stored AS INT) ELSE 1 + CAST(kept AS INT) END AS BIGINT) AS n_notices,
  CASE WHEN refused THEN NULL WHEN tier IN (1, 2) AND own = 1 THEN 'This statement lists transactions newest-first; they have been reordered oldest-first so the running balance and totals read top-to-bottom.' WHEN tier = 1 THEN 'Parsed using the "' || {_banks} || '" layout you selected — no AI was used.' WHEN tier = 2 THEN NULL
   WHEN wrong THEN 'The Indian Bank template matched the cover page but not the table layout.' ELSE 'The ' || {_banks} || ' template parsed this statement but the running balance did not reconcile, so the column mapping was re-checked.' END AS first_notice,
- CASE WHEN refused THEN 6 WHEN tier IS NOT NULL THEN NULL WHEN NOT consent THEN 124 WHEN NOT asked THEN 97 WHEN lacks THEN 80 ELSE 84 END AS message_length FROM e""",
-    "converted_rows": f"""WITH {CASES}, r AS (SELECT s FROM e WHERE tier IS NOT NULL)
-SELECT s AS statement_id, n AS n_rows, n AS last_serial, CASE WHEN debits > 0 THEN debits END AS total_debit, since, CASE WHEN refs THEN n ELSE 0 END AS n_refs FROM e JOIN r USING (s)""",
-    "store_delta": f"""WITH {CASES}, k AS (SELECT s % 12 AS p, count_if(tier IN (1, 3)) AS uses, count_if(evicted) AS gone, count_if(stored) AS puts FROM e GROUP BY 1),
-o AS (SELECT 'use' AS op, uses, NULL AS p FROM k WHERE uses > 0 AND gone = 0 UNION ALL SELECT 'delete', 0, NULL FROM k WHERE gone > 0 UNION ALL SELECT 'put', puts, p FROM k WHERE puts > 0)
-SELECT op, [{", ".join(f"'{x.bank} (learned)'" for x in SHIPPED)}][p + 1] AS bank, [{", ".join(f"'{x.style}'" for x in SHIPPED)}][p + 1] AS style, CAST(CASE WHEN p IS NULL THEN NULL ELSE [{", ".join(str(len(x)) for x in LABELS)}][p + 1] END AS BIGINT) AS n_labels, count(*) AS n_keys, CAST(sum(uses) AS BIGINT) AS uses FROM o GROUP BY ALL""",
+ CASE WHEN refused THEN 6 WHEN tier IS NOT NULL THEN NULL WHEN NOT consent THEN {len(MESSAGES['PARSE_FAILED'])} WHEN NOT asked THEN {len(MESSAGES['LLM_UNAVAILABLE'])} WHEN lacks THEN {len(NO_MOVES)} ELSE {len(MESSAGES['NO_TRANSACTIONS_FOUND'])} END AS message_length,
+ CASE WHEN tier IS NOT NULL THEN n END AS last_serial, CASE WHEN tier IS NOT NULL THEN since END AS since, CASE WHEN tier IS NOT NULL THEN CASE WHEN refs THEN n ELSE 0 END END AS n_refs FROM e""",
 }

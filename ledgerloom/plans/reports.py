@@ -3,20 +3,27 @@ of all statements over their candidate layouts, the store of layouts, names and
 
 from __future__ import annotations
 
+import io
+import re
 import uuid
+import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.details import clamp, client_key, file_name
+from ..functions.names import register_names
 from ..functions.text import MONEY
 from ..operators.audit import audit_rows, checks, first_offenders, report, row_messages
 from ..operators.convert import convert
-from ..operators.layouts import mapping_error, newest_layouts, storable, upsert
+from ..operators.layouts import inferred_layouts, mapping_error, newest_layouts, storable, upsert
 from ..operators.ledger import apply_edits
-from ..sinks.exports import accounting_import, export_errors, general_csv, result_lines, workbook_summary
+from ..operators.store import LayoutStore
+from ..sinks.exports import accounting_import, export_errors, export_files, general_csv, result_lines, workbook_summary
 from ..sources.pages import upload_error
-from ..sources.shared import shared_dir
+from ..sources.runs import normalise_runs
+from ..sources.shared import Stages, shared_dir
 from ..streaming.state import limit_stream
 from .layouts import BANKS, pick, quoted
 from .statements import AUDIT, BASE, LIMIT_SQL, double, read, statements
@@ -177,7 +184,78 @@ def rate_limit_stream(spark, sf_dir):
     return spark.read.schema(found.schema).parquet(f"{base}/rows").select("event_id", F.col("key").cast("long").alias("user_id"), "allowed")
 
 
-QUERIES = {f.__name__: f for f in (check_rows, report_measures, messages, csv_file, import_file, workbook_labels, export_names, export_checks, json_results, edited_fields, conversion, layout_store, newest_stored, inferred_mappings, client_keys, upload_checks, rate_limit_stream)}
+def exported_files(spark, sf_dir):
+    """Files of all formats, written by the `statement-files` source and read back: of the texts a digest, of
+    workbooks the rows of both sheets and the last balance."""
+    base = Stages(spark).base
+    rows, meta = transactions(spark, sf_dir), facts(spark, sf_dir)
+    for name, options in (("csv", {}), ("ledger-csv", {"bankCode": " AXISBB "}), ("xlsx", {})):
+        export_files(rows, f"{base}/{name}", name, options, meta)
+    read_back = lambda name: spark.read.format("binaryFile").load(f"{base}/{name}/part-*/*").select(F.regexp_extract("path", r"/(\d+)(?: |%20)[^/]*$", 1).cast("long").alias("statement_id"), "content")
+    texts = [read_back(n).select("statement_id", F.md5("content").alias(f"{c}_md5"), F.length("content").cast("long").alias(f"{c}_bytes")) for n, c in (("csv", "csv"), ("ledger-csv", "import"))]
+    books = read_back("xlsx").mapInArrow(sheet_figures, "statement_id long, sheet_rows long, summary_rows long, last_balance double")
+    return texts[0].join(texts[1], "statement_id").join(books, "statement_id")
+
+
+def sheet_figures(batches):
+    """(statement_id, content) of workbooks to the rows of their sheets and the balance of the last transaction."""
+    for b in batches:
+        out = []
+        for key, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                first, second = (z.read(f"xl/worksheets/sheet{i}.xml").decode() for i in (1, 2))
+            at = first.count("<row ")
+            out.append((key, at, second.count("<row "), float(re.search(rf'<c r="H{at}"[^>]*><v>([^<]*)</v>', first)[1])))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["statement_id", "sheet_rows", "summary_rows", "last_balance"]) if out else pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3 + [pa.array([], pa.float64())], names=["statement_id", "sheet_rows", "summary_rows", "last_balance"])
+
+
+def raw_runs(spark, sf_dir):
+    """Runs as a renderer gives them, of all orders, normalised: with and without heights, turned, blank, and short ones."""
+    k = F.col("order_key")
+    rows = statements(spark, sf_dir).select("statement_id", k, "serial")
+    numbers = F.array(F.lit(0.0), F.when(k % 5 == 0, 3.0).otherwise(0.0), F.lit(0.0), F.when(k % 7 == 0, 0.0).when(k % 3 == 0, -8.0).otherwise(4.0), k.cast("double"), F.when(k % 11 != 0, F.col("serial").cast("double")))
+    raw = rows.select("statement_id", F.lit(1).cast("long").alias("page"), F.lit(842.0).alias("page_height"), k.alias("seq"), F.when(k % 13 == 0, F.lit(" \u00a0")).when(k % 17 != 0, F.concat(F.lit("run "), k.cast("string"))).alias("text"),
+                      F.when(k % 19 == 0, F.slice(numbers, 1, 4)).otherwise(numbers).alias("transform"), F.when(k % 2 == 0, 30.0).alias("width"), F.when(k % 4 != 0, (k % 3 - 1).cast("double") * 9).alias("height"))
+    return normalise_runs(raw).select("statement_id", F.col("seq").alias("order_key"), "x", "y", "width", "height", "font_size", "text")
+
+
+def sql_names(spark, sf_dir):
+    """The expressions called by name from SQL, over texts made of orders."""
+    register_names(spark)
+    read(spark, sf_dir, "orders").createOrReplaceTempView("ledger_orders")
+    return spark.sql("""
+WITH t AS (SELECT o_orderkey AS order_key, CAST(o_totalprice AS DECIMAL(18,2)) AS price, CAST(o_orderdate AS DATE) AS day FROM ledger_orders),
+x AS (SELECT order_key, price, concat(CASE WHEN order_key % 3 = 0 THEN '(' ELSE '' END, format_number(price, 2), CASE WHEN order_key % 3 = 0 THEN ')' WHEN order_key % 3 = 1 THEN ' Dr.' ELSE '' END) AS amount, CASE WHEN order_key % 4 = 0 THEN 'no day' ELSE date_format(day, 'd MMM yyyy') END AS day FROM t)
+SELECT order_key, CAST(ledger_amount(amount) AS DOUBLE) AS amount, CAST(ledger_magnitude(amount) AS DOUBLE) AS magnitude, ledger_marker(amount) AS marker, ledger_date(day) AS day,
+ ledger_flag(CASE WHEN order_key % 2 = 0 THEN ' C.R. ' ELSE 'Debit' END) AS flag, ledger_mask(concat(' ', CAST(order_key * 1000003 AS STRING))) AS masked, ledger_rupees(CASE WHEN order_key % 5 = 0 THEN -price ELSE price END) AS rupees FROM x""")
+
+
+def stored_layouts(spark, sf_dir):
+    """Layouts of suppliers in a bucketed store after two batches of changes: puts and uses, then puts, deletes
+    and uses of a key, in the order of `at`."""
+    s = F.col("s_suppkey")
+    rows = read(spark, sf_dir, "supplier").select(s.cast("string").alias("key"), s.alias("_s"), F.col("s_name").alias("bank"))
+    more = lambda: (F.array(F.lit("dd/MM/yyyy")).alias("formats"), F.lit("separate-dr-cr").alias("style"), F.create_map(F.lit("date"), F.lit("Date")).alias("columns"))
+    day = lambda n: F.timestamp_seconds(F.lit(1_700_000_000) + (F.col("_s") % 50) * 60 + n).alias("learned_at")
+    op = lambda name, uses, at: F.struct(F.lit(name).alias("op"), F.lit(uses).cast("long").alias("uses"), F.lit(at).alias("at"))
+    first = rows.select("key", "bank", *more(), day(0), F.inline(F.array(op("put", 1, 1), op("use", 2, 2))))
+    k = F.col("_s")
+    second = rows.select("key", F.concat("bank", F.lit("+")).alias("bank"), *more(), day(7), F.inline(F.when(k % 5 == 0, F.array(op("put", 1, 1), op("delete", 0, 2))).when(k % 4 == 0, F.array(op("delete", 0, 1), op("put", 1, 2), op("use", 3, 3))).when(k % 3 == 0, F.array(op("use", 4, 1), op("use", 1, 2)))).alias("op", "uses", "at"))
+    store = LayoutStore(spark, f"{Stages(spark).base}/store", 16)
+    store.apply(first)
+    store.apply(second)
+    return store.rows().select("key", "bank", F.unix_timestamp("learned_at").alias("learned_at"), "times_used")
+
+
+def placed_mappings(spark, sf_dir):
+    """Mappings by column number of customers, as layouts: the fields that have a column."""
+    c = F.col("c_custkey")
+    places = F.map_from_entries(F.array(*[F.struct(F.lit(f).alias("key"), F.when(c % n != 0, i).alias("value")) for i, (f, n) in enumerate((("date", 1_000_003), ("narration", 1_000_003), ("debit", 2), ("credit", 3), ("balance", 5)))]))
+    mappings = read(spark, sf_dir, "customer").select(F.md5(c.cast("string")).alias("fingerprint"), F.col("c_name").alias("bank"), F.array(F.lit("dd/MM/yyyy")).alias("formats"), F.lit("separate-dr-cr").alias("style"), places.alias("places"))
+    return inferred_layouts(mappings).select("layout_id", "bank", F.array_join(F.array_sort(F.map_keys("places")), ",").alias("fields"), F.aggregate(F.map_values("places"), F.lit(0), lambda a, v: a + v).cast("long").alias("sum_of_columns"))
+
+
+QUERIES = {f.__name__: f for f in (check_rows, report_measures, messages, csv_file, import_file, workbook_labels, export_names, export_checks, json_results, edited_fields, conversion, layout_store, newest_stored, inferred_mappings, client_keys, upload_checks, rate_limit_stream, exported_files, raw_runs, sql_names, stored_layouts, placed_mappings)}
 
 
 def inr(e: str) -> str:
@@ -246,3 +324,17 @@ SELECT i AS statement_id, CAST(tier AS BIGINT) AS tier, coalesce(tier IN (1, 3),
 SELECT doc_id, CASE WHEN strlen(c) * 20000 > 20 * 1024 * 1024 THEN 'FILE_TOO_LARGE' WHEN NOT (starts_with(c, '%PDF') AND strlen(c) > 4) THEN 'NOT_A_PDF' END AS error_code FROM d""",
     "rate_limit_stream": LIMIT_SQL,
 }
+_csv_lines, _import_lines = ORACLE["csv_file"], ORACLE["import_file"]
+ORACLE |= {
+    "exported_files": f"""WITH a AS (SELECT statement_id, string_agg(line || chr(13) || chr(10), '' ORDER BY line_no) AS c FROM ({_csv_lines}) GROUP BY 1), b AS (SELECT statement_id, string_agg(line || chr(10), '' ORDER BY line_no) AS c FROM ({_import_lines}) GROUP BY 1),
+ z AS (WITH {BASE} SELECT statement_id, count(*) + 1 AS sheet_rows, CAST(15 AS BIGINT) AS summary_rows, CAST(arg_max(balance, serial) AS DOUBLE) AS last_balance FROM l GROUP BY 1)
+SELECT statement_id, md5(a.c) AS csv_md5, strlen(a.c) AS csv_bytes, md5(b.c) AS import_md5, strlen(b.c) AS import_bytes, sheet_rows, summary_rows, last_balance FROM a JOIN b USING (statement_id) JOIN z USING (statement_id)""",
+    "raw_runs": f"""WITH {BASE}, r AS (SELECT statement_id, order_key AS k, serial, CASE WHEN order_key % 5 = 0 THEN 3.0 ELSE 0 END AS b, CASE WHEN order_key % 7 = 0 THEN 0.0 WHEN order_key % 3 = 0 THEN -8.0 ELSE 4.0 END AS d, CASE WHEN order_key % 4 <> 0 THEN (order_key % 3 - 1) * 9.0 END AS h FROM l WHERE order_key % 13 <> 0 AND order_key % 17 <> 0 AND order_key % 19 <> 0),
+f AS (SELECT *, CASE WHEN b <> 0 OR d <> 0 THEN sqrt(CAST(b * b + d * d AS DOUBLE)) ELSE 10.0 END AS size FROM r)
+SELECT statement_id, k AS order_key, CAST(k AS DOUBLE) AS x, CAST(842 - CASE WHEN k % 11 = 0 THEN 0 ELSE serial END AS DOUBLE) AS y, CAST(CASE WHEN k % 2 = 0 THEN 30 ELSE 0 END AS DOUBLE) AS width, CAST(CASE WHEN h > 0 THEN h ELSE size END AS DOUBLE) AS height, size AS font_size, 'run ' || k AS text FROM f""",
+    "sql_names": f"""SELECT o_orderkey AS order_key, CASE WHEN o_orderkey % 3 = 2 THEN p ELSE -p END AS amount, p AS magnitude, CASE WHEN o_orderkey % 3 = 1 THEN 'Dr' END AS marker, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderdate AS DATE) END AS day, CASE WHEN o_orderkey % 2 = 0 THEN 'Cr' ELSE 'Dr' END AS flag,
+ CASE WHEN length(m) <= 4 THEN m ELSE repeat('X', least(length(m) - 4, 12)) || right(m, 4) END AS masked, {inr("CASE WHEN o_orderkey % 5 = 0 THEN -p ELSE p END")} AS rupees FROM (SELECT *, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS p, CAST(o_orderkey * 1000003 AS VARCHAR) AS m FROM orders)""",
+    "stored_layouts": """SELECT CAST(s_suppkey AS VARCHAR) AS key, s_name || CASE WHEN s_suppkey % 4 = 0 THEN '+' ELSE '' END AS bank, 1700000000 + s_suppkey % 50 * 60 + CASE WHEN s_suppkey % 4 = 0 THEN 7 ELSE 0 END AS learned_at, CAST(CASE WHEN s_suppkey % 4 = 0 THEN 4 WHEN s_suppkey % 3 = 0 THEN 8 ELSE 3 END AS BIGINT) AS times_used FROM supplier WHERE s_suppkey % 5 <> 0""",
+    "placed_mappings": """WITH m AS (SELECT c_custkey AS c, c_name, list_filter([CASE WHEN c_custkey % 5 <> 0 THEN 'balance' END, CASE WHEN c_custkey % 3 <> 0 THEN 'credit' END, 'date', CASE WHEN c_custkey % 2 <> 0 THEN 'debit' END, 'narration'], lambda f: f IS NOT NULL) AS f FROM customer)
+SELECT 'llm-inferred-' || left(md5(CAST(c AS VARCHAR)), 8) AS layout_id, c_name AS bank, array_to_string(f, ',') AS fields, CAST(1 + CASE WHEN c % 2 <> 0 THEN 2 ELSE 0 END + CASE WHEN c % 3 <> 0 THEN 3 ELSE 0 END + CASE WHEN c % 5 <> 0 THEN 4 ELSE 0 END AS BIGINT) AS sum_of_columns FROM m""",
+}

@@ -1,5 +1,5 @@
 """Export formats over transactions of many statements. A format makes lines (statement_id, line_no,
-line); write_lines() writes them as text, one folder a statement, in order within its file."""
+line) or whole contents; export_files() writes them, a file a statement."""
 
 from __future__ import annotations
 
@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.details import file_name
-from ..functions.text import MONEY, csv_cell, import_line, squeeze
+from ..functions.text import MONEY, csv_cell, import_line
+from .files import FORMAT, register
+from .workbook import workbooks
 
 # Columns of the formats, export limits, labels.
 CSV_COLUMNS = ("Serial", "Date", "Value Date", "Narration", "Ref No.", "Debit", "Credit", "Balance", "Confidence", "Issues")
@@ -59,68 +61,93 @@ def workbook_summary(rows: DataFrame, meta: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Exporter:
-    """What a format needs: lines(rows, options), the line ending and the options it cannot go without."""
+    """What a format needs: contents(rows, meta, options) as (statement_id, part, content): a file's bytes, in one
+    row or in parts; and the options it cannot go without."""
 
     id: str
     label: str
     content_type: str
     extension: str
-    lines: Callable[[DataFrame, dict[str, str] | None], DataFrame]
-    line_end: str = "\n"
+    contents: Callable[[DataFrame, DataFrame, dict[str, str]], DataFrame]
     requires: tuple[str, ...] = ()
 
 
+def as_lines(lines: Callable[[DataFrame, dict[str, str]], DataFrame], line_end: str) -> Callable[[DataFrame, DataFrame, dict[str, str]], DataFrame]:
+    """The contents of a text format: a part a line."""
+    return lambda rows, meta, options: lines(rows, options).select("statement_id", F.col("line_no").alias("part"), F.encode(F.concat("line", F.lit(line_end)), "UTF-8").alias("content"))
+
+
+def as_workbook(rows: DataFrame, meta: DataFrame, options: dict[str, str]) -> DataFrame:
+    return workbooks(rows, workbook_summary(rows, meta)).select("statement_id", F.lit(0).alias("part"), "content")
+
+
 EXPORTERS = (
-    Exporter("csv", "CSV (.csv)", "text/csv; charset=utf-8", "csv", general_csv, "\r\n"),
-    Exporter("ledger-csv", "Accounting import (.csv)", "text/csv; charset=utf-8", "csv", accounting_import, "\n", ("bankCode",)),
+    Exporter("csv", "CSV (.csv)", "text/csv; charset=utf-8", "csv", as_lines(general_csv, "\r\n")),
+    Exporter("ledger-csv", "Accounting import (.csv)", "text/csv; charset=utf-8", "csv", as_lines(accounting_import, "\n"), ("bankCode",)),
+    Exporter("xlsx", "Excel (.xlsx)", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "xlsx", as_workbook),
 )
 
+# Why an export is refused, in the order of the checks.
+BAD_SHAPE = "The transactions being exported did not match the expected shape."
+UNKNOWN_FORMAT = 'Unknown export format "{}".'
+NEEDS = 'The "{}" format needs a {}.'
+
 
 def find_exporter(name: str) -> Exporter | None:
     return next((e for e in EXPORTERS if e.id == name), None)
 
 
 def option_errors(name: str, options: dict[str, str] | None = None) -> str | None:
-    """Why a format cannot be written with these options; null if it can."""
-    exporter = find_exporter(name) if 0 < len(name) <= LONGEST_OPTION else None
-    if exporter is None:
-        return f'Unknown export format "{name}".'
+    """Why a format cannot be written with these options; null if it can. The shape of the request comes
+    first, then the format, then what it needs."""
     options = options or {}
-    if any(len(v) > LONGEST_OPTION for v in options.values()):
-        return "The transactions being exported did not match the expected shape."
+    if not 0 < len(name) <= LONGEST_OPTION or any(len(v) > LONGEST_OPTION for v in options.values()):
+        return BAD_SHAPE
+    exporter = find_exporter(name)
+    if exporter is None:
+        return UNKNOWN_FORMAT.format(name)
     for needed in exporter.requires:
         if not options.get(needed, "").strip():
-            return f'The "{exporter.label}" format needs a {"bank code" if needed == "bankCode" else needed}.'
+            return NEEDS.format(exporter.label, "bank code" if needed == "bankCode" else needed)
     return None
 
 
-def export_errors(rows: DataFrame) -> DataFrame:
+def export_errors(rows: DataFrame, statements: DataFrame | None = None) -> DataFrame:
     """(statement_id, n_rows, ok): whether each statement's rows can be exported: 1 to 20,000 rows, a
-    serial of 0 or more, a day, a balance and a known confidence in each."""
+    serial of 0 or more, a day, a balance and a known confidence in each. With `statements`
+    (statement_id), those without rows have a row as well, and cannot."""
     sound = (F.col("serial") >= 0) & F.col("txn_date").isNotNull() & F.col("balance").isNotNull() & F.col("narration").isNotNull() & F.col("confidence").isin("high", "medium", "low")
     out = rows.groupBy("statement_id").agg(F.count("*").alias("n_rows"), F.bool_and(F.coalesce(sound, F.lit(False))).alias("_s"))
-    return out.select("statement_id", "n_rows", (F.col("_s") & (F.col("n_rows") <= MOST_ROWS)).alias("ok"))
+    if statements is not None:
+        out = statements.select("statement_id").distinct().join(out, "statement_id", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0).cast("long")))
+    return out.select("statement_id", "n_rows", (F.coalesce("_s", F.lit(False)) & (F.col("n_rows") <= MOST_ROWS)).alias("ok"))
 
 
 def file_names(meta: DataFrame, extension: str) -> DataFrame:
     return meta.select("statement_id", file_name(F.col("bank_name"), F.col("period_from"), F.col("period_to"), extension).alias("file_name"))
 
 
-def write_lines(lines: DataFrame, path: str, line_end: str = "\n") -> None:
-    """Writes lines to path/statement_id=.../: a statement's lines meet in one sorted task, so its file
-    has them in order, each with its ending. Statements are bounded by the export limit."""
-    dealt = lines.repartition("statement_id").sortWithinPartitions("statement_id", "line_no")
-    dealt.select("statement_id", F.col("line").alias("value")).write.partitionBy("statement_id").option("lineSep", line_end).text(path)
-
-
-def export_files(rows: DataFrame, path: str, name: str, options: dict[str, str] | None = None) -> None:
-    """Checks format, options and rows, then writes; a statement that does not pass stops the export."""
+def export_files(rows: DataFrame, path: str, name: str, options: dict[str, str] | None = None, meta: DataFrame | None = None, mode: str = "append") -> None:
+    """Writes a file a statement by the `statement-files` source, named `<statement_id> <bank> statement <period>.<ext>`.
+    Format, options and rows are checked first; a statement that does not pass stops the export. `meta` has a row a
+    statement with bank_name, period_from, period_to, and what workbook_summary() needs; without it names have
+    no bank, and workbooks cannot be made. A statement's parts meet in one sorted task; the export limit bounds them."""
+    options = options or {}
     if why := option_errors(name, options):
         raise ValueError(why)
-    if not export_errors(rows).where("not ok").isEmpty():
-        raise ValueError("The transactions being exported did not match the expected shape.")
+    if not export_errors(rows, meta).where("not ok").isEmpty():
+        raise ValueError(BAD_SHAPE)
     exporter = find_exporter(name)
-    write_lines(exporter.lines(rows, options), path, exporter.line_end)
+    if meta is None:
+        if name == "xlsx":
+            raise ValueError("a workbook needs what is known of its statement: meta")
+        day = F.lit(None).cast("date")
+        meta = rows.select("statement_id").distinct().select("statement_id", F.lit("").alias("bank_name"), day.alias("period_from"), day.alias("period_to"))
+    names = meta.select("statement_id", F.concat(F.regexp_replace(F.col("statement_id").cast("string"), r"[^A-Za-z0-9_\-]", "_"), F.lit(" "), file_name(F.col("bank_name"), F.col("period_from"), F.col("period_to"), exporter.extension)).alias("file_name"))
+    register(rows.sparkSession)
+    parts = exporter.contents(rows, meta, options).join(names, "statement_id")
+    dealt = parts.repartition("file_name").sortWithinPartitions("file_name", "part").select("file_name", "content")
+    dealt.write.format(FORMAT).mode(mode).save(path)
 
 
 def result_lines(rows: DataFrame, meta: DataFrame, notices: str = "notices") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -22,11 +23,15 @@ STYLES = f"""<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/
 PLAIN, BOLD, MONEY, DAY, WARN, GOOD, BAD, TITLE, HEAD = range(9)
 
 
+#: Characters that XML 1.0 cannot hold.
+FORBIDDEN = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
+
+
 def cell(at: str, value, style: int) -> str:
     if value is None or value == "":
         return ""
     if isinstance(value, str):
-        return f'<c r="{at}" s="{style}" t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>'
+        return f'<c r="{at}" s="{style}" t="inlineStr"><is><t xml:space="preserve">{escape(FORBIDDEN.sub("", value))}</t></is></c>'
     return f'<c r="{at}" s="{style}"><v>{value}</v></c>'
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,8 +29,9 @@ class Stages:
     a scan of them, with a short plan, and a lost executor costs a task and not the steps before. They go
     when the session ends, or by drop()."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, on_table: Callable[[str, int], None] | None = None):
+        """on_table(name, rows) is called as each table is written; the rows are observed as they pass."""
+        self.spark, self.on_table = spark, on_table
         self.base = f"{shared_dir(spark)}/stages-{uuid.uuid4().hex}"
         self._files, path = self._folder()
         self._files.mkdirs(path)
@@ -39,7 +42,10 @@ class Stages:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.base}/{name}")
+        passed = Observation(f"stage {name}") if self.on_table else None
+        (df if passed is None else df.observe(passed, F.count(F.lit(1)).alias("rows"))).write.parquet(f"{self.base}/{name}")
+        if passed is not None:
+            self.on_table(name, passed.get["rows"])
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
     def drop(self, name: str = "") -> None:

@@ -119,9 +119,10 @@ def unescape_role(role: Column) -> Column:
 
 def format_chats(records: DataFrame, id_col: str, record_col: str) -> DataFrame:
     """One row per record: id, layout, n_turns, formatted, loss_spans (array of code-point start and
-    length of each assistant text in `formatted`). A null, broken or undeclared record has a null
+    length of each assistant text in `formatted`), reason. A null, broken or undeclared record has a null
     layout, no turns and an empty text. A struct's layout is that of its type and its texts may be of
-    any length; a JSON text that fails to parse and is longer than the parser may take is an error.
+    any length; a JSON text that fails to parse and is longer than the parser may take has a `reason`
+    that says so, which is null for all others: the caller gives such records as structs.
     Null roles and texts are empty. Other columns are ignored; repeated records give repeated rows.
     Turns keep their order, roles and texts exactly."""
     known = sorted({p for x in LAYOUTS.values() for p in x.paths()})
@@ -130,12 +131,12 @@ def format_chats(records: DataFrame, id_col: str, record_col: str) -> DataFrame:
     own = fingerprint_of([p for p in schema_paths(kind) if p in known]) if typed else None
     given = records.select(F.col(id_col).alias("id"), F.col(record_col).alias("top"))
     if typed:
-        print_ = given.select("id", "top", F.when(F.col("top").isNotNull(), F.lit(own)).alias("print"))
+        print_ = given.select("id", "top", F.lit(None).cast("string").alias("reason"), F.when(F.col("top").isNotNull(), F.lit(own)).alias("print"))
     else:
         top = given.select("id", F.octet_length("top").alias("size"), F.expr("try_parse_json(top)").alias("v"))
         lost = F.col("v").isNull() & (F.col("size") > PARSER_LIMIT)
-        top = top.select("id", F.when(lost, F.raise_error(F.concat(F.lit("record too large to parse, bytes: "), F.col("size").cast("string"))).cast("map<string,variant>")).when(F.schema_of_variant("v").startswith("OBJECT"), F.col("v").cast("map<string,variant>")).alias("top"))
-        print_ = top.select("id", "top", F.sha2(F.array_join(F.filter(field_paths(F.col("top")), lambda p: p.isin(known)), "\n"), 256).alias("print"))
+        top = top.select("id", F.when(F.schema_of_variant("v").startswith("OBJECT"), F.col("v").cast("map<string,variant>")).alias("top"), F.when(lost, F.concat(F.lit("record too large to parse, bytes: "), F.col("size").cast("string"))).alias("reason"))
+        print_ = top.select("id", "top", "reason", F.sha2(F.array_join(F.filter(field_paths(F.col("top")), lambda p: p.isin(known)), "\n"), 256).alias("print"))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for name, x in LAYOUTS.items():
         if typed and fingerprint_of(x.paths()) != own:
@@ -143,21 +144,21 @@ def format_chats(records: DataFrame, id_col: str, record_col: str) -> DataFrame:
         fits = F.col("print") == fingerprint_of(x.paths())
         layout = F.when(fits, F.lit(name)).otherwise(layout)
         turns = F.when(fits, x.turns(F.col("top"), typed)).otherwise(turns)
-    chats = print_.select("id", layout.alias("layout"), F.coalesce(turns, F.array().cast("array<struct<role:string,text:string>>")).alias("turns"))
+    chats = print_.select("id", "reason", layout.alias("layout"), F.coalesce(turns, F.array().cast("array<struct<role:string,text:string>>")).alias("turns"))
 
     def piece(t: Column) -> Column:
         head = F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"))
         body = escape(t["text"])
         return F.struct(F.concat(head, body, F.lit(f"{END}\n")).alias("piece"), F.length(head).alias("head"), F.length(body).alias("body"), (t["role"] == "assistant").alias("loss"))
 
-    pieces = chats.select("id", "layout", F.transform("turns", piece).alias("p"))
+    pieces = chats.select("id", "reason", "layout", F.transform("turns", piece).alias("p"))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
 
     def step(acc: Column, p: Column) -> Column:
         span = F.struct((acc["at"] + p["head"]).alias("start"), p["body"].alias("length"))
         return F.struct((acc["at"] + p["head"] + p["body"] + len(END) + 1).alias("at"), F.when(p["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    return pieces.select(F.col("id").alias(id_col), "layout", F.size("p").alias("n_turns"), F.array_join(F.col("p.piece"), "").alias("formatted"), F.aggregate("p", empty, step)["spans"].alias("loss_spans"))
+    return pieces.select(F.col("id").alias(id_col), "layout", F.size("p").alias("n_turns"), F.array_join(F.col("p.piece"), "").alias("formatted"), F.aggregate("p", empty, step)["spans"].alias("loss_spans"), "reason")
 
 
 def turns_of(formatted: Column) -> Column:

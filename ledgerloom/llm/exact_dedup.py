@@ -2,7 +2,7 @@
 
 The fingerprint of bytes b is the sum of (b[i] + 1) * r^i modulo two primes, with the length.
 That of `a + b` is that of a plus r^len(a) times that of b, so a text is hashed in chunks of
-64 KiB, all at once, and the chunk hashes are combined by their shifts. Texts whose fingerprints
+64 KiB, 32 at once, and the chunk hashes are combined by their shifts. Texts whose fingerprints
 are equal are then compared chunk by chunk: within a group, the smallest and the largest content
 of each chunk must be equal. Both are pre-aggregated before the shuffle, so a group of a third
 of all rows sends one chunk of each number from every task. If a group fails, its texts differ
@@ -12,12 +12,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import Scratch, slices, text_buffer
 
-CHUNK = 1 << 16
+CHUNK, CHUNKS_AT_ONCE = 1 << 16, 32
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1566083941)
 
@@ -59,17 +59,21 @@ def fingerprints(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         total = np.zeros(len(sizes), np.uint64)
         if len(owner):
             shift = powers(pow(base, CHUNK, prime), prime, int(number.max()) + 1)
-            np.add.at(total, owner, chunk_hashes(raw, starts, chunk_sizes, which) * shift[number] % np.uint64(prime))
+            for i in range(0, len(owner), CHUNKS_AT_ONCE):
+                own = slice(i, i + CHUNKS_AT_ONCE)
+                first, last = starts[i], starts[own][-1] + chunk_sizes[own][-1]
+                hashes = chunk_hashes(raw[first:last], starts[own] - first, chunk_sizes[own], which)
+                np.add.at(total, owner[own], hashes * shift[number[own]] % np.uint64(prime))
         out.append((total % np.uint64(prime)).astype(np.int64))
     return out
 
 
 def mark(batches):
-    """(id, sha, text) to (id, sha, h1, h2, size)."""
-    for b in slices(batches, 2):
-        raw, offsets = text_buffer(b.column(2))
+    """(id, sha, row, text) to (id, sha, row, h1, h2, size)."""
+    for b in slices(batches, 3):
+        raw, offsets = text_buffer(b.column(3))
         h1, h2 = fingerprints(raw, offsets)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(h1), pa.array(h2), pa.array(np.diff(offsets))], names=["id", "sha", "h1", "h2", "size"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(h1), pa.array(h2), pa.array(np.diff(offsets))], names=["id", "sha", "row", "h1", "h2", "size"])
 
 
 def chunked(batches):
@@ -95,7 +99,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     scratch = Scratch(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", F.sha2("text", 256).alias("sha"), "text")
-    marks = scratch.write(texts.mapInArrow(mark, f"id {id_type}, sha string, h1 long, h2 long, size long"), "marks")
+    # Rows are numbered once, in the written table; of rows alike in all else, the first number stays.
+    marks = scratch.write(texts.select("id", "sha", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(mark, f"id {id_type}, sha string, row long, h1 long, h2 long, size long"), "marks")
     key = ["h1", "h2", "size"]
     several = marks.groupBy(*key).count().where("count > 1").drop("count")
     again = marks.join(several.where("size > 0"), key).select(F.col("id").alias("_id"), F.col("sha").alias("_sha"), *key).distinct()
@@ -105,9 +110,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = scratch.write(several.join(same.groupBy(*key).agg(F.bool_and("same").alias("same")), key, "left").select(*key, F.coalesce("same", F.lit(True)).alias("same")), "groups")
     # A collision's texts are told apart by their digests; all others by the group alone.
     member = marks.join(groups, key, "left").withColumn("tie", F.when(F.col("same"), F.lit("")).otherwise(F.col("sha")))
-    size = member.where("same is not null").groupBy(*key, "tie").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    size = member.where("same is not null").groupBy(*key, "tie").agg(F.max(F.struct("id", (-F.col("row")).alias("row"))).alias("keep"), F.count("*").alias("group_size"))
     out = member.join(size, [*key, "tie"], "left")
     alone = F.col("group_size").isNull()
-    copy = F.row_number().over(Window.partitionBy("id", "sha").orderBy(F.lit(0)))
-    return out.select(F.col("id").alias(id_col), F.when(alone, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-                      (alone | (F.col("id").eqNullSafe(F.col("keep_id")) & (copy == 1))).alias("kept"), F.col("sha").alias("text_sha256"))
+    return out.select(F.col("id").alias(id_col), F.when(alone, F.col("id")).otherwise(F.col("keep.id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+                      (alone | (F.col("row") == -F.col("keep.row"))).alias("kept"), F.col("sha").alias("text_sha256"))

@@ -4,8 +4,10 @@ A rule is (host, path, verdict). It fits a url whose host is the rule's or a sub
 and whose path starts with the rule's. Written with its labels reversed and a dot after each
 (`org.example.`), a rule's host is a prefix of the keys it fits, so it is the interval from
 that prefix up to the prefix with its last dot raised by one. These intervals nest or are
-disjoint: a sweep over sorted keys keeps the open ones on a stack. Of the open rules whose
-path fits, the longest (host and path together) wins.
+disjoint: a sweep over sorted keys keeps the open ones on a stack, a level a host. A level holds
+its rules' paths by text and their lengths; of a url's path the beginnings of these lengths are looked up,
+the longest first, so a level costs a url no more for a hundred thousand paths than for as many lengths.
+Of the rules that fit, the longest (host and path together) wins.
 
 Urls and rule starts are dealt to the same key ranges. Range bounds are quantiles of a sample
 of the keys. A hot host repeats as a bound; its rows are dealt over all of its equal ranges,
@@ -95,25 +97,46 @@ def range_bounds(spark: SparkSession, urls: DataFrame, rows_per_range: int, most
     return [keys[len(keys) * i // ranges] for i in range(1, ranges)] if keys else []
 
 
+class Level:
+    """The open rules of one host."""
+
+    def __init__(self, end: str, hosts: int):
+        self.end, self.hosts = end, hosts
+        self.by_path: dict[str, tuple[str, str]] = {}
+        self._lengths: list[int] | None = None
+
+    def add(self, path: str, rule: str, verdict: str) -> None:
+        if path not in self.by_path or verdict == "block":
+            self.by_path[path] = (rule, verdict)
+            self._lengths = None
+
+    def best(self, path: str) -> tuple[str, str] | None:
+        """(rule, verdict) of the longest path that the given one starts with."""
+        if self._lengths is None:
+            self._lengths = sorted({len(p) for p in self.by_path}, reverse=True)
+        return next((hit for n in self._lengths if n <= len(path) and (hit := self.by_path.get(path[:n]))), None)
+
+
 def sweep(default: str, id_col: str):
     def run(batches):
-        stack, at = [], None  # stack: (high, path, rule, verdict, host length) of open rules, widest first
+        stack, at = [], None  # levels of open rules, the widest host first
         for batch in batches:
             d = batch.to_pydict()
             rows = [[] for _ in range(5)]
             for range_, kind, key, id_, host, path, rule, verdict in zip(*(d[c] for c in ("range", "kind", "key", "id", "host", "path", "rule", "verdict")), strict=True):
                 if range_ != at:
                     stack, at = [], range_
-                while stack and key >= stack[-1][0]:
+                while stack and key >= stack[-1].end:
                     stack.pop()
                 if kind == 0:
-                    stack.append((key[:-1] + "/", path, rule, verdict, len(host)))
+                    end = key[:-1] + "/"
+                    if not stack or stack[-1].end != end:
+                        stack.append(Level(end, len(host)))
+                    stack[-1].add(path, rule, verdict)
                     continue
-                best = None
-                for _, start, text, said, hosts in stack:
-                    if path.startswith(start) and (best is None or (len(text), hosts, said == "block") > best[0]):
-                        best = ((len(text), hosts, said == "block"), text, said)
-                for column, value in zip(rows, (id_, host, path, best and best[1], best[2] if best else default), strict=True):
+                fits = [(len(hit[0]), level.hosts, hit[1] == "block", hit) for level in stack if (hit := level.best(path))]
+                best = max(fits)[-1] if fits else (None, default)
+                for column, value in zip(rows, (id_, host, path, *best), strict=True):
                     column.append(value)
             kinds = [batch.schema.field("id").type, pa.string(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=[id_col, "host", "path", "rule", "verdict"])

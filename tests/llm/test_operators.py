@@ -120,8 +120,9 @@ def test_chats_of_any_size(spark):
     assert got[0].said == hashlib.sha256(b"hi" + b"<|" * (PARSER_LIMIT // 2 + 1)).hexdigest()
     assert got[0].n == 2 * 33 + 2 + 3 * (PARSER_LIMIT // 2 + 1) and got[1].n == 33 + 2
     text = F.concat(F.lit('{"prompt": "p", "completion": "'), F.repeat(F.lit("x"), PARSER_LIMIT + 1), F.lit('"}'))
-    with pytest.raises(Exception, match="too large"):
-        format_chats(spark.range(1).select("id", text.alias("record")), "id", "record").select("n_turns").collect()
+    rows = spark.range(2).select("id", F.when(F.col("id") == 0, text).otherwise('{"prompt": "p", "completion": "c"}').alias("record"))
+    got = [(r.layout, r.n_turns, r.reason and r.reason[:19]) for r in format_chats(rows, "id", "record").select("id", "layout", "n_turns", "reason").orderBy("id").collect()]
+    assert got[0] == (None, 0, "record too large to") and got[1][0] is not None and got[1][1:] == (2, None)
 
 
 def test_typed_chats(spark):

@@ -250,7 +250,7 @@ def stored_layouts(spark, sf_dir):
 def placed_mappings(spark, sf_dir):
     """Mappings by column number of customers, as layouts: the fields that have a column."""
     c = F.col("c_custkey")
-    places = F.map_from_entries(F.array(*[F.struct(F.lit(f).alias("key"), F.when(c % n != 0, i).alias("value")) for i, (f, n) in enumerate((("date", 1_000_003), ("narration", 1_000_003), ("debit", 2), ("credit", 3), ("balance", 5)))]))
+    places = F.map_from_entries(F.array(*[F.struct(F.lit(f).alias("key"), F.when(F.lit(not n) | (c % (n or 1) != 0), i).alias("value")) for i, (f, n) in enumerate((("date", 0), ("narration", 0), ("debit", 2), ("credit", 3), ("balance", 5)))]))
     mappings = read(spark, sf_dir, "customer").select(F.md5(c.cast("string")).alias("fingerprint"), F.col("c_name").alias("bank"), F.array(F.lit("dd/MM/yyyy")).alias("formats"), F.lit("separate-dr-cr").alias("style"), places.alias("places"))
     return inferred_layouts(mappings).select("layout_id", "bank", F.array_join(F.array_sort(F.map_keys("places")), ",").alias("fields"), F.aggregate(F.map_values("places"), F.lit(0), lambda a, v: a + v).cast("long").alias("sum_of_columns"))
 

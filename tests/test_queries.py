@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from ledgerloom.plans import layouts, printed, reports, statements
+from ledgerloom.plans import conversion, layouts, printed, reports, statements
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,7 +22,7 @@ def rows(columns, data):
     return sorted(tuple(str(round(r[i], 6) + 0.0 if isinstance(r[i], float) else r[i]) for i in order) for r in data)
 
 
-@pytest.mark.parametrize("name", sorted({**statements.ORACLE, **layouts.ORACLE, **printed.ORACLE, **reports.ORACLE}))
+@pytest.mark.parametrize("name", sorted({**statements.ORACLE, **layouts.ORACLE, **printed.ORACLE, **reports.ORACLE, **conversion.ORACLE}))
 def test_against_sql(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     want = duck.sql(entry.oracle_sql()[name])

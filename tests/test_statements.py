@@ -217,7 +217,7 @@ def test_files(spark, tmp_path):
     rows = full(spark)
     export_files(rows, str(tmp_path / "csv"), "csv")
     export_files(rows, str(tmp_path / "import"), "ledger-csv", {"bankCode": "B"})
-    read = lambda name: next((tmp_path / name / "statement_id=1").glob("part-*")).read_bytes().decode()
+    read = lambda name: next((tmp_path / name).glob("part-*/1 *.csv")).read_bytes().decode()
     assert read("csv") == "Serial,Date,Value Date,Narration,Ref No.,Debit,Credit,Balance,Confidence,Issues\r\n1,01/04/2024,01/04/2024,x,R1,,18.00,5.00,high,\r\n" + "2,02/04/2024,,\"'=SUM(\"\"a\"\")\",,1.50,,'-12.00,low,a; b\r\n"
     assert read("import") == '"bk_cd","prt_cd","tr_date","amtp","amtr","rem"\n"B","SUSP","01-04-2024","","18","x"\n"B","SUSP","02-04-2024","1.5","","=SUM\n""a"""\n'
     assert option_errors("ledger-csv") == 'The "Accounting import (.csv)" format needs a bank code.' and option_errors("odd") == 'Unknown export format "odd".' and option_errors("csv") is None

@@ -3,10 +3,12 @@ kinds of rows below a header. Column expressions throughout."""
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, date_shape, once, read_amount_parts, read_date, read_flag, squeeze
+from .text import SPACE, amount_sql, applied, date_shape, date_sql, flag_sql, quoted, read_amount_parts, read_date, squeeze
 
 # Rows that carry a balance forward, a time alone, a debit or credit mark alone.
 FORWARD = r"(?i)^(?:opening\s+balance|balance\s+(?:b/f|brought\s+forward)|b/f)"
@@ -15,58 +17,55 @@ BARE_MARK = r"(?i)^\(?(?:dr|cr)\.?\)?$"
 LONGEST_DATE = 4
 
 
-def tokens(cell: Column) -> Column:
-    return F.filter(F.split(F.coalesce(cell, F.lit("")), f"{SPACE}+"), lambda t: t != "")
-
+TOKENS = f"filter(split(coalesce(t, ''), {quoted(SPACE + '+')}), x -> x <> '')"
 
-def first_found(values: Column) -> Column:
-    return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
 
-
-def cell_flag(cell: Column) -> Column:
-    return F.coalesce(read_flag(cell), first_found(F.transform(tokens(cell), read_flag)))
+def first_sql(values: str) -> str:
+    return f"get(filter({values}, x -> x IS NOT NULL), 0)"
 
 
-def cell_amount(cell: Column) -> Column:
-    """struct(magnitude, marker, negative) of the whole cell, else of its first token that is an
-    amount, whose marker may be another token; null where there is none."""
+@cache
+def cell_flag_sql() -> str:
+    return f"coalesce({flag_sql()}, {first_sql(f'transform({TOKENS}, t -> {flag_sql()})')})"
 
-    def made(magnitude: Column, mark: Column, below: Column) -> Column:
-        return F.struct(magnitude.alias("magnitude"), mark.alias("marker"), below.alias("negative"))
 
-    def of_part(words: Column) -> Column:
-        part = F.get(F.filter(F.transform(words, read_amount_parts), lambda p: p.isNotNull()), F.lit(0))
+def cell_flag(cell: Column) -> Column:
+    return applied(cell, cell_flag_sql())
 
-        def read(p: Column) -> Column:
-            marker = F.coalesce(p["marker"], first_found(F.transform(words, read_flag)))
-            return F.when(p.isNotNull(), made(p["magnitude"], marker, F.when(marker == "Dr", True).when(marker == "Cr", False).otherwise(p["negative"] & (p["magnitude"] != 0))))
 
-        return once(part, read)
+@cache
+def cell_amount_sql() -> str:
+    made = lambda magnitude, marker, below: f"named_struct('magnitude', {magnitude}, 'marker', {marker}, 'negative', {below})"
+    mark = f"coalesce(q.marker, {first_sql(f'transform(ts, t -> {flag_sql()})')})"
+    below = "CASE WHEN k = 'Dr' THEN true WHEN k = 'Cr' THEN false ELSE q.negative AND q.magnitude <> 0 END"
+    part = f"CASE WHEN q IS NOT NULL THEN transform(array({mark}), k -> {made('q.magnitude', 'k', below)})[0] END"
+    parts = f"transform(array({TOKENS}), ts -> transform(array({first_sql(f'transform(ts, t -> {amount_sql()})')}), q -> {part})[0])[0]"
+    whole = made("w.magnitude", "w.marker", "w.negative AND w.magnitude <> 0")
+    return f"CASE WHEN t RLIKE '[0-9]' THEN transform(array({amount_sql()}), w -> CASE WHEN w IS NOT NULL THEN {whole} ELSE {parts} END)[0] END"
 
-    def of_whole(whole: Column) -> Column:
-        return F.when(whole.isNotNull(), made(whole["magnitude"], whole["marker"], whole["negative"] & (whole["magnitude"] != 0))).otherwise(once(tokens(cell), of_part))
 
-    return F.when(cell.rlike("[0-9]"), once(read_amount_parts(cell), of_whole))
+def cell_amount(cell: Column) -> Column:
+    """struct(magnitude, marker, negative) of the whole cell, else of its first token that is an
+    amount, whose marker may be another token; null where there is none."""
+    return applied(cell, cell_amount_sql())
 
 
 def signed_balance(amount: Column) -> Column:
     return F.when(amount["negative"], -amount["magnitude"]).otherwise(amount["magnitude"])
 
 
+@cache
+def cell_date_sql(formats: tuple[str, ...] = ()) -> str:
+    shape = quoted(date_shape(formats))
+    runs = [f"CASE WHEN size(ts) >= {n} THEN transform(sequence(1, greatest(size(ts) - {n - 1}, 1)), i -> array_join(slice(ts, i, {n}), ' ')) ELSE CAST(array() AS ARRAY<STRING>) END" for n in range(LONGEST_DATE, 0, -1)]
+    found = first_sql(f"transform(filter(concat({', '.join(runs)}), x -> x RLIKE {shape}), t -> {date_sql(formats)})")
+    return f"CASE WHEN t RLIKE {shape} THEN coalesce({date_sql(formats)}, transform(array({TOKENS}), ts -> {found})[0]) END"
+
+
 def cell_date(cell: Column, formats: tuple[str, ...] = ()) -> Column:
     """The whole cell's date, else that of the longest run of tokens, the first of equal length. A run
     is only read if it has a date's shape; a cell without such a shape is not taken apart."""
-    shape = date_shape(formats)
-
-    def of_parts(parts: Column) -> Column:
-        def runs(length: int) -> Column:
-            starts = F.sequence(F.lit(1), F.greatest(F.size(parts) - (length - 1), F.lit(1)))
-            return F.when(F.size(parts) >= length, F.transform(starts, lambda i: F.array_join(F.slice(parts, i, length), " "))).otherwise(F.array().cast("array<string>"))
-
-        windows = F.filter(F.concat(*[runs(n) for n in range(LONGEST_DATE, 0, -1)]), lambda w: w.rlike(shape))
-        return first_found(F.transform(windows, lambda w: read_date(w, formats)))
-
-    return F.when(cell.rlike(shape), F.coalesce(read_date(cell, formats), once(tokens(cell), of_parts)))
+    return applied(cell, cell_date_sql(tuple(formats)))
 
 
 def is_amount_like(cell: Column) -> Column:

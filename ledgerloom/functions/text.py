@@ -71,9 +71,15 @@ def read_amount(text: Column) -> Column:
     return read_amount_parts(text)["value"]
 
 
+@cache
+def flag_sql() -> str:
+    """SQL from a text `t` to Dr or Cr."""
+    low = f"lower(regexp_replace(t, {quoted(SPACE + '|' + chr(92) + '.')}, ''))"
+    return f"CASE WHEN {low} IN ('cr', 'c', 'credit') THEN 'Cr' WHEN {low} IN ('dr', 'd', 'debit', 'db') THEN 'Dr' END"
+
+
 def read_flag(text: Column) -> Column:
-    low = F.lower(F.regexp_replace(text, f"{SPACE}|\\.", ""))
-    return F.when(low.isin("cr", "c", "credit"), "Cr").when(low.isin("dr", "d", "debit", "db"), "Dr")
+    return applied(text, flag_sql())
 
 
 def date_pattern(layout: str) -> tuple[str, list[str]]:

@@ -108,7 +108,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, most_
     """Fits on at most `most_rows` labelled documents, one row an id: that of the fewest passages, then
     of the smallest digest. Their passages are counted first; documents that go beyond `most_passages`
     in the order of the ids' hashes are left out, and only the others' features come to the driver.
-    Where the sample holds one label only, all scores are that label; without labels, 1."""
+    Where the sample holds one label only, all scores are that label; without labels, 1. Null texts are
+    empty texts, of no passage; an id labelled twice has the larger label, ids and labels that are null have none."""
 
     def run(batches):
         for b in slices(batches, 2):
@@ -160,7 +161,9 @@ def score_quality(docs: DataFrame, model: Network, id_col: str = "doc_id", text_
 
 
 def keep_good(docs: DataFrame, model: Network, threshold: float, text_col: str = "text") -> DataFrame:
-    """The documents whose score reaches the threshold, with all their columns; nothing is shuffled."""
+    """The documents whose score reaches the threshold, with all their columns; nothing is shuffled. Null
+    and empty texts are scored alike; repeated rows stay or go together; a score of just the threshold
+    stays; an empty table stays empty."""
     if not model.weights:
         return docs if model.constant >= threshold else docs.limit(0)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -111,7 +111,8 @@ class ToxicityModel:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, most_grams: int = 2000, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Fits on at most `most_rows` labelled documents and keeps a lexicon of at most `most_grams`.
-    Where the sample holds one label only, all scores are that label; without labels, 0."""
+    Where the sample holds one label only, all scores are that label; without labels, 0. Null texts are
+    empty texts; an id labelled twice has the larger label, ids and labels that are null have none."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     sample = scratch.write(labelled_sample(docs, labels, label, most_rows, id_col, text_col), "sample")
@@ -151,6 +152,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
 
 def keep_civil(docs: DataFrame, model: ToxicityModel, threshold: float, text_col: str = "text") -> DataFrame:
-    """The documents whose score is below the threshold, with all their columns; nothing is shuffled."""
+    """The documents whose score is below the threshold, with all their columns; nothing is shuffled. Null
+    and empty texts are scored alike; repeated rows stay or go together; a score of just the threshold
+    goes; an empty table stays empty."""
     texts = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return scored(texts, model, "row").where(F.col("score") < threshold).select("row.*")

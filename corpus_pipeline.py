@@ -16,10 +16,14 @@ from ledgerloom.llm.toxicity import keep_civil
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches the threshold stay. Null and empty texts are scored alike,
+    repeated rows stay or go together, an empty table stays empty."""
     return keep_good(docs, quality_model(spark, sf_dir), GOOD)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score reaches the threshold go. Null and empty texts are scored alike,
+    repeated rows stay or go together, an empty table stays empty."""
     return keep_civil(docs, toxicity_model(spark, sf_dir), TOXIC)
 
 
@@ -51,6 +55,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences. A null or empty text is its end id alone; rows that repeat an
+    id are documents of their own; an empty table gives no piece."""
     return pack(docs, tokenizer_path("word_bpe_49k.json"), 1)
 
 

@@ -8,15 +8,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.cells import is_amount_like
+from ..functions.cells import FORWARD, is_amount_like
 from ..functions.text import read_date, squeeze
 from .detection import LAYOUTS, ascii_bounds
 
 FIELDS = ("date", "value_date", "narration", "ref_no", "debit", "credit", "amount", "flag", "balance")
 NEEDED = ("date", "narration", "balance")
 SEPARATE, SIGNED, FLAGGED = "separate-dr-cr", "signed-single", "amount-plus-flag"
-# Rows that carry a balance forward.
-FORWARD = r"(?i)^(?:opening\s+balance|balance\s+(?:b/f|brought\s+forward)|b/f)"
 
 
 @dataclass(frozen=True)

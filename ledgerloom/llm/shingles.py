@@ -25,7 +25,7 @@ def byte_powers(count: int) -> np.ndarray:
     return _powers
 
 
-PIECE = 1 << 20  # bytes of text that are hashed at a time
+PIECE = 1 << 18  # bytes of text that are hashed at a time
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,8 @@ interval a random block is projected onto its eigenvectors: the resolvent (z - V
 a circle through the interval's ends by Gauss-Legendre quadrature, one complex solve a node.
 Rayleigh-Ritz in the projected space gives the pairs; the block is projected anew until residuals
 are at rounding level, and the pairs within an interval must be as many as the inertia
-counts say, or it starts anew with a wider block."""
+counts say, or it starts anew with a wider block. The integral dampens eigenvalues outside the circle
+by their distance only, so a block is as wide as the eigenvalues near the circle are many, by inertia counts too."""
 
 from __future__ import annotations
 
@@ -22,6 +23,8 @@ SHIFTS_A_CUT, MOST_CUTS = 16, 40
 ROUNDS, STARTS = 12, 4
 #: Intervals are not cut below this share of the largest eigenvalue: what lies so close is one cluster.
 NARROW = 1e-9
+#: Eigenvalues within this multiple of a circle's radius are near it: beyond, eight nodes leave 1.5^-16 of a direction.
+NEAR = 1.5
 
 
 def below(v: np.ndarray, shift: float) -> int:
@@ -54,6 +57,12 @@ class Interval:
     low: float
     high: float
     count: int
+    near: int = 0
+
+    def around(self) -> tuple[float, float]:
+        """The ends of the circle's wider neighbourhood."""
+        middle, radius = (self.low + self.high) / 2, (self.high - self.low) / 2
+        return middle - NEAR * radius, middle + NEAR * radius
 
     def nodes(self, n: int) -> list[tuple[complex, complex]]:
         """(z, weight) of the upper half circle."""
@@ -96,16 +105,19 @@ class Contour:
             if not wide:
                 break
             known |= self.counts([s for lo, hi in wide for s in cuts(lo, hi)])
-        out: list[Interval] = []
+        out: list[Interval] = []  # neighbours are joined, but not over a gap: an outlier would stretch the circle
         for hi, lo in zip(points, points[1:], strict=False):
             held = known[lo] - known[hi]
             if known[hi] >= wanted:
                 break
-            if out and out[-1].count + held <= self.most_in_interval:
+            if not held:
+                continue
+            if out and out[-1].low == hi and out[-1].count + held <= self.most_in_interval:
                 out[-1] = Interval(lo, out[-1].high, out[-1].count + held)
             else:
                 out.append(Interval(lo, hi, held))
-        return [i for i in out if i.count]
+        at = self.counts([s for i in out for s in i.around()])
+        return [Interval(i.low, i.high, i.count, at[low] - at[high]) for i in out for low, high in [i.around()]]
 
     def projected(self, work: list[tuple[Interval, np.ndarray]]) -> list[np.ndarray]:
         """The part of each block that lies in its interval's eigenspace: a complex solve for each
@@ -126,7 +138,7 @@ class Contour:
         return out
 
     def block(self, interval: Interval, start: int) -> np.ndarray:
-        width = min(len(self.v), (interval.count * (3 + 2 * start)) // 2 + 4)
+        width = min(len(self.v), max(interval.count * (3 + 2 * start) // 2, interval.near + start * interval.count) + 4)
         return np.linalg.qr(self.rng.standard_normal((len(self.v), width)))[0]
 
     def ritz(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -100,6 +100,16 @@ def test_contour_finds_the_largest_pairs(spark, kind):
     assert np.abs(vector.T @ vector - np.eye(32)).max() < 1e-13 and np.abs(v @ vector - vector * value).max() < 1e-13 * want[0]
 
 
+def test_contour_is_not_stretched_by_outliers(spark):
+    rng = np.random.default_rng(5)
+    spectrum = np.array([400.0, 130.0] + [60.0] * 30 + list(np.linspace(10, 59, 32)))
+    turn = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    v = (turn * spectrum) @ turn.T
+    v = (v + v.T) / 2
+    value, vector = Contour(spark, v).largest(32, np.abs(v).sum(1).max() * 2.0**-36)
+    assert np.abs(value - spectrum[:32]).max() < 1e-10 and np.abs(v @ vector - vector * value).max() < 1e-10
+
+
 def test_whitening_is_that_of_a_dense_solver(spark):
     rng = np.random.default_rng(3)
     base = (rng.standard_normal((300, 9)) @ rng.standard_normal((9, 9))).astype(np.float32)

@@ -23,11 +23,11 @@ MOST_BINS = 100_000
 FEWEST = 3
 
 
-def with_band(items: DataFrame, row: list[str]) -> DataFrame:
+def with_band(items: DataFrame, row: list[str], formats: tuple[str, ...] = ()) -> DataFrame:
     """Adds band (the row holds a date and an amount), runs (the row's number of items) and lead (whether
-    the item is its row's first)."""
+    the item is its row's first). Dates are those of `formats` and of the default formats."""
     own = Window.partitionBy(*row)
-    dated = F.bool_or(F.coalesce(read_date(F.col("text")).isNotNull(), F.lit(False))).over(own)
+    dated = F.bool_or(F.coalesce(read_date(F.col("text"), formats).isNotNull(), F.lit(False))).over(own)
     priced = F.bool_or(F.coalesce(is_amount_like(F.col("text")), F.lit(False))).over(own)
     return items.withColumn("_d", dated).withColumn("_a", priced).withColumn("runs", F.count("*").over(own)).withColumn("lead", F.row_number().over(own.orderBy("x", "seq")) == 1).withColumn("band", F.col("_d") & F.col("_a")).drop("_d", "_a")
 
@@ -198,13 +198,15 @@ def split_run(run: Column, edges: Column) -> Column:
     return F.when(reaches, F.transform(F.array(cuts), pieces)[0]).otherwise(whole)
 
 
-def build_grid(items: DataFrame, key: str = "statement_id", page: str = "page", gap: float = COLUMN_GAP, support: float = SUPPORT, row_part: float = ROW_PART) -> DataFrame:
+def build_grid(items: DataFrame, key: str = "statement_id", page: str = "page", gap: float = COLUMN_GAP, support: float = SUPPORT, row_part: float = ROW_PART, formats: tuple[str, ...] = ()) -> DataFrame:
     """(key, row_seq from 0, page, y, cells, edges) of items (key, page, x, y, width, height, font_size,
     seq, text): rows by baseline, columns by the ink of all pages of a statement, cells by the columns.
-    Only rows with a date and an amount have runs split. Without edges a row is one cell."""
+    Only rows with a date and an amount have runs split. Without edges a row is one cell. `formats` are date
+    formats beside the default ones that statements may have: without theirs, columns come from the coverage,
+    which can take a right-aligned column with few wide amounts for two."""
     pages = [key, page]
     row = [*pages, "row_no"]
-    placed = with_band(cluster_rows(items, pages, row_part), row)
+    placed = with_band(cluster_rows(items, pages, row_part), row, formats)
     edges = column_edges(placed, key, pages, gap, support)
     run = F.struct(F.col("x").cast("double").alias("x"), F.col("seq").cast("bigint").alias("seq"), F.col("width").cast("double").alias("width"), F.col("font_size").cast("double").alias("font_size"), "text")
     placed = placed.join(edges, key).select(*row, "edges", "y", "band", run.alias("_r"))

@@ -15,7 +15,7 @@ from .audit import audit_rows, report
 from .columns import build_grid
 from .detection import choose_parse, detect_layout
 from .layouts import SHIPPED, inferred_layouts, layout_fingerprint, layout_table, learned_layouts, mapping_lacks, storable
-from .parse import parse_statements, statement_meta
+from .parse import all_formats, parse_statements, statement_meta
 
 HINTED, SHIPPED_TIER, LEARNED, INFERRED = 1, 2, 3, 4
 LEARNED_HINT = "learned:"
@@ -170,11 +170,12 @@ def convert_statements(statements: DataFrame, items: DataFrame, store: DataFrame
     given = stages.write(statements.select(key, "hint", F.coalesce("consent", F.lit(False)).alias("consent"), "error_code", "error_message"), "statements")
     fit = given.where("error_code is null").drop("error_code", "error_message")
     items = stages.write(items.join(fit.select(key), key, "left_semi"), "items")
-    grid = stages.write(build_grid(items), "grid")
+    formats = format_lists(store, mappings)
+    grid = stages.write(build_grid(items, formats=all_formats(formats)), "grid")
     texts = stages.write(statement_text(page_text(items)), "texts")
     details = stages.write(texts.select(key, statement_details(F.col("text")).alias("d")).select(key, "d.*"), "details")
     prints = stages.write(layout_fingerprint(grid, texts.select(key, F.col("first_page_text").alias("text"))), "prints")
-    chain = Chain(fit, grid, details, format_lists(store, mappings), stages)
+    chain = Chain(fit, grid, details, formats, stages)
     yes, no = F.lit(True), F.lit(False)
     kept = learned_layouts(store).select("key", F.struct("layout_id", "bank", "formats", "style", "columns", "places", "forward").alias("_l"))
 

@@ -21,6 +21,11 @@ def blank(cell: Column) -> Column:
     return squeeze(F.coalesce(cell, F.lit("")))
 
 
+def all_formats(known: tuple[tuple[str, ...], ...]) -> tuple[str, ...]:
+    """Each date format of the lists once."""
+    return tuple(dict.fromkeys(f for x in known for f in x))
+
+
 def by_formats(cell: Column, formats: Column, known: tuple[tuple[str, ...], ...], reader) -> Column:
     """reader(cell, formats) for the list of date formats in a column, one of those in `known`. Lists of
     default formats alone read as the defaults do, as no text fits two of these in different ways."""

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..operators.columns import build_grid
 from ..operators.convert import LEARNED_HINT, MESSAGES, NO_MOVES, Conversion, convert_statements
 from ..operators.layouts import FIELDS, SHIPPED, layout_fingerprint
+from ..operators.parse import all_formats
 from ..sources.shared import Stages
-from .printed import LABELS, PRINTED, learned_store, printed_items, texts_of
+from .printed import FORMATS, LABELS, PRINTED, learned_store, printed_items, texts_of
 from .statements import double
 
 #: A layout whose narration no other bank's table has.
@@ -24,7 +25,7 @@ def printed_conversion(spark, sf_dir) -> Conversion:
     stages = Stages(spark)
     text = F.when((s % 11 == 0) & F.col("text").startswith("Total: "), F.lit("Total: 99999 transactions")).otherwise(F.col("text"))
     items = stages.write(printed_items(spark, sf_dir).withColumn("text", text), "printed")
-    prints = stages.write(layout_fingerprint(build_grid(items), texts_of(items).select("statement_id", F.col("first_page_text").alias("text"))), "all-prints")
+    prints = stages.write(layout_fingerprint(build_grid(items, formats=all_formats(FORMATS)), texts_of(items).select("statement_id", F.col("first_page_text").alias("text"))), "all-prints")
     store = stages.write(learned_store(spark, prints), "store")
     place = (s % len(SHIPPED)).cast("int")
     hinted = prints.select("statement_id", place.alias("place")).join(F.broadcast(store.select("place", "key")), "place", "left")

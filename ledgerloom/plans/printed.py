@@ -16,7 +16,7 @@ from ..operators.columns import build_grid, column_edges, with_band
 from ..operators.detection import detect_layout
 from ..operators.grid import cluster_rows
 from ..operators.layouts import FIELDS, SHIPPED, layout_fingerprint, layout_table, learned_layouts
-from ..operators.parse import parse_statements, statement_meta, with_columns, with_header
+from ..operators.parse import all_formats, parse_statements, statement_meta, with_columns, with_header
 from ..sources.pages import ALL_SCANNED, SOME_SCANNED, page_text, scan_errors, statement_text
 from ..sources.shared import Stages
 from .layouts import BANKS, CODES, pick, quoted, statement_items
@@ -119,7 +119,7 @@ def layouts_of(spark, texts: DataFrame) -> DataFrame:
 def read_once(spark, sf_dir, stages: Stages) -> tuple[DataFrame, DataFrame]:
     """(grid, texts) of the printed statements; the runs of text, the grid and the texts are written once."""
     items = stages.write(printed_items(spark, sf_dir), "items")
-    return stages.write(build_grid(items), "grid"), stages.write(texts_of(items), "texts")
+    return stages.write(build_grid(items, formats=all_formats(FORMATS)), "grid"), stages.write(texts_of(items), "texts")
 
 
 def parsed(spark, sf_dir) -> DataFrame:

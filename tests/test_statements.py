@@ -18,6 +18,7 @@ from ledgerloom.operators.grid import cluster_rows
 from ledgerloom.operators.layouts import SEPARATE, Layout, layout_table
 from ledgerloom.operators.ledger import apply_edits
 from ledgerloom.operators.parse import merge_rows, parse_statements, statement_meta
+from ledgerloom.plans.printed import header_binding
 from ledgerloom.sinks.exports import EXPORTERS, export_files, find_exporter, option_errors, workbook_summary
 from ledgerloom.sinks.workbook import workbooks
 from ledgerloom.sources.pages import is_pdf, scan_errors, upload_error
@@ -295,6 +296,23 @@ def test_grid_of_statements_without_columns(spark):
     assert build_grid(items.where("false")).count() == 0
 
 
+def test_columns_of_rows_with_a_layouts_own_dates(spark):
+    """Few wide balances: the coverage takes their column for two, the rows with a day and an amount do not."""
+    items = []
+    for i in range(40):
+        balance = "1,234,567.89 Dr" if i == 0 else "234,567.89 Dr." if i < 3 else "34,567.89 Dr"
+        for seq, (x, t) in enumerate(((40.0, "Jan 28 1995"), (200.0, "order 000000001 in"), (520.0 if i % 2 else 620.0, "11,234.56"), (760.0, balance))):
+            w = len(t) * 4.4
+            items.append((1, 1, x - w if seq > 1 else x, 24.0 * i, w, 8.0, 8.0, seq, t))
+    got = build_grid(spark.createDataFrame(items, ITEMS), formats=("MMM dd yyyy",)).collect()
+    assert len(got) == 40 and all(len(r.cells) == 5 and "Dr" in r.cells[4] and r.cells[3 - r.row_seq % 2] == "11,234.56" for r in got)
+
+
+def test_printed_statement_with_few_wide_balances(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.1/orders.parquet").where("o_custkey div 10 = 382").write.parquet(str(tmp_path / "orders.parquet"))
+    assert [(r.header_seq, r.date_at, r.narration_at, r.debit_at, r.credit_at, r.balance_at) for r in header_binding(spark, str(tmp_path)).collect()] == [(4, 0, 1, 2, 3, 4)]
+
+
 def test_reports_follow_edits(spark, tmp_path):
     rows = txn(spark, [(1, None, 5, 105, 100), (2, 7, None, 99, 100)])
     schema = "statement_id long, serial int, field string, value string"

@@ -9,6 +9,7 @@ from decimal import Decimal
 from pathlib import Path
 
 import pytest
+from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.names import register_names
@@ -19,6 +20,7 @@ from ledgerloom.operators.layouts import layout_fingerprint
 from ledgerloom.operators.ledger import movement_flag, movement_separate, movement_signed
 from ledgerloom.operators.store import LayoutStore
 from ledgerloom.plans.printed import texts_of
+from ledgerloom.plans.reports import exported_files
 from ledgerloom.sinks.exports import BAD_SHAPE, export_errors, export_files, option_errors
 from ledgerloom.sinks.files import FORMAT, register
 from ledgerloom.sinks.workbook import workbook
@@ -188,3 +190,11 @@ def test_grids_with_other_tuning(spark):
     size = lambda **k: build_grid(items, **k).selectExpr("size(edges) AS n", "y").collect()
     assert {r.n for r in size()} == {5}
     assert {r.n for r in size(gap=200.0, support=2.0)} != set() and len(size(row_part=40.0)) < len(size())
+
+
+def test_exported_files_are_listed_by_folder(spark, monkeypatch):
+    """A pattern of files would be looked up file by file on the driver."""
+    paths, load = [], DataFrameReader.load
+    monkeypatch.setattr(DataFrameReader, "load", lambda self, path=None, *a, **k: paths.append(path) or load(self, path, *a, **k))
+    made = exported_files(spark, "/root/testdata/sf0.001")
+    assert len(paths) == 3 and all(p.endswith("/part-*") for p in paths) and "csv_md5" in made.columns

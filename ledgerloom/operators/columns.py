@@ -24,39 +24,41 @@ FEWEST = 3
 
 
 def with_band(items: DataFrame, row: list[str], formats: tuple[str, ...] = ()) -> DataFrame:
-    """Adds band (the row holds a date and an amount), runs (the row's number of items) and lead (whether
-    the item is its row's first). Dates are those of `formats` and of the default formats."""
-    own = Window.partitionBy(*row)
+    """Adds band (the row holds a date and an amount), runs (the row's number of items), lead (whether the
+    item is its row's first), reach and end (how far the ink of the row's items before it, and of all of
+    them, goes). Dates are those of `formats` and of the default formats. One sort serves all."""
+    order = Window.partitionBy(*row).orderBy("x", "seq")
+    own = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     dated = F.bool_or(F.coalesce(read_date(F.col("text"), formats).isNotNull(), F.lit(False))).over(own)
     priced = F.bool_or(F.coalesce(is_amount_like(F.col("text")), F.lit(False))).over(own)
-    return items.withColumn("_d", dated).withColumn("_a", priced).withColumn("runs", F.count("*").over(own)).withColumn("lead", F.row_number().over(own.orderBy("x", "seq")) == 1).withColumn("band", F.col("_d") & F.col("_a")).drop("_d", "_a")
+    right = (F.col("x") + F.greatest("width", F.lit(1.0))).cast("double")
+    ink = {"reach": F.max(right).over(order.rowsBetween(Window.unboundedPreceding, -1)), "end": F.max(right).over(own)}
+    return items.withColumns({"_d": dated, "_a": priced, "runs": F.count("*").over(own), "lead": F.row_number().over(order) == 1, **ink}).withColumn("band", F.col("_d") & F.col("_a")).drop("_d", "_a")
 
 
 BAND, COVER = "band", "coverage"
 
 
-def coverage(items: DataFrame, key: str, row: list[str]) -> DataFrame:
+def coverage(items: DataFrame, key: str) -> DataFrame:
     """(key, shape, least_x, n_rows, segments) for the shapes `band` (rows of the band, bins of 1) and
     `coverage` (rows of three runs or more, bins of 3): over bins from the leftmost ink, the number of
-    rows with ink, as runs (at, size, n). Statements of more than MOST_BINS bins are left out."""
-    shapes = F.filter(F.array(F.when(F.col("band"), F.struct(F.lit(BAND).alias("shape"), F.lit(BAND_BIN).alias("bin"))), F.when(F.col("runs") >= TABLE_RUNS, F.struct(F.lit(COVER).alias("shape"), F.lit(BIN).alias("bin")))), lambda s: s.isNotNull())
-    right = F.col("x") + F.greatest("width", F.lit(1.0))
+    rows with ink, as runs (at, size, n). Statements of more than MOST_BINS bins are left out. Rows meet
+    as counts of their breaks: where ink ends (null before the first) and where the next item begins
+    (null after the last)."""
+    breaks = F.array(F.when(F.col("x").isNotNull(), F.struct(F.col("reach").alias("until"), F.col("x").cast("double").alias("since"))), F.when(F.col("lead") & F.col("end").isNotNull(), F.struct(F.col("end").alias("until"), F.lit(None).cast("double").alias("since"))))
+    table = F.col("runs") >= TABLE_RUNS
+    broken = items.where(F.col("band") | table).select(key, "band", table.alias("table"), F.inline(F.filter(breaks, lambda b: b.isNotNull())))
+    broken = broken.groupBy(key, "band", "table", "until", "since").agg(F.count("*").alias("n"))
+    shapes = F.filter(F.array(F.when(F.col("band"), F.struct(F.lit(BAND).alias("shape"), F.lit(BAND_BIN).alias("bin"))), F.when(F.col("table"), F.struct(F.lit(COVER).alias("shape"), F.lit(BIN).alias("bin")))), lambda s: s.isNotNull())
     whole = Window.partitionBy(key, "shape")
-    inked = items.select(*row, "x", "width", F.inline(shapes)).withColumn("least_x", F.min("x").over(whole)).withColumn("_most", F.max(right).over(whole))
+    inked = broken.select(key, "until", "since", "n", F.inline(shapes)).withColumn("least_x", F.min("since").over(whole)).withColumn("_most", F.max("until").over(whole))
     inked = inked.withColumn("_bins", F.ceil((F.col("_most") - F.col("least_x")) / F.col("bin")) + 1).where((F.col("_bins") <= MOST_BINS) & (F.col("_most") > F.col("least_x")))
-    inked = inked.select(*row, "shape", "least_x", "_bins", F.struct(F.floor((F.col("x") - F.col("least_x")) / F.col("bin")).alias("low"), F.least(F.col("_bins"), F.ceil((right - F.col("least_x")) / F.col("bin"))).alias("high")).alias("s"))
-    spans = inked.groupBy(*row, "shape", "least_x", "_bins").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    none = F.array().cast("array<struct<low:bigint,high:bigint>>")
-
-    def joined(out: Column, s: Column) -> Column:
-        last = F.element_at(out, -1)
-        meets = (F.size(out) > 0) & (s["low"] <= last["high"])
-        longer = F.struct(last["low"].alias("low"), F.greatest(last["high"], s["high"]).alias("high"))
-        return F.when(meets, F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(out, F.array(s)))
-
-    spans = spans.select(key, "shape", "least_x", "_bins", F.aggregate("s", none, joined).alias("s"))
-    ends = F.flatten(F.transform("s", lambda s: F.array(F.struct(s["low"].alias("at"), F.lit(1).alias("step")), F.struct(s["high"].alias("at"), F.lit(-1).alias("step")))))
-    steps = spans.select(key, "shape", "least_x", "_bins", F.inline(F.concat(F.array(F.struct(F.lit(-1).cast("bigint").alias("at"), F.lit(1).alias("step"))), ends)))
+    inked = inked.select(key, "shape", "least_x", "_bins", "n", F.floor((F.col("since") - F.col("least_x")) / F.col("bin")).alias("low"), F.when(F.col("until").isNotNull(), F.least(F.col("_bins"), F.ceil((F.col("until") - F.col("least_x")) / F.col("bin")))).alias("high"))
+    step = lambda at, n: F.struct(at.cast("bigint").alias("at"), n.alias("step"))
+    n, first, last = F.col("n"), F.col("high").isNull(), F.col("low").isNull()
+    apart = first | last | (F.col("low") > F.col("high"))
+    made = F.array(F.when(first, step(F.lit(-1), n)), F.when(apart & ~last, step(F.col("low"), n)), F.when(apart & ~first, step(F.col("high"), -n)))
+    steps = inked.select(key, "shape", "least_x", "_bins", F.inline(F.filter(made, lambda m: m.isNotNull())))
     # The row of bin -1 counts the rows, so one aggregation gives both.
     steps = steps.groupBy(key, "shape", "least_x", "_bins", "at").agg(F.sum("step").alias("step")).where("step <> 0")
     lists = steps.groupBy(key, "shape", "least_x", "_bins").agg(F.max(F.when(F.col("at") < 0, F.col("step"))).alias("n_rows"), F.array_sort(F.collect_list(F.when(F.col("at") >= 0, F.struct("at", "step")))).alias("c"))
@@ -149,7 +151,7 @@ def column_edges(items: DataFrame, key: str, page: list[str], gap: float = COLUM
     with_band() adds): those of the band if three or more, else of the coverage if three or more, else
     the more of coverage and left edges, the coverage's of equally many."""
     none = F.array().cast("array<double>")
-    shapes = coverage(items, key, [*page, "row_no"]).withColumn("e", F.when(F.col("shape") == BAND, edges_of_band()).otherwise(edges_of_coverage(gap)))
+    shapes = coverage(items, key).withColumn("e", F.when(F.col("shape") == BAND, edges_of_band()).otherwise(edges_of_coverage(gap)))
     found = shapes.groupBy(key).agg(*(F.max(F.when(F.col("shape") == s, F.col("e"))).alias(s) for s in (BAND, COVER)))
     out = edges_of_left(items, key, page, gap, support).join(found, key, "left")
     band, cover, left = (F.coalesce(c, none) for c in (BAND, COVER, "left_edges"))
@@ -198,15 +200,15 @@ def split_run(run: Column, edges: Column) -> Column:
     return F.when(reaches, F.transform(F.array(cuts), pieces)[0]).otherwise(whole)
 
 
-def build_grid(items: DataFrame, key: str = "statement_id", page: str = "page", gap: float = COLUMN_GAP, support: float = SUPPORT, row_part: float = ROW_PART, formats: tuple[str, ...] = ()) -> DataFrame:
+def build_grid(items: DataFrame, key: str = "statement_id", page: str = "page", gap: float = COLUMN_GAP, support: float = SUPPORT, row_part: float = ROW_PART, formats: tuple[str, ...] = (), tasks: int | None = None) -> DataFrame:
     """(key, row_seq from 0, page, y, cells, edges) of items (key, page, x, y, width, height, font_size,
     seq, text): rows by baseline, columns by the ink of all pages of a statement, cells by the columns.
     Only rows with a date and an amount have runs split. Without edges a row is one cell. `formats` are date
     formats beside the default ones that statements may have: without theirs, columns come from the coverage,
-    which can take a right-aligned column with few wide amounts for two."""
+    which can take a right-aligned column with few wide amounts for two. `tasks` is that of cluster_rows()."""
     pages = [key, page]
     row = [*pages, "row_no"]
-    placed = with_band(cluster_rows(items, pages, row_part), row, formats)
+    placed = with_band(cluster_rows(items, pages, row_part, tasks), row, formats)
     edges = column_edges(placed, key, pages, gap, support)
     run = F.struct(F.col("x").cast("double").alias("x"), F.col("seq").cast("bigint").alias("seq"), F.col("width").cast("double").alias("width"), F.col("font_size").cast("double").alias("font_size"), "text")
     placed = placed.join(edges, key).select(*row, "edges", "y", "band", run.alias("_r"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, squeeze
@@ -10,11 +10,23 @@ from ..functions.text import SPACE, squeeze
 # Row tolerance as a part of the median height, its least value, the height where none
 # is known, the slack at a column's edge, and the gap, in parts of the font size, that makes a space.
 ROW_PART, ROW_LEAST, HEIGHT, EDGE_SLACK, GAP_PART = 0.4, 1.0, 10.0, 2.5, 0.25
+# Items that one task should sort at once.
+ITEMS_OF_TASK = 400_000
 
 
-def anchored_rows(items: DataFrame, page: list[str], tolerance: Column) -> DataFrame:
+def tasks_for(spark: SparkSession, n_items: int) -> int:
+    """How many tasks share n_items, so that none's memory grows with the input. Left to itself, adaptive
+    execution makes tasks of equal compressed size, and items compress to a small part of what sorts hold."""
+    return max(spark.sparkContext.defaultParallelism, -(-n_items // ITEMS_OF_TASK))
+
+
+def anchored_rows(items: DataFrame, page: list[str], tolerance: Column, tasks: int | None = None) -> DataFrame:
     """Adds row_no (from 0, by y): a row takes what lies within the tolerance (an aggregate of a page) of
-    its first item. Only a page's distinct y's meet in one value, not its items."""
+    its first item. Only a page's distinct y's meet in one value, not its items. Pages are dealt to
+    `tasks` tasks, if given (tasks_for())."""
+    if tasks:
+        items = items.repartition(tasks, *page)
+
     def anchor(kept: Column, y: Column) -> Column:
         return F.when((F.size(kept) == 0) | (y - F.element_at(kept, -1) > F.col("_tol")), F.concat(kept, F.array(y))).otherwise(kept)
 
@@ -23,10 +35,10 @@ def anchored_rows(items: DataFrame, page: list[str], tolerance: Column) -> DataF
     return items.join(pages, page).withColumn("row_no", F.size(F.filter("_anchors", lambda a: a <= F.col("y"))) - 1).drop("_anchors")
 
 
-def cluster_rows(items: DataFrame, page: list[str], part: float = ROW_PART) -> DataFrame:
+def cluster_rows(items: DataFrame, page: list[str], part: float = ROW_PART, tasks: int | None = None) -> DataFrame:
     """Adds row_no to items (page columns, x, y, height), with a tolerance from the page's median height."""
     median = F.coalesce(F.nullif(F.median("height"), F.lit(0.0)), F.lit(HEIGHT))
-    return anchored_rows(items, page, F.greatest(F.lit(ROW_LEAST), F.lit(part) * median))
+    return anchored_rows(items, page, F.greatest(F.lit(ROW_LEAST), F.lit(part) * median), tasks)
 
 
 def column_of(x: Column, edges: Column) -> Column:

@@ -48,10 +48,10 @@ def fallback_chain(spark, sf_dir):
     return choose_parse(tried.select("statement_id", F.col("tier").cast("long").alias("tier"), (F.col("good") & ((F.col("tier") != 3) | (s % 5 != 0))).alias("ok"), (s % 4 != 0).alias("may_ask")), "may_ask", proof.select("statement_id", (s % 4 != 0).alias("may_ask")))
 
 
-def statement_items(spark, sf_dir):
+def statement_items(spark, sf_dir, tasks=None):
     """Runs of text as a page of a statement would print them: a day, a remark of two runs, an amount;
-    the baselines of a row are up to 1.2 apart."""
-    rows = statements(spark, sf_dir)
+    the baselines of a row are up to 1.2 apart. `tasks` is that of statements()."""
+    rows = statements(spark, sf_dir, tasks)
     place = F.col("serial") - 1
     y = (place % PAGE_ROWS) * 12.0 + 30
     amount = plain_amount(F.coalesce("debit", "credit"))

@@ -14,7 +14,7 @@ from ..functions.details import statement_details
 from ..functions.text import MONEY
 from ..operators.columns import build_grid, column_edges, with_band
 from ..operators.detection import detect_layout
-from ..operators.grid import cluster_rows
+from ..operators.grid import cluster_rows, tasks_for
 from ..operators.layouts import FIELDS, SHIPPED, layout_fingerprint, layout_table, learned_layouts
 from ..operators.parse import all_formats, parse_statements, statement_meta, with_columns, with_header
 from ..sources.pages import ALL_SCANNED, SOME_SCANNED, page_text, scan_errors, statement_text
@@ -176,7 +176,8 @@ def learned_parse(spark, sf_dir):
 def grid_edges(spark, sf_dir):
     """Left edges of the columns of each statement, over all its pages."""
     pages = ["statement_id", "page"]
-    placed = with_band(cluster_rows(statement_items(spark, sf_dir), pages), [*pages, "row_no"])
+    tasks = tasks_for(spark, 4 * read(spark, sf_dir, "orders").count())
+    placed = with_band(cluster_rows(statement_items(spark, sf_dir, tasks), pages, tasks=tasks), [*pages, "row_no"])
     edges = column_edges(placed, "statement_id", pages)
     return edges.select("statement_id", F.array_join(F.transform("edges", lambda e: F.round(e).cast("int").cast("string")), ",").alias("edges"))
 

@@ -16,11 +16,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+def statements(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
+    """The rows of all statements, dealt to `tasks` tasks, if given."""
     orders, customers = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
     price = F.col("o_totalprice").cast(MONEY)
     rows = orders.join(customers.select("c_custkey", F.col("c_acctbal").cast(MONEY).alias("opening")), F.col("o_custkey") == F.col("c_custkey"))
     rows = rows.select(F.col("c_custkey").alias("statement_id"), "opening", F.col("o_orderkey").alias("order_key"), F.col("o_orderdate").cast("date").alias("txn_date"), F.when(F.col("o_orderstatus") != "F", price).alias("debit"), F.when(F.col("o_orderstatus") == "F", price).alias("credit"))
+    rows = rows.repartition(tasks, "statement_id") if tasks else rows
     order = Window.partitionBy("statement_id").orderBy("txn_date", "order_key")
     so_far = F.sum(F.coalesce("credit", F.lit(0)) - F.coalesce("debit", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("serial", F.row_number().over(order)).withColumn("balance", (F.col("opening") + so_far + F.when(F.col("order_key") % 97 == 0, 100).otherwise(0)).cast(MONEY))

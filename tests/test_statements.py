@@ -1,6 +1,7 @@
 """Columns of a grid against plain bins, rows to transactions, checks, edits, exports and streams."""
 
 import io
+import math
 import random
 import zipfile
 from collections import defaultdict
@@ -11,14 +12,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.audit import audit_rows, checks, first_offenders, report, row_messages
-from ledgerloom.operators.columns import build_grid, column_edges, nearest_space, split_run, with_band
+from ledgerloom.operators.columns import build_grid, column_edges, coverage, nearest_space, split_run, with_band
 from ledgerloom.operators.convert import convert
 from ledgerloom.operators.detection import detect_layout
-from ledgerloom.operators.grid import cluster_rows
+from ledgerloom.operators.grid import ITEMS_OF_TASK, cluster_rows, tasks_for
 from ledgerloom.operators.layouts import SEPARATE, Layout, layout_table
 from ledgerloom.operators.ledger import apply_edits
 from ledgerloom.operators.parse import merge_rows, parse_statements, statement_meta
-from ledgerloom.plans.printed import header_binding
+from ledgerloom.plans.printed import grid_edges, header_binding
 from ledgerloom.sinks.exports import EXPORTERS, export_files, find_exporter, option_errors, workbook_summary
 from ledgerloom.sinks.workbook import workbooks
 from ledgerloom.sources.pages import is_pdf, scan_errors, upload_error
@@ -296,6 +297,41 @@ def test_grid_of_statements_without_columns(spark):
     assert build_grid(items.where("false")).count() == 0
 
 
+def test_coverage_counts_rows_with_ink(spark):
+    """Against a count bin by bin; runs of a row overlap, touch, repeat and have no width."""
+    pick = random.Random(7)
+    items = [(k, 1, round(pick.uniform(20, 300), 1), 24.0 * i, pick.choice((None, 0.0, 30.0, round(pick.uniform(1, 90), 1))), 8.0, 8.0, seq, "Jan 28 1995 1.00" if pick.random() < 0.3 else t)
+             for k in (1, 2) for i in range(30) for seq, t in enumerate(("28/01/1995", "x", "1,234.56", "y", "z")[: pick.randint(1, 5)])]
+    row = ["statement_id", "page", "row_no"]
+    placed = with_band(cluster_rows(spark.createDataFrame(items, ITEMS), row[:2]), row)
+    want = {}
+    for shape, size, kept in (("band", 1.0, lambda r: r.band), ("coverage", 3.0, lambda r: r.runs >= 3)):
+        for k in (1, 2):
+            rows = [r for r in placed.collect() if r.statement_id == k and kept(r)]
+            right = lambda r: r.x + max(r.width or 1.0, 1.0)
+            least, n_bins = min(r.x for r in rows), math.ceil((max(map(right, rows)) - min(r.x for r in rows)) / size) + 1
+            inked = {(r.row_no, b) for r in rows for b in range(math.floor((r.x - least) / size), min(n_bins, math.ceil((right(r) - least) / size)))}
+            want[k, shape] = (least, len({r.row_no for r in rows}), [sum((n, b) in inked for n in {r.row_no for r in rows}) for b in range(n_bins)])
+    got = {}
+    for r in coverage(placed, "statement_id").collect():
+        got[r.statement_id, r.shape] = (r.least_x, r.n_rows, [s.n for s in r.segments for _ in range(s.size)])
+    assert got == want
+
+
+def test_tasks_of_a_grid_grow_with_its_items(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert (tasks_for(spark, 0), tasks_for(spark, 3 * cores * ITEMS_OF_TASK), tasks_for(spark, cores * ITEMS_OF_TASK + 1)) == (cores, 3 * cores, cores + 1)
+    items = spark.range(500).selectExpr("id % 50 statement_id", "1 page", "1d x", "cast(id div 50 as double) * 24 y", "9d width", "8d height", "8d font_size", "id seq", "'a' text")
+    dealt = cluster_rows(items, ["statement_id", "page"], tasks=7)
+    assert dealt.rdd.getNumPartitions() == 7 and sorted(map(tuple, dealt.collect())) == sorted(map(tuple, cluster_rows(items, ["statement_id", "page"]).collect()))
+
+
+def test_rows_of_a_grid_are_sorted_and_dealt_as_told(spark):
+    """grid_edges: no task's share is left to the compressed size of its items."""
+    plan = grid_edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 2
+
+
 def test_columns_of_rows_with_a_layouts_own_dates(spark):
     """Few wide balances: the coverage takes their column for two, the rows with a day and an amount do not."""
     items = []

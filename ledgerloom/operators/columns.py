@@ -39,16 +39,17 @@ def with_band(items: DataFrame, row: list[str], formats: tuple[str, ...] = ()) -
 BAND, COVER = "band", "coverage"
 
 
-def coverage(items: DataFrame, key: str) -> DataFrame:
+def coverage(items: DataFrame, key: str, tasks: int | None = None) -> DataFrame:
     """(key, shape, least_x, n_rows, segments) for the shapes `band` (rows of the band, bins of 1) and
     `coverage` (rows of three runs or more, bins of 3): over bins from the leftmost ink, the number of
     rows with ink, as runs (at, size, n). Statements of more than MOST_BINS bins are left out. Rows meet
     as counts of their breaks: where ink ends (null before the first) and where the next item begins
-    (null after the last)."""
+    (null after the last). Statements are dealt to `tasks` tasks, if given."""
     breaks = F.array(F.when(F.col("x").isNotNull(), F.struct(F.col("reach").alias("until"), F.col("x").cast("double").alias("since"))), F.when(F.col("lead") & F.col("end").isNotNull(), F.struct(F.col("end").alias("until"), F.lit(None).cast("double").alias("since"))))
     table = F.col("runs") >= TABLE_RUNS
     broken = items.where(F.col("band") | table).select(key, "band", table.alias("table"), F.inline(F.filter(breaks, lambda b: b.isNotNull())))
     broken = broken.groupBy(key, "band", "table", "until", "since").agg(F.count("*").alias("n"))
+    broken = broken.repartition(tasks, key) if tasks else broken
     shapes = F.filter(F.array(F.when(F.col("band"), F.struct(F.lit(BAND).alias("shape"), F.lit(BAND_BIN).alias("bin"))), F.when(F.col("table"), F.struct(F.lit(COVER).alias("shape"), F.lit(BIN).alias("bin")))), lambda s: s.isNotNull())
     whole = Window.partitionBy(key, "shape")
     inked = broken.select(key, "until", "since", "n", F.inline(shapes)).withColumn("least_x", F.min("since").over(whole)).withColumn("_most", F.max("until").over(whole))
@@ -146,12 +147,12 @@ def edges_of_left(items: DataFrame, key: str, page: list[str], apart: float = CO
     return bins.groupBy(key).agg(greedy_peaks(peaks, apart).alias("left_edges"))
 
 
-def column_edges(items: DataFrame, key: str, page: list[str], gap: float = COLUMN_GAP, support: float = SUPPORT) -> DataFrame:
+def column_edges(items: DataFrame, key: str, page: list[str], gap: float = COLUMN_GAP, support: float = SUPPORT, tasks: int | None = None) -> DataFrame:
     """(key, edges) of every statement with items (page columns, row_no, seq, x, width, and what
     with_band() adds): those of the band if three or more, else of the coverage if three or more, else
-    the more of coverage and left edges, the coverage's of equally many."""
+    the more of coverage and left edges, the coverage's of equally many. `tasks` is that of coverage()."""
     none = F.array().cast("array<double>")
-    shapes = coverage(items, key).withColumn("e", F.when(F.col("shape") == BAND, edges_of_band()).otherwise(edges_of_coverage(gap)))
+    shapes = coverage(items, key, tasks).withColumn("e", F.when(F.col("shape") == BAND, edges_of_band()).otherwise(edges_of_coverage(gap)))
     found = shapes.groupBy(key).agg(*(F.max(F.when(F.col("shape") == s, F.col("e"))).alias(s) for s in (BAND, COVER)))
     out = edges_of_left(items, key, page, gap, support).join(found, key, "left")
     band, cover, left = (F.coalesce(c, none) for c in (BAND, COVER, "left_edges"))
@@ -209,7 +210,7 @@ def build_grid(items: DataFrame, key: str = "statement_id", page: str = "page",
     pages = [key, page]
     row = [*pages, "row_no"]
     placed = with_band(cluster_rows(items, pages, row_part, tasks), row, formats)
-    edges = column_edges(placed, key, pages, gap, support)
+    edges = column_edges(placed, key, pages, gap, support, tasks)
     run = F.struct(F.col("x").cast("double").alias("x"), F.col("seq").cast("bigint").alias("seq"), F.col("width").cast("double").alias("width"), F.col("font_size").cast("double").alias("font_size"), "text")
     placed = placed.join(edges, key).select(*row, "edges", "y", "band", run.alias("_r"))
     whole = F.array(F.struct(column_of(F.col("_r.x"), F.col("edges")).alias("col"), F.col("_r").alias("run")))

@@ -178,7 +178,7 @@ def grid_edges(spark, sf_dir):
     pages = ["statement_id", "page"]
     tasks = tasks_for(spark, 4 * read(spark, sf_dir, "orders").count())
     placed = with_band(cluster_rows(statement_items(spark, sf_dir, tasks), pages, tasks=tasks), [*pages, "row_no"])
-    edges = column_edges(placed, "statement_id", pages)
+    edges = column_edges(placed, "statement_id", pages, tasks=tasks)
     return edges.select("statement_id", F.array_join(F.transform("edges", lambda e: F.round(e).cast("int").cast("string")), ",").alias("edges"))
 
 

@@ -329,7 +329,7 @@ def test_tasks_of_a_grid_grow_with_its_items(spark):
 def test_rows_of_a_grid_are_sorted_and_dealt_as_told(spark):
     """grid_edges: no task's share is left to the compressed size of its items."""
     plan = grid_edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("REPARTITION_BY_NUM") >= 2
+    assert plan.count("REPARTITION_BY_NUM") >= 3
 
 
 def test_columns_of_rows_with_a_layouts_own_dates(spark):

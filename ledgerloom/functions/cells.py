@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, amount_sql, applied, date_shape, date_sql, flag_sql, quoted, read_amount_parts, read_date, squeeze
+from .text import SPACE, amount_sql, applied, date_shape, date_sql, flag_sql, has_amount_shape, quoted, read_date, squeeze
 
 # Rows that carry a balance forward, a time alone, a debit or credit mark alone.
 FORWARD = r"(?i)^(?:opening\s+balance|balance\s+(?:b/f|brought\s+forward)|b/f)"
@@ -70,7 +70,7 @@ def cell_date(cell: Column, formats: tuple[str, ...] = ()) -> Column:
 
 def is_amount_like(cell: Column) -> Column:
     """Whether a cell has the shape of an amount, even one too large to hold."""
-    return read_amount_parts(cell).isNotNull()
+    return has_amount_shape(cell)
 
 
 def carries_forward(narration: Column) -> Column:

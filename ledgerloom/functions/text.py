@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 # White space, dashes, currency marks and date formats of statements.
 SPACE = "[\\s\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
 SPACES_IN_AMOUNT = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
+SPACES = SPACES_IN_AMOUNT.replace("\u200b", "")  # the characters of SPACE
 DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212"
 CURRENCY = "(?:₹|rs\\.?|inr|r\\.s\\.)"
 DEFAULT_FORMATS = (
@@ -24,12 +25,17 @@ MONEY = "decimal(18,2)"
 #: An amount without spaces: marks in brackets around all; brackets that mean a negative number; marks;
 #: currency; a sign on either side; digits in groups of two or three, or without groups.
 MARK = "((?:cr|dr)\\.?)?"
+DIGITS = "(?:\\d{1,3}(?:,\\d{2,3})*(?:\\.\\d+)?|\\d+(?:\\.\\d+)?)"
 AMOUNT = f"(?i)^(?:\\((cr|dr)\\))?(\\()?{MARK}{CURRENCY}?(-)?\\+?(\\d{{1,3}}(?:,\\d{{2,3}})*(?:\\.\\d+)?|\\d+(?:\\.\\d+)?)(-)?{MARK}(\\))?(?:\\((cr|dr)\\))?$"
+#: Digits alone; and the texts of AMOUNT whose brackets are two or none and whose sign is one at most.
+PLAIN_AMOUNT = f"^{DIGITS}\\z"
+_BODY = f"(?:(?:cr|dr)\\.?)?{CURRENCY}?(?:-\\+?{DIGITS}|\\+?{DIGITS}-?)(?:(?:cr|dr)\\.?)?"
+AMOUNT_LIKE = f"(?i)^(?:\\((?:cr|dr)\\))?(?:\\({_BODY}\\)|{_BODY})(?:\\((?:cr|dr)\\))?$"
 
 
 def squeeze(text: Column) -> Column:
     """Without white space at its ends, of any script."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def once(value: Column, use) -> Column:
@@ -50,15 +56,22 @@ def applied(text: Column, sql: str) -> Column:
 @cache
 def amount_sql() -> str:
     """SQL from a text `t` to struct(value, magnitude, marker, negative). One pattern takes the text apart;
-    its groups are: mark, bracket, mark, minus, digits, minus, mark, bracket, mark."""
-    flat = f"translate(t, {quoted(DASHES + SPACES_IN_AMOUNT)}, {quoted('-' * len(DASHES))})"
-    groups = f"transform(array({flat}), f -> CASE WHEN f RLIKE {quoted(AMOUNT)} THEN split(regexp_replace(f, {quoted(AMOUNT)}, {quoted(';'.join(f'${i}' for i in range(1, 10)))}), ';', -1) END)[0]"
-    mark = "upper(left(coalesce(nullif(p[2], ''), nullif(p[6], ''), nullif(p[0], ''), nullif(p[8], '')), 1))"
-    negative = f"CASE {mark} WHEN 'D' THEN true WHEN 'C' THEN false ELSE p[1] <> '' OR p[3] <> '' OR p[5] <> '' END"
-    number = f"try_cast(replace(p[4], ',', '') AS {MONEY})"
-    value = f"CAST(CASE WHEN ({negative}) AND {number} <> 0 THEN -{number} ELSE {number} END AS {MONEY})"
-    made = f"named_struct('value', {value}, 'magnitude', {number}, 'marker', CASE {mark} WHEN 'C' THEN 'Cr' WHEN 'D' THEN 'Dr' END, 'negative', {negative})"
-    return f"CASE WHEN t RLIKE '[0-9]' THEN transform(array({groups}), p -> CASE WHEN (p[1] = '') = (p[7] = '') AND (p[3] = '' OR p[5] = '') THEN {made} END)[0] END"
+    its groups are: mark, bracket, mark, minus, digits, minus, mark, bracket, mark. Digits alone are read as they
+    are; a mark and a number are read once, however often they are used."""
+    groups = f"CASE WHEN f RLIKE {quoted(AMOUNT)} THEN split(regexp_replace(f, {quoted(AMOUNT)}, {quoted(';'.join(f'${i}' for i in range(1, 10)))}), ';', -1) END"
+    number = lambda text: f"try_cast(replace({text}, ',', '') AS {MONEY})"
+    made = lambda value, magnitude, marker, below: f"named_struct('value', {value}, 'magnitude', {magnitude}, 'marker', {marker}, 'negative', {below})"
+    mark = "translate(left(coalesce(nullif(p[2], ''), nullif(p[6], ''), nullif(p[0], ''), nullif(p[8], '')), 1), 'cd', 'CD')"
+    negative = "CASE k WHEN 'D' THEN true WHEN 'C' THEN false ELSE p[1] <> '' OR p[3] <> '' OR p[5] <> '' END"
+    read = f"transform(array({mark}), k -> named_struct('n', {number('p[4]')}, 'k', CASE k WHEN 'C' THEN 'Cr' WHEN 'D' THEN 'Dr' END, 'b', {negative}))[0]"
+    signed = made(f"CAST(CASE WHEN r.b AND r.n <> 0 THEN -r.n ELSE r.n END AS {MONEY})", "r.n", "r.k", "r.b")
+    apart = f"transform(array({groups}), p -> CASE WHEN (p[1] = '') = (p[7] = '') AND (p[3] = '' OR p[5] = '') THEN transform(array({read}), r -> {signed})[0] END)[0]"
+    plain = f"transform(array({number('f')}), n -> {made('n', 'n', 'CAST(NULL AS STRING)', 'false')})[0]"
+    return f"CASE WHEN t RLIKE '[0-9]' THEN transform(array({flat_sql('t')}), f -> CASE WHEN f RLIKE {quoted(PLAIN_AMOUNT)} THEN {plain} ELSE {apart} END)[0] END"
+
+
+def flat_sql(text: str) -> str:
+    return f"translate({text}, {quoted(DASHES + SPACES_IN_AMOUNT)}, {quoted('-' * len(DASHES))})"
 
 
 def read_amount_parts(text: Column) -> Column:
@@ -67,6 +80,12 @@ def read_amount_parts(text: Column) -> Column:
     return applied(text, amount_sql())
 
 
+def has_amount_shape(text: Column) -> Column:
+    """Whether read_amount_parts() gives something; null is no amount."""
+    flat = F.translate(text, DASHES + SPACES_IN_AMOUNT, "-" * len(DASHES))
+    return F.coalesce(F.rlike(text, F.lit("[0-9]")) & F.rlike(flat, F.lit(AMOUNT_LIKE)), F.lit(False))
+
+
 def read_amount(text: Column) -> Column:
     return read_amount_parts(text)["value"]
 
@@ -100,25 +119,35 @@ def date_shape(formats: tuple[str, ...]) -> str:
     return f"(?i)(?:{'|'.join(ways)})"
 
 
+#: A text that cleaning leaves as it is.
+PLAIN_DATE = r"^[0-9A-Za-z](?:[-0-9A-Za-z/., ]*[0-9A-Za-z])?\z"
+
+
 @cache
 def date_sql(formats: tuple[str, ...] = ()) -> str:
-    """SQL from a text `t` to the first day that a format gives."""
+    """SQL from a text `t` to the first day that a format gives. Cleaning takes nothing from the front but
+    blanks, so only a text that begins with a date's shape is read."""
     clean = f"regexp_replace(t, {quoted(SPACE + '|' + chr(92) + 'u200B')}, ' ')"
     clean = "regexp_replace({}, {}, '')".format(clean, quoted(r"(?i)\s+\d{1,2}:\d{2}(?::\d{2})?(?:\s*[ap]m)?$"))
     clean = "regexp_replace({}, {}, '')".format(clean, quoted(r"\s*\([^)]*\)\s*$"))
-    clean = f"regexp_replace({clean}, {quoted(f'^{SPACE}+|{SPACE}+$')}, '')"
+    clean = f"CASE WHEN t RLIKE {quoted(PLAIN_DATE)} THEN t ELSE btrim({clean}, {quoted(SPACES)}) END"
     months = "map(" + ", ".join(f"'{m}', '{i}'" for m, i in MONTHS.items()) + ")"
     days = []
     for layout in dict.fromkeys((*formats, *DEFAULT_FORMATS)):
         pattern, kinds = date_pattern(layout)
         pattern = quoted(f"(?i)^{pattern}$")
-        got = {k: f"regexp_extract(c, {pattern}, {i})" for i, k in enumerate(kinds, 1)}
-        year = got["yyyy"] if "yyyy" in got else f"concat(CASE WHEN {got['yy']} >= '70' THEN '19' ELSE '20' END, {got['yy']})"
-        name = got.get("MMM", got.get("MMMM"))
-        month = got["MM"] if name is None else f"element_at({months}, lower({name}))"
-        day = f"try_cast(concat({year}, '-', lpad({month}, 2, '0'), '-', lpad({got['dd']}, 2, '0')) AS DATE)"
-        days.append(f"CASE WHEN c RLIKE {pattern} THEN transform(array({day}), d -> CASE WHEN year(d) BETWEEN 1900 AND 2999 THEN d END)[0] END")
-    return f"CASE WHEN t RLIKE {quoted(date_shape(formats))} THEN transform(array({clean}), c -> coalesce({', '.join(days)}))[0] END"
+        at = {k: i for i, k in enumerate(kinds, 1)}
+        year, name = at.get("yyyy", at.get("yy")), at.get("MMM", at.get("MMMM"))
+        if name is None:
+            text = f"regexp_replace(c, {pattern}, '${year}-${at['MM']}-${at['dd']}')"
+        else:
+            parts = f"split(regexp_replace(c, {pattern}, '${year};${name};${at['dd']}'), ';')"
+            text = f"transform(array({parts}), p -> concat(p[0], '-', element_at({months}, lower(p[1])), '-', p[2]))[0]"
+        if "yyyy" not in at:
+            text = f"transform(array({text}), y -> concat(CASE WHEN y >= '70' THEN '19' ELSE '20' END, y))[0]"
+        days.append(f"CASE WHEN c RLIKE {pattern} THEN transform(array(try_cast({text} AS DATE)), d -> CASE WHEN year(d) BETWEEN 1900 AND 2999 THEN d END)[0] END")
+    begins = f"(?i)^(?:{SPACE}|\\u200B)*(?:{date_shape(formats).removeprefix('(?i)').replace(SPACE, f'(?:{SPACE}|{chr(92)}u200B)')})"
+    return f"CASE WHEN t RLIKE {quoted(begins)} THEN transform(array({clean}), c -> coalesce({', '.join(days)}))[0] END"
 
 
 def read_date(text: Column, formats: tuple[str, ...] = ()) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import is_amount_like
 from ..functions.text import read_date
+from ..sources.shared import Stages
 from .grid import ROW_PART, cluster_rows, column_of, join_runs
 
 # Fixed values of column detection. Band: rows with a date and an amount; the least number of such
@@ -201,15 +202,17 @@ def split_run(run: Column, edges: Column) -> Column:
     return F.when(reaches, F.transform(F.array(cuts), pieces)[0]).otherwise(whole)
 
 
-def build_grid(items: DataFrame, key: str = "statement_id", page: str = "page", gap: float = COLUMN_GAP, support: float = SUPPORT, row_part: float = ROW_PART, formats: tuple[str, ...] = (), tasks: int | None = None) -> DataFrame:
+def build_grid(items: DataFrame, key: str = "statement_id", page: str = "page", gap: float = COLUMN_GAP, support: float = SUPPORT, row_part: float = ROW_PART, formats: tuple[str, ...] = (), tasks: int | None = None, stages: Stages | None = None) -> DataFrame:
     """(key, row_seq from 0, page, y, cells, edges) of items (key, page, x, y, width, height, font_size,
     seq, text): rows by baseline, columns by the ink of all pages of a statement, cells by the columns.
     Only rows with a date and an amount have runs split. Without edges a row is one cell. `formats` are date
     formats beside the default ones that statements may have: without theirs, columns come from the coverage,
-    which can take a right-aligned column with few wide amounts for two. `tasks` is that of cluster_rows()."""
+    which can take a right-aligned column with few wide amounts for two. `tasks` is that of cluster_rows(). With
+    `stages` the placed items, which edges and cells read three times, are written once."""
     pages = [key, page]
     row = [*pages, "row_no"]
     placed = with_band(cluster_rows(items, pages, row_part, tasks), row, formats)
+    placed = stages.write(placed.select(*row, "x", "y", "seq", "width", "font_size", "text", "band", "runs", "lead", "reach", "end"), "placed") if stages else placed
     edges = column_edges(placed, key, pages, gap, support, tasks)
     run = F.struct(F.col("x").cast("double").alias("x"), F.col("seq").cast("bigint").alias("seq"), F.col("width").cast("double").alias("width"), F.col("font_size").cast("double").alias("font_size"), "text")
     placed = placed.join(edges, key).select(*row, "edges", "y", "band", run.alias("_r"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,17 +34,28 @@ def ascii_bounds(pattern: str) -> str:
     return pattern.replace(r"\b", f"(?:(?<=[{word}])(?![{word}])|(?<![{word}])(?=[{word}]))")
 
 
+def needle(pattern: str) -> str | None:
+    """Letters and digits, in lower case, that every text which the pattern fits must have: those it begins with."""
+    found = None if "|" in pattern else re.match(r"(?:\(\?i\))?(?:\\b)?([A-Za-z0-9]+)", pattern)
+    letters = found and (found[1][:-1] if pattern[found.end():found.end() + 1] in ("?", "*", "{") else found[1])
+    return letters.lower() if letters else None
+
+
 def detect_layout(pages: DataFrame, text: str, hint: str | None = None, layouts: tuple = LAYOUTS) -> DataFrame:
     """Adds layout_id and confidence: the best score of 0.7 or more, the first layout of equals, else
     null. A hint in column `hint` that names a layout wins at any score, at 0.7 or more. All layouts
-    are scored in one projection of the scan: no join, no shuffle. A layout (id, bank, markers) of one's
+    are scored in one projection of the scan: no join, no shuffle. A page is searched for a marker's pattern only
+    if it has the pattern's first letters. A layout (id, bank, markers) of one's
     own may have, in place of markers, a function from the text Column to a score Column."""
     page = F.coalesce(F.col(text), F.lit(""))
+    pages = pages.withColumn("_low", F.lower(page))
     scored = []
     for place, (name, _, markers) in enumerate(layouts):
         points: Column = clamp(markers(page)).cast("decimal(4,2)") if callable(markers) else F.lit(0).cast("decimal(4,2)")
         for pattern, weight in () if callable(markers) else markers:
-            points = points + F.when(page.rlike(ascii_bounds(pattern)), F.lit(str(weight)).cast("decimal(4,2)")).otherwise(F.lit(0))
+            first = needle(pattern)
+            fits = page.rlike(ascii_bounds(pattern))
+            points = points + F.when(F.contains("_low", F.lit(first)) & fits if first else fits, F.lit(str(weight)).cast("decimal(4,2)")).otherwise(F.lit(0))
         scored.append(F.struct(F.least(points, F.lit(1)).cast("decimal(4,2)").alias("score"), F.lit(-place).alias("place"), F.lit(name).alias("name")))
     out = pages.withColumn("_all", F.array(*scored)).withColumn("_best", F.array_max("_all"))
     sure = F.col("_best.score") >= CERTAIN
@@ -52,7 +65,7 @@ def detect_layout(pages: DataFrame, text: str, hint: str | None = None, layouts:
         own = F.get(hinted, F.lit(0))
         name = F.coalesce(own["name"], name)
         score = F.when(own.isNotNull(), F.greatest(own["score"], F.lit(CERTAIN).cast("decimal(4,2)"))).otherwise(score)
-    return out.withColumn("layout_id", name).withColumn("confidence", score.cast("double")).drop("_all", "_best")
+    return out.withColumn("layout_id", name).withColumn("confidence", score.cast("double")).drop("_all", "_best", "_low")
 
 
 def bank_key(name: Column) -> Column:

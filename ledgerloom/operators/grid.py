@@ -51,10 +51,11 @@ def join_runs(runs: Column) -> Column:
     start = F.struct(F.lit("").alias("text"), F.lit(None).cast("double").alias("right"), F.lit(None).cast("double").alias("font"))
 
     def add(a: Column, r: Column) -> Column:
-        apart = (r["x"] - a["right"] > GAP_PART * a["font"]) & ~a["text"].rlike(r"\s$") & ~r["text"].rlike(r"^\s")
+        apart = a["right"].isNotNull() & (r["x"] - a["right"] > GAP_PART * a["font"]) & ~a["text"].rlike(r"\s$") & ~r["text"].rlike(r"^\s")
         return F.struct(F.concat(a["text"], F.when(apart, " ").otherwise(""), r["text"]).alias("text"), (r["x"] + r["width"]).cast("double").alias("right"), r["font_size"].cast("double").alias("font"))
 
-    return F.aggregate(F.array_sort(runs), start, add, lambda a: squeeze(F.regexp_replace(a["text"], f"{SPACE}+", " ")))
+    # Texts of visible ASCII alone have no white space to look for.
+    return F.aggregate(F.array_sort(runs), start, add, lambda a: F.when(a["text"].rlike("[^!-~]"), squeeze(F.regexp_replace(a["text"], f"{SPACE}+", " "))).otherwise(a["text"]))
 
 
 def grid_cells(items: DataFrame, page: list[str], edges: Column, n_columns: int) -> DataFrame:

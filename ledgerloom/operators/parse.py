@@ -36,12 +36,18 @@ def by_formats(cell: Column, formats: Column, known: tuple[tuple[str, ...], ...]
     return out
 
 
+def fits(text: Column, pattern: Column) -> Column:
+    """Whether a pattern that is data fits somewhere in the text. Unlike regexp_like, this compiles a pattern
+    anew only where it changes."""
+    return F.regexp_instr(text, pattern) > 0
+
+
 def with_header(rows: DataFrame, key: str = "statement_id") -> DataFrame:
     """Adds header_seq and header to rows (key, row_seq, cells, columns): the first row in which most of
     the layout's patterns fit a cell, two at least; -1 and null where none is. A header_seq that the
     layout brings itself (`given_seq`) stands."""
     patterns = F.map_values("columns")
-    score = F.size(F.filter(patterns, lambda p: F.exists("cells", lambda c: (blank(c) != "") & F.regexp_like(blank(c), p))))
+    score = once(F.transform("cells", blank), lambda cs: F.size(F.filter(patterns, lambda p: F.exists(cs, lambda c: (c != "") & fits(c, p)))))
     whole = Window.partitionBy(key)
     best = F.max(F.struct(score.alias("score"), (-F.col("row_seq")).alias("at"), "cells")).over(whole)
     out = rows.withColumn("_b", best)
@@ -53,17 +59,21 @@ def with_header(rows: DataFrame, key: str = "statement_id") -> DataFrame:
     return out.drop("_b")
 
 
-def with_columns(rows: DataFrame) -> DataFrame:
+def with_columns(rows: DataFrame, key: str = "statement_id") -> DataFrame:
     """Adds `at` to rows with header, columns, places and edges: field to column, by the number that the
     layout gives or the first header cell that fits. Rows of statements without date, narration or
-    balance go, and a reference column that is the narration's is none."""
+    balance go, and a reference column that is the narration's is none. Patterns are tried in the header row
+    only, and what they find is every row's of its statement."""
     def place(name: str) -> Column:
         number = F.try_element_at("places", F.lit(name))
         pattern = F.try_element_at("columns", F.lit(name))
-        found = F.get(F.filter(F.transform("header", lambda c, i: F.when((blank(c) != "") & F.regexp_like(blank(c), pattern), i)), lambda i: i.isNotNull()), F.lit(0))
+        found = F.get(F.filter(F.transform("header", lambda c, i: F.when((blank(c) != "") & fits(blank(c), pattern), i)), lambda i: i.isNotNull()), F.lit(0))
         return F.when(number.isNotNull(), F.when((number >= 0) & (number < F.size("edges")), number)).when(pattern.isNotNull(), found)
 
-    out = rows.withColumn("at", F.struct(*[place(f).cast("int").alias(f) for f in FIELDS])).where(" and ".join(f"at.{f} is not null" for f in NEEDED))
+    # As a difference: a filter on row_seq = header_seq would otherwise have the patterns tried in every row.
+    own = F.col("header").isNull() | (F.col("row_seq") - F.col("header_seq") == 0)
+    found = F.when(own, F.struct(*[place(f).cast("int").alias(f) for f in FIELDS]))
+    out = rows.withColumn("at", F.max(found).over(Window.partitionBy(key))).where(" and ".join(f"at.{f} is not null" for f in NEEDED))
     return out.withColumn("at", F.col("at").withField("ref_no", F.when(~F.col("at.ref_no").eqNullSafe(F.col("at.narration")), F.col("at.ref_no"))))
 
 
@@ -95,7 +105,7 @@ def merge_rows(rows: DataFrame, key: str = "statement_id") -> DataFrame:
     held = rows.withColumn("_a", anchor).where("not (kind = 'B' and coalesce(_a, -1) >= 0)")
     held = held.withColumn("_at", F.when((F.col("kind") == "C") & (F.col("_a") >= 0), F.col("_a")).otherwise(F.col("row_seq")))
     own = [c for c in rows.columns if c not in (key, "row_seq", "cells")]
-    g = held.groupBy(key, "_at").agg(F.array_sort(F.collect_list(F.struct("row_seq", "cells"))).alias("_l"), *(F.min_by(c, "row_seq").alias(c) for c in own))
+    g = held.groupBy(key, "_at").agg(F.array_sort(F.collect_list(F.struct("row_seq", "cells"))).alias("_l"), F.min_by(F.struct(*own), "row_seq").alias("_o")).select(key, "_at", "_l", "_o.*")
     lines = F.transform("_l", lambda r: r["cells"])
 
     def fold(cells: Column, more: Column) -> Column:
@@ -121,7 +131,7 @@ def parse_statements(grid: DataFrame, layouts: DataFrame, known_formats: tuple[t
     that have no transaction give no rows. After one exchange by statement all steps stay in place."""
     own = ["given_seq"] if "given_seq" in layouts.columns else []
     rows = grid.select(key, "row_seq", "cells", "edges").join(layouts.select(key, "formats", "style", "columns", "places", "forward", *own), key)
-    body = with_columns(with_header(rows, key)).where("row_seq > header_seq").select(key, "row_seq", "cells", "header", "at", "formats", "style", "forward")
+    body = with_columns(with_header(rows, key), key).where("row_seq > header_seq").select(key, "row_seq", "cells", "header", "at", "formats", "style", "forward")
     formats = F.col("formats")
     dated = by_formats(F.get("cells", F.col("at.date")), formats, known_formats, read_date).isNotNull()
     merged = merge_rows(body.withColumn("kind", kind_of(F.col("cells"), F.col("at"), F.col("header"), dated)).drop("header"), key)
@@ -131,7 +141,7 @@ def parse_statements(grid: DataFrame, layouts: DataFrame, known_formats: tuple[t
     moved = F.when(style == SEPARATE, movement_separate(cell("debit"), cell("credit"))).when(style == SIGNED, movement_signed(cell("amount"))).when(style == FLAGGED, movement_flag(cell("amount"), cell("flag")))
     lines = F.filter(F.transform(F.coalesce("lines", F.array("cells")), lambda r: blank(F.get(r, F.col("at.narration")))), lambda t: t != "")
     read = merged.select(
-        key, "row_seq", F.regexp_like(blank(cell("narration")), F.col("forward")).alias("_f"), blank(cell("narration")).alias("_n"), signed_balance_of(cell("balance")).alias("balance"),
+        key, "row_seq", fits(blank(cell("narration")), F.col("forward")).alias("_f"), blank(cell("narration")).alias("_n"), signed_balance_of(cell("balance")).alias("balance"),
         by_formats(cell("date"), formats, known_formats, cell_date).alias("txn_date"), by_formats(cell("value_date"), formats, known_formats, cell_date).alias("value_date"),
         F.nullif(blank(cell("ref_no")), F.lit("")).alias("ref_no"), F.when(F.size(lines) > 0, lines).alias("narration_lines"), moved.alias("_m"))
     whole = Window.partitionBy(key)

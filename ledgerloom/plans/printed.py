@@ -43,29 +43,45 @@ GLYPH, SIZE, TOP, LEADING, PAGE_ROWS = 4.4, 8.0, 120.0, 24.0, 30
 FORMATS = tuple(dict.fromkeys(x.formats for x in SHIPPED))
 
 
-def ledger(spark, sf_dir) -> DataFrame:
-    """The rows that the statements print: odd orders are paid, even ones received."""
+def posted(spark, sf_dir) -> DataFrame:
+    """The rows of all statements as they were posted: odd orders are paid, even ones received."""
     price = F.col("o_totalprice").cast(MONEY)
     rows = read(spark, sf_dir, "orders").select(F.expr("o_custkey div 10").alias("statement_id"), F.col("o_orderkey").alias("order_key"), F.col("o_orderdate").cast("date").alias("txn_date"), F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 2 == 1, price).alias("debit"), F.when(F.col("o_orderkey") % 2 == 0, price).alias("credit"))
+    return rows.withColumn("opening", (F.col("statement_id") % 1000 + F.lit("0.25").cast(MONEY)).cast(MONEY))
+
+
+def ledger(spark, sf_dir) -> DataFrame:
+    """The rows that the statements print."""
     order = Window.partitionBy("statement_id").orderBy("txn_date", "order_key")
     moved = F.sum(F.coalesce("credit", F.lit(0)) - F.coalesce("debit", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
     n = F.count("*").over(Window.partitionBy("statement_id"))
-    opening = (F.col("statement_id") % 1000 + F.lit("0.25").cast(MONEY)).cast(MONEY)
-    return rows.withColumn("opening", opening).withColumn("balance", (opening + moved).cast(MONEY)).withColumn("serial", F.row_number().over(order)).withColumn("n", n)
+    return posted(spark, sf_dir).withColumn("balance", (F.col("opening") + moved).cast(MONEY)).withColumn("serial", F.row_number().over(order)).withColumn("n", n)
 
 
 def by_layout(texts: list) -> Column:
-    """The text of the statement's layout; null where that is none."""
-    return F.coalesce(*[F.when(F.col("statement_id") % len(SHIPPED) == i, t) for i, t in enumerate(texts) if t is not None], F.lit(None).cast("string"))
+    """The text of the statement's layout; null where that is none. Layouts of one text share a case."""
+    own = {}
+    for i, t in enumerate(texts):
+        if t is not None:
+            own.setdefault(t if isinstance(t, str) else id(t), (t, []))[1].append(i)
+    place = F.col("statement_id") % len(SHIPPED)
+    return F.coalesce(*[F.when(place.isin(places), t) for t, places in own.values()], F.lit(None).cast("string"))
+
+
+def runs(texts: dict[str, Column], y: Column, page: Column) -> list[Column]:
+    """What is printed in a row, a run a field; runs without a text are none."""
+    return [run_of(page, PLACE[f][1] if PLACE[f][2] else PLACE[f][0], y, i, t, PLACE[f][2]) for i, (f, t) in enumerate(texts.items())]
+
+
+def run_of(page: Column, end: float, y: Column, seq: int, text: Column, at_right: bool = False) -> Column:
+    return F.struct(page.cast("bigint").alias("page"), F.lit(end).alias("end"), F.lit(at_right).alias("at_right"), y.cast("double").alias("y"), F.lit(seq).alias("seq"), text.alias("text"))
 
 
-def runs(texts: dict[str, Column], y: Column) -> Column:
-    made = []
-    for i, (f, t) in enumerate(texts.items()):
-        left, right, at_right = PLACE[f]
-        width = F.length(t) * GLYPH
-        made.append(F.struct((F.lit(right) - width if at_right else F.lit(left)).alias("x"), y.alias("y"), width.alias("width"), F.lit(SIZE).alias("height"), F.lit(SIZE).alias("font_size"), F.lit(i).alias("seq"), t.alias("text")))
-    return F.filter(F.array(*made), lambda r: r["text"].isNotNull())
+def printed(rows: DataFrame, made: list[Column]) -> DataFrame:
+    """Texts are made before and places after the rows are taken apart: all in one step would be code that Java does not compile."""
+    width = F.length("text") * GLYPH
+    x = F.when(F.col("at_right"), F.col("end") - width).otherwise(F.col("end"))
+    return rows.select("statement_id", F.inline(F.array(*made))).where("text is not null").select("statement_id", "page", x.alias("x"), "y", width.alias("width"), F.lit(SIZE).alias("height"), F.lit(SIZE).alias("font_size"), "seq", "text")
 
 
 def printed_items(spark, sf_dir) -> DataFrame:
@@ -76,35 +92,34 @@ def printed_items(spark, sf_dir) -> DataFrame:
     place = F.when(F.col("statement_id") % 5 == 0, F.col("n") + 1 - F.col("serial")).otherwise(F.col("serial"))
     rows = rows.withColumn("page", F.floor(place / PAGE_ROWS)).withColumn("slot", place % PAGE_ROWS)
     key = F.lpad(F.col("order_key").cast("string"), 9, "0")
-    has = lambda f: [1 if f in x else None for x in LABELS]
-    only = lambda f, t: by_layout([t if h else None for h in has(f)])
-    days = by_layout([F.date_format("txn_date", x.formats[0]) for x in SHIPPED])
-    signs = [F.concat(money(F.coalesce("debit", "credit")), F.when(F.col("debit").isNotNull(), "(Dr)").otherwise("(Cr)") if x.style == "signed-single" else F.lit("")) for x in SHIPPED]
+    only = lambda f, t: by_layout([t if f in x else None for x in LABELS])
+    day = {f: F.date_format("txn_date", f) for f in {x.formats[0]: None for x in SHIPPED}}
+    days = by_layout([day[x.formats[0]] for x in SHIPPED])
+    price, marks = money(F.coalesce("debit", "credit")), F.when(F.col("debit").isNotNull(), "(Dr)").otherwise("(Cr)")
+    signed = F.concat(price, marks)
     apart = (F.col("order_key") % 7 == 0) & (F.col("balance") < 0)
     line = {"date": days, "value_date": only("value_date", days), "narration": F.concat(F.lit("order "), key, F.when(F.col("debit").isNotNull(), " out").otherwise(" in")), "ref_no": only("ref_no", F.concat(F.lit("R"), key)), "debit": only("debit", money(F.col("debit"))), "credit": only("credit", money(F.col("credit"))),
-            "amount": by_layout([s if h else None for s, h in zip(signs, has("amount"), strict=True)]), "flag": only("flag", F.when(F.col("debit").isNotNull(), "DR").otherwise("CR")), "balance": F.when(apart, money(F.col("balance"))).otherwise(marked(F.col("balance")))}
+            "amount": by_layout([(signed if x.style == "signed-single" else price) if "amount" in f else None for x, f in zip(SHIPPED, LABELS, strict=True)]), "flag": only("flag", F.when(F.col("debit").isNotNull(), "DR").otherwise("CR")), "balance": F.when(apart, money(F.col("balance"))).otherwise(marked(F.col("balance")))}
     y = F.col("slot") * LEADING + TOP
-    first = rows.select("statement_id", "page", F.inline(runs(line, y)))
+    over = F.when(F.col("slot") == PAGE_ROWS - 1, 1).otherwise(0)
     rest = {"narration": F.when(F.col("order_key") % 5 == 0, F.concat(F.lit("of "), "status")), "balance": F.when(apart, F.lit("DR"))}
-    over = F.col("slot") == PAGE_ROWS - 1
-    wrapped = rows.select("statement_id", (F.col("page") + F.when(over, 1).otherwise(0)).alias("page"), F.inline(runs(rest, F.when(over, F.lit(TOP - 9)).otherwise(y + 11))))
+    texts = rows.select("statement_id", F.col("page").alias("_p"), y.alias("_y"), (F.col("page") + over).alias("_q"), F.when(over == 1, F.lit(TOP - 9)).otherwise(y + 11).alias("_z"), *(t.alias(f) for f, t in line.items()), *(t.alias(f"{f}_rest") for f, t in rest.items()))
+    out = printed(texts, runs({f: F.col(f) for f in line}, F.col("_y"), F.col("_p")) + runs({f: F.col(f"{f}_rest") for f in rest}, F.col("_z"), F.col("_q")))
 
-    sums = rows.groupBy("statement_id").agg(F.min("n").alias("n"), F.min("opening").alias("opening"), F.min("txn_date").alias("since"), F.max("txn_date").alias("until"))
-    forward = sums.select("statement_id", F.lit(0).cast("bigint").alias("page"), F.inline(runs({"narration": F.lit("OPENING BALANCE B/F"), "balance": money(F.col("opening"))}, F.lit(TOP))))
+    sums = posted(spark, sf_dir).groupBy("statement_id").agg(F.count("*").alias("n"), F.min("opening").alias("opening"), F.min("txn_date").alias("since"), F.max("txn_date").alias("until"))
     pages = sums.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") + 1) / PAGE_ROWS))).alias("page"))
-    labels = pages.select("statement_id", F.col("page").cast("bigint").alias("page"), F.inline(runs({f: by_layout([F.lit(x[f]) if f in x else None for x in LABELS]) for f in FIELDS}, F.lit(TOP - 20))))
+    pages = pages.select("statement_id", "page", *(by_layout([x.get(f) for x in LABELS]).alias(f) for f in FIELDS))
+    labels = printed(pages, runs({f: F.col(f) for f in FIELDS}, F.lit(TOP - 20), F.col("page")))
     s = F.col("statement_id")
     code = F.concat(pick(CODES, (s % 12).cast("int")), F.lpad((s % 1000000).cast("string"), 6, "0"))
     period = F.concat(F.lit("Statement of account from "), F.date_format("since", "dd/MM/yyyy"), F.lit(" to "), F.date_format("until", "dd/MM/yyyy"))
     cover = (pick(BANKS, (s % 12).cast("int")), F.concat(F.lit("IFSC "), code), F.concat(F.lit("Account No: "), F.lpad((s * 7919 + 123456).cast("string"), 12, "0")), period)
-    item = lambda i, y, t: F.struct(F.lit(40.0).alias("x"), y.alias("y"), (F.length(t) * GLYPH).alias("width"), F.lit(SIZE).alias("height"), F.lit(SIZE).alias("font_size"), F.lit(i).alias("seq"), t.alias("text"))
-    head = sums.select("statement_id", F.lit(0).cast("bigint").alias("page"), F.inline(F.array(*[item(100 + i, F.lit(20.0 + 15 * i), t) for i, t in enumerate(cover)])))
+    item = lambda page, i, y, t: run_of(page, 40.0, y, i, t)
     end = F.concat(F.lit("Total: "), F.col("n").cast("string"), F.lit(" transactions"))
-    foot = sums.select("statement_id", F.floor((F.col("n") + 1) / PAGE_ROWS).alias("page"), F.inline(F.array(item(200, ((F.col("n") + 1) % PAGE_ROWS) * LEADING + TOP, end))))
-    out = first
-    for more in (wrapped, forward, labels, head, foot):
-        out = out.unionByName(more)
-    return out
+    foot = item(F.floor((F.col("n") + 1) / PAGE_ROWS), 200, ((F.col("n") + 1) % PAGE_ROWS) * LEADING + TOP, end)
+    forward = runs({"narration": F.lit("OPENING BALANCE B/F"), "balance": money(F.col("opening"))}, F.lit(TOP), F.lit(0))
+    once = printed(sums, [*forward, *(item(F.lit(0), 100 + i, F.lit(20.0 + 15 * i), t) for i, t in enumerate(cover)), foot])
+    return out.unionByName(labels).unionByName(once)
 
 
 def texts_of(items: DataFrame) -> DataFrame:
@@ -119,7 +134,7 @@ def layouts_of(spark, texts: DataFrame) -> DataFrame:
 def read_once(spark, sf_dir, stages: Stages) -> tuple[DataFrame, DataFrame]:
     """(grid, texts) of the printed statements; the runs of text, the grid and the texts are written once."""
     items = stages.write(printed_items(spark, sf_dir), "items")
-    return stages.write(build_grid(items, formats=all_formats(FORMATS)), "grid"), stages.write(texts_of(items), "texts")
+    return stages.write(build_grid(items, formats=all_formats(FORMATS), stages=stages), "grid"), stages.write(texts_of(items), "texts")
 
 
 def parsed(spark, sf_dir) -> DataFrame:

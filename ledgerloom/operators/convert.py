@@ -152,7 +152,7 @@ def all_of(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def convert_statements(statements: DataFrame, items: DataFrame, store: DataFrame, mappings: DataFrame, stages: Stages | None = None) -> Conversion:
+def convert_statements(statements: DataFrame, items: DataFrame, store: DataFrame, mappings: DataFrame, stages: Stages | None = None, made: tuple[DataFrame, DataFrame] | None = None) -> Conversion:
     """Converts all statements by the fallback chain: a learned layout that the user picked, a shipped layout,
     a learned layout found by the fingerprint, an inferred mapping. A tier is tried for those statements
     only that none before has taken; each tier's tables are written once.
@@ -164,15 +164,19 @@ def convert_statements(statements: DataFrame, items: DataFrame, store: DataFrame
 
     Every statement has one result row: ok, tier, parsed_by, error_code, error_message, notices, used, evicted, stored, and
     what statement_meta() and report() tell of its parse. A statement without items is not recognised by
-    itself. Rows of statements that are not given are ignored; empty tables give empty results."""
+    itself. Rows of statements that are not given are ignored; empty tables give empty results. `made` is (grid, texts) of
+    the items, of build_grid() and statement_text(), if a caller has them already: they are not made again."""
     stages = stages or Stages(statements.sparkSession)
     spark, key = statements.sparkSession, "statement_id"
     given = stages.write(statements.select(key, "hint", F.coalesce("consent", F.lit(False)).alias("consent"), "error_code", "error_message"), "statements")
     fit = given.where("error_code is null").drop("error_code", "error_message")
-    items = stages.write(items.join(fit.select(key), key, "left_semi"), "items")
     formats = format_lists(store, mappings)
-    grid = stages.write(build_grid(items, formats=all_formats(formats)), "grid")
-    texts = stages.write(statement_text(page_text(items)), "texts")
+    if made is None:
+        items = stages.write(items.join(fit.select(key), key, "left_semi"), "items")
+        grid = stages.write(build_grid(items, formats=all_formats(formats), stages=stages), "grid")
+        texts = stages.write(statement_text(page_text(items)), "texts")
+    else:
+        grid, texts = (t.join(fit.select(key), key, "left_semi") for t in made)
     details = stages.write(texts.select(key, statement_details(F.col("text")).alias("d")).select(key, "d.*"), "details")
     prints = stages.write(layout_fingerprint(grid, texts.select(key, F.col("first_page_text").alias("text"))), "prints")
     chain = Chain(fit, grid, details, formats, stages)

@@ -25,7 +25,9 @@ def printed_conversion(spark, sf_dir) -> Conversion:
     stages = Stages(spark)
     text = F.when((s % 11 == 0) & F.col("text").startswith("Total: "), F.lit("Total: 99999 transactions")).otherwise(F.col("text"))
     items = stages.write(printed_items(spark, sf_dir).withColumn("text", text), "printed")
-    prints = stages.write(layout_fingerprint(build_grid(items, formats=all_formats(FORMATS)), texts_of(items).select("statement_id", F.col("first_page_text").alias("text"))), "all-prints")
+    grid = stages.write(build_grid(items, formats=all_formats(FORMATS), stages=stages), "all-grids")
+    texts = stages.write(texts_of(items), "all-texts")
+    prints = stages.write(layout_fingerprint(grid, texts.select("statement_id", F.col("first_page_text").alias("text"))), "all-prints")
     store = stages.write(learned_store(spark, prints), "store")
     place = (s % len(SHIPPED)).cast("int")
     hinted = prints.select("statement_id", place.alias("place")).join(F.broadcast(store.select("place", "key")), "place", "left")
@@ -36,7 +38,7 @@ def printed_conversion(spark, sf_dir) -> Conversion:
     answers = spark.createDataFrame(made, "place int, bank string, formats array<string>, style string, places map<string,int>")
     lacks = F.map_filter("places", lambda k, v: ~k.isin("debit", "credit", "amount"))
     mappings = prints.where(s % 2 == 1).select("statement_id", place.alias("place")).join(F.broadcast(answers), "place").select("statement_id", "bank", "formats", "style", F.when(s % 5 == 0, lacks).otherwise(F.col("places")).alias("places"), F.when(s % 9 == 0, BELOW).otherwise(4).alias("header_seq"))
-    return convert_statements(statements, items, store.drop("place"), mappings, stages)
+    return convert_statements(statements, items, store.drop("place"), mappings, stages, (grid, texts))
 
 
 def converted_statements(spark, sf_dir) -> DataFrame:

@@ -21,6 +21,7 @@ from ..operators.layouts import inferred_layouts, mapping_error, newest_layouts,
 from ..operators.ledger import apply_edits
 from ..operators.store import LayoutStore
 from ..sinks.exports import accounting_import, export_errors, export_files, general_csv, result_lines, workbook_summary
+from ..sinks.files import FORMAT
 from ..sources.pages import upload_error
 from ..sources.runs import normalise_runs
 from ..sources.shared import Stages, shared_dir
@@ -186,13 +187,13 @@ def rate_limit_stream(spark, sf_dir):
 
 def exported_files(spark, sf_dir):
     """Files of all formats, written by the `statement-files` source and read back: of the texts a digest, of
-    workbooks the rows of both sheets and the last balance. Rows and facts are written once for all formats; folders
-    are listed whole, as a pattern of files would be looked up file by file."""
+    workbooks the rows of both sheets and the last balance. Rows and facts are written once for all formats; files are
+    listed and read by tasks, a folder each."""
     stages = Stages(spark)
     base, rows, meta = stages.base, stages.write(transactions(spark, sf_dir), "rows"), stages.write(facts(spark, sf_dir), "facts")
     for name, options in (("csv", {}), ("ledger-csv", {"bankCode": " AXISBB "}), ("xlsx", {})):
         export_files(rows, f"{base}/{name}", name, options, meta)
-    read_back = lambda name: spark.read.format("binaryFile").load(f"{base}/{name}/part-*").select(F.regexp_extract("path", r"/(\d+)(?: |%20)[^/]*$", 1).cast("long").alias("statement_id"), "content")
+    read_back = lambda name: spark.read.format(FORMAT).load(f"{base}/{name}/part-*").select(F.regexp_extract("file_name", r"^(\d+) ", 1).cast("long").alias("statement_id"), "content")
     texts = [read_back(n).select("statement_id", F.md5("content").alias(f"{c}_md5"), F.length("content").cast("long").alias(f"{c}_bytes")) for n, c in (("csv", "csv"), ("ledger-csv", "import"))]
     books = read_back("xlsx").mapInArrow(sheet_figures, "statement_id long, sheet_rows long, summary_rows long, last_balance double")
     return texts[0].join(texts[1], "statement_id").join(books, "statement_id")

@@ -1,5 +1,8 @@
 """Steps that many statements share: done once, and not where they cannot find anything."""
 
+import os
+from array import array
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +11,8 @@ from ledgerloom.operators import convert
 from ledgerloom.operators.columns import build_grid
 from ledgerloom.operators.detection import LAYOUTS, needle
 from ledgerloom.plans import conversion, printed
+from ledgerloom.sinks import files
+from ledgerloom.sinks.files import FORMAT, FileWriter, Written, name_hash, register
 from ledgerloom.sources.shared import Stages
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +58,28 @@ def test_one_grid_for_a_conversion(spark, monkeypatch):
 
     monkeypatch.setattr(convert, "build_grid", again)
     assert conversion.printed_conversion(spark, SF).results.count() == spark.read.parquet(f"{SF}/orders.parquet").select(F.expr("o_custkey div 10")).distinct().count()
+
+
+def test_files_are_read_by_folder(spark, tmp_path):
+    register(spark)
+    rows = spark.range(2500).select(F.format_string("%d a.txt", "id").alias("file_name"), F.encode(F.concat(F.lit("line "), F.col("id").cast("string")), "UTF-8").alias("content"))
+    rows.repartition(3, "file_name").sortWithinPartitions("file_name").write.format(FORMAT).mode("append").save(str(tmp_path / "out"))
+    read = spark.read.format(FORMAT).load(str(tmp_path / "out"))
+    assert read.exceptAll(rows).count() == rows.exceptAll(read).count() == 0
+    folders = [p for p in (tmp_path / "out").iterdir() if p.name.startswith("part-")]
+    assert read.rdd.getNumPartitions() == len(folders) <= 3
+
+
+def test_names_come_to_the_driver_as_hashes(tmp_path, monkeypatch):
+    writer = FileWriter(str(tmp_path / "out"), False)
+    for folder, names in (("a", ["1 x", "2 x"]), ("b", ["3 x", "2 x"]), ("c", ["4 x"])):
+        os.makedirs(f"{writer.staging}/{folder}")
+        for n in names:
+            open(f"{writer.staging}/{folder}/{n}", "w").close()
+    made = {f: Written(f, array("Q", map(name_hash, names)).tobytes()) for f, names in (("a", ["1 x", "2 x"]), ("b", ["3 x", "2 x"]), ("c", ["4 x"]))}
+    assert all(len(m.hashes) <= 16 for m in made.values())
+    assert writer.twice([made["a"], made["c"]]) is None and writer.twice([]) is None
+    assert writer.twice(list(made.values())) == "2 x"
+    assert writer.twice([Written("c", array("Q", [name_hash("4 x")] * 2).tobytes())]) == "4 x"
+    monkeypatch.setattr(files, "name_hash", lambda name: 7)  # two names of one hash are no name that comes twice
+    assert writer.twice([Written("a", array("Q", [7, 7]).tobytes()), Written("c", array("Q", [7]).tobytes())]) is None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, squeeze
+from ..functions.text import SPACE, once, squeeze
 
 # Row tolerance as a part of the median height, its least value, the height where none
 # is known, the slack at a column's edge, and the gap, in parts of the font size, that makes a space.
@@ -54,8 +54,11 @@ def join_runs(runs: Column) -> Column:
         apart = a["right"].isNotNull() & (r["x"] - a["right"] > GAP_PART * a["font"]) & ~a["text"].rlike(r"\s$") & ~r["text"].rlike(r"^\s")
         return F.struct(F.concat(a["text"], F.when(apart, " ").otherwise(""), r["text"]).alias("text"), (r["x"] + r["width"]).cast("double").alias("right"), r["font_size"].cast("double").alias("font"))
 
-    # Texts of visible ASCII alone have no white space to look for.
-    return F.aggregate(F.array_sort(runs), start, add, lambda a: F.when(a["text"].rlike("[^!-~]"), squeeze(F.regexp_replace(a["text"], f"{SPACE}+", " "))).otherwise(a["text"]))
+    def tidy(text: Column) -> Column:
+        """Texts of visible ASCII alone have no white space to look for."""
+        return F.when(text.rlike("[^!-~]"), squeeze(F.regexp_replace(text, f"{SPACE}+", " "))).otherwise(text)
+
+    return once(runs, lambda rs: F.when(F.size(rs) == 0, "").when(F.size(rs) == 1, tidy(F.get(rs, F.lit(0))["text"])).otherwise(F.aggregate(F.array_sort(rs), start, add, lambda a: tidy(a["text"]))))
 
 
 def grid_cells(items: DataFrame, page: list[str], edges: Column, n_columns: int) -> DataFrame:

@@ -17,7 +17,7 @@ from ..operators.detection import detect_layout
 from ..operators.grid import cluster_rows, tasks_for
 from ..operators.layouts import FIELDS, SHIPPED, layout_fingerprint, layout_table, learned_layouts
 from ..operators.parse import all_formats, parse_statements, statement_meta, with_columns, with_header
-from ..sources.pages import ALL_SCANNED, SOME_SCANNED, page_text, scan_errors, statement_text
+from ..sources.pages import ALL_SCANNED, SOME_SCANNED, first_page_text, page_text, scan_errors, statement_text
 from ..sources.shared import Stages
 from .layouts import BANKS, CODES, pick, quoted, statement_items
 from .statements import BASE, double, read
@@ -131,10 +131,11 @@ def layouts_of(spark, texts: DataFrame) -> DataFrame:
     return found.join(F.broadcast(layout_table(spark)), "layout_id")
 
 
-def read_once(spark, sf_dir, stages: Stages) -> tuple[DataFrame, DataFrame]:
-    """(grid, texts) of the printed statements; the runs of text, the grid and the texts are written once."""
+def read_once(spark, sf_dir, stages: Stages, texts=first_page_text) -> tuple[DataFrame, DataFrame]:
+    """(grid, texts) of the printed statements; the runs of text, the grid and the texts are written once. `texts` makes
+    them of the items: those of the first pages, which layouts are known by, or texts_of() with the whole texts."""
     items = stages.write(printed_items(spark, sf_dir), "items")
-    return stages.write(build_grid(items, formats=all_formats(FORMATS), stages=stages), "grid"), stages.write(texts_of(items), "texts")
+    return stages.write(build_grid(items, formats=all_formats(FORMATS), stages=stages), "grid"), stages.write(texts(items), "texts")
 
 
 def parsed(spark, sf_dir) -> DataFrame:
@@ -150,7 +151,7 @@ def parsed_statements(spark, sf_dir):
 def statement_facts(spark, sf_dir):
     """What each statement is about, from its text and its parse."""
     stages = Stages(spark)
-    grid, texts = read_once(spark, sf_dir, stages)
+    grid, texts = read_once(spark, sf_dir, stages, texts_of)
     layouts = stages.write(layouts_of(spark, texts), "layouts")
     details = texts.select("statement_id", statement_details(F.col("text")).alias("d")).select("statement_id", "d.*")
     meta = statement_meta(stages.write(parse_statements(grid, layouts, FORMATS), "rows"), layouts, details)

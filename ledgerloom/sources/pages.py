@@ -49,6 +49,12 @@ def page_text(items: DataFrame, key: str = "statement_id") -> DataFrame:
     return lines.groupBy(*own).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "_t"))), lambda r: r["_t"]), "\n").alias("text"))
 
 
+def first_page_text(items: DataFrame, key: str = "statement_id") -> DataFrame:
+    """(key, first_page_text): what statement_text() gives, for those who need no other page's text."""
+    first = items.groupBy(key).agg(F.min("page").alias("page"))
+    return page_text(items.join(first, [key, "page"], "left_semi"), key).select(key, F.col("text").alias("first_page_text"))
+
+
 def statement_text(pages: DataFrame, key: str = "statement_id") -> DataFrame:
     """(key, first_page_text, text) of page texts (key, page, text)."""
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n")

@@ -13,6 +13,7 @@ from ledgerloom.operators.detection import LAYOUTS, needle
 from ledgerloom.plans import conversion, printed
 from ledgerloom.sinks import files
 from ledgerloom.sinks.files import FORMAT, FileWriter, Written, name_hash, register
+from ledgerloom.sources.pages import first_page_text, page_text, statement_text
 from ledgerloom.sources.shared import Stages
 
 SF = "/root/testdata/sf0.001"
@@ -46,6 +47,13 @@ def test_grid_in_stages(spark):
     stages.drop()
 
 
+def test_text_of_first_pages(spark):
+    items = [(s, p, 40.0 + 60 * i, 30.0 + 12 * r, 40.0, 8.0, 8.0, i, f"{s}/{p}/{r}/{i}") for s, pages in ((1, (0, 1)), (2, (3, 7))) for p in pages for r in (0, 1) for i in (0, 1)]
+    df = spark.createDataFrame(items, ITEMS)
+    got = {r.statement_id: r.first_page_text for r in first_page_text(df).collect()}
+    assert got == {r.statement_id: r.first_page_text for r in statement_text(page_text(df)).collect()} and got[2] == "2/3/0/0 2/3/0/1\n2/3/1/0 2/3/1/1"
+
+
 def test_patterns_in_the_header_row_only(spark):
     plan = printed.header_binding(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_like" not in plan and "RLIKE lambda" not in plan
